@@ -47,11 +47,7 @@ def is_address(c: Column | str, pass_ipv6: bool = True) -> Column:
 def ip_to_long(c: Column | str) -> Column:
     """Dotted quad to number; NULL when the text is not a dotted quad."""
     c = _col(c)
-    octets = F.split(c, r"\.")
-    value = None
-    for position in range(4):
-        octet = F.get(octets, F.lit(position)).try_cast("bigint") * (1 << (8 * (3 - position)))
-        value = octet if value is None else value + octet
+    value = F.aggregate(F.split(c, r"\."), _long(0), lambda n, octet: n * 256 + octet.try_cast("bigint"))
     return F.when(is_ipv4(c), value)
 
 
@@ -99,9 +95,14 @@ def range_bounds(c: Column | str) -> Column:
 def address_bounds(c: Column | str) -> Column:
     """Any accepted form (address, CIDR, range) to ``struct(lo, hi)``; NULL if unusable."""
     text = F.replace(clean_token(c), F.lit("–"), F.lit("-"))
-    single = ip_to_long(text)
-    one = F.when(single.isNotNull(), F.struct(single.alias("lo"), single.alias("hi")))
-    return F.coalesce(one, cidr_bounds(text), range_bounds(text))
+    single = F.concat(text, F.lit("/32"))
+
+    def bounds(t: Column) -> Column:
+        return F.when(t.contains("-"), range_bounds(t)).otherwise(cidr_bounds(t))
+
+    # The one-item array has the text worked out once for both forms.
+    forms = F.array(F.when(text.contains("-") | text.contains("/"), text).otherwise(single))
+    return F.get(F.transform(forms, bounds), F.lit(0))
 
 
 def cidr_cover(lo: Column | str, hi: Column | str) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wardline.functions.ip import long_to_ip
 from wardline.operators.ranges import expand
 
-BLOCK_ADDRESSES = 256
 LIST_ENTRIES = 1000
 
 
@@ -18,10 +17,11 @@ def score_override(ranges: DataFrame, content: str = "Other") -> DataFrame:
     The documents have no address in common, so together they are the whole.
     """
     addresses = expand(ranges.select("lo", "hi")).distinct()
+    by_block = addresses.groupBy(F.shiftright("address", 8).alias("block")).agg(
+        F.array_sort(F.collect_list("address")).alias("addresses")
+    )
     entry = F.create_map(F.lit(content), F.lit(0))
-    entries = F.array_sort(F.collect_list(F.struct("address", entry.alias("value"))))
-    by_block = addresses.groupBy(F.shiftright("address", 8).alias("block")).agg(entries.alias("entries"))
-    named = F.map_from_entries(F.transform("entries", lambda e: F.struct(long_to_ip(e["address"]), e["value"])))
+    named = F.map_from_entries(F.transform("addresses", lambda a: F.struct(long_to_ip(a), entry)))
     first = F.shiftleft("block", 8)
     return by_block.select(long_to_ip(first).alias("first_ip"), F.to_json(named).alias("document"))
 

@@ -35,6 +35,7 @@ def local_session(app_name: str = "wardline", cores: str = "*", partitions: int
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in RUNTIME_SETTINGS.items():
