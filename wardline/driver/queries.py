@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.driver.views import CUSTOMER_HEADER, ORDER_HEADER, view
+from wardline.driver.views import CUSTOMER_HEADER, ORDER_HEADER, table, view
 from wardline.functions import ip as ipf
 from wardline.functions import timetokens as tt
 from wardline.functions.jsonqa import json_report
@@ -431,7 +431,7 @@ def unfit_values(spark, sf_dir):
 
 @query
 def split_files(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return rows.split_rows(orders, "o_orderkey", block_rows=5000)
 
 
@@ -561,7 +561,7 @@ def activity_gaps(spark, sf_dir):
 @query
 def heuristic_stream(spark, sf_dir):
     """Hourly metrics as a stream over the event files, run to the end of the input."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     scores = events.filter("event_type = 'error'").selectExpr(
         "cast(ts AS timestamp) AS at",

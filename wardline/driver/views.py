@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SPARK_TIME = {
     "MS": "unix_micros(cast(ts AS timestamp)) div 1000",
@@ -357,15 +358,23 @@ ORDER_HEADER = ["Order-Key", "Cust Key", "big", "Status", "Total Price!", "order
 CUSTOMER_HEADER = ["custkey", "name", "nation", "segment", "balance"]
 
 
-def _load(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table; its schema is read from the files once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
+
+def _load(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
     left, _, rest = base.partition(" JOIN ")
     if not rest:
-        return table(left)
+        return table(spark, sf_dir, left)
     right, _, condition = rest.partition(" ON ")
-    return table(left).join(table(right), F.expr(condition))
+    return table(spark, sf_dir, left).join(table(spark, sf_dir, right), F.expr(condition))
 
 
 def _event_time(ms: int) -> Column:

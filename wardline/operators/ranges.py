@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import ip as ipf
-from wardline.operators.skew import HOT_ROWS, attach
 
 BUCKET_SIZE = 1 << ipf.BUCKET_BITS
 
@@ -109,15 +108,17 @@ def label_distinct(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> D
     return labelled.unionByName(unusable)
 
 
-def membership(
-    df: DataFrame, ranges: DataFrame, ip: str = "ip", unique: bool = False, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Every row of ``df`` with ``in_set``; ``unique`` says ``ip`` has no repeats."""
+def membership(df: DataFrame, ranges: DataFrame, ip: str = "ip", unique: bool = False) -> DataFrame:
+    """Every row of ``df`` with ``in_set``; ``unique`` says ``ip`` has no repeats.
+
+    Distinct addresses are labelled and joined back by address.  A popular
+    address makes a skewed join partition, which adaptive execution splits (the
+    label side has one row per address).
+    """
     if unique and df.columns == [ip]:
         return label_distinct(df, ranges, ip)
-    counts = df.groupBy(ip).agg(F.count("*").alias("n"))
-    labels = label_distinct(counts.select(ip), ranges, ip)
-    return attach(df, labels, ip, counts, hot_rows).fillna(False, ["in_set"])
+    labels = label_distinct(df.select(ip).distinct(), ranges, ip)
+    return df.join(labels, ip, "left").fillna(False, ["in_set"])
 
 
 def keep_members(df: DataFrame, ranges: DataFrame, ip: str = "ip", inside: bool = True, unique: bool = False) -> DataFrame:
@@ -150,34 +151,36 @@ def locate_distinct(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -
     pieces = long_ones.unionByName(short_ones)
 
     points = addresses.select(ip, ipf.ip_to_long(ip).alias("at")).filter(F.col("at").isNotNull())
-    stream = points.select(
-        ip, ipf.bucket_of("at").alias("bucket"), "at", F.lit(None).cast("int").alias("prefix_len"), F.lit(1).alias("kind")
+    stream = points.selectExpr(
+        ip, f"int(shiftright(at, {ipf.BUCKET_BITS})) AS bucket", "at", "int(NULL) AS prefix_len", "1 AS kind"
     ).unionByName(
-        pieces.select(
-            F.lit(None).cast("string").alias(ip),
+        pieces.selectExpr(
+            f"string(NULL) AS {ip}",
             "bucket",
-            F.greatest(F.col("lo"), _bucket_start("bucket")).alias("at"),
+            f"greatest(lo, shiftleft(bigint(bucket), {ipf.BUCKET_BITS})) AS at",
             "prefix_len",
-            F.lit(0).alias("kind"),
+            "0 AS kind",
         )
     )
-    order = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = "OVER (PARTITION BY bucket ORDER BY at, kind ROWS UNBOUNDED PRECEDING)"
     lengths = range(ipf.BUCKET_BITS, ipf.ADDRESS_BITS + 1)
-    starts = {f"_s{n}": F.max(F.when(F.col("prefix_len") == n, F.col("at"))).over(order) for n in lengths}
-    short = F.max(F.when(F.col("prefix_len") < ipf.BUCKET_BITS, F.col("prefix_len"))).over(order)
-    carried = stream.withColumns({**starts, "_short": short}).filter("kind = 1")
-    hits = [F.when(F.col(f"_s{n}") == F.col("at") - F.col("at") % (1 << (32 - n)), F.lit(n)) for n in lengths]
-    found = carried.withColumn("prefix_len", F.greatest(F.col("_short"), *hits))
-    network = F.col("at") - F.col("at") % ipf.power_of_two(ipf.ADDRESS_BITS - F.col("prefix_len"))
-    keyed = found.select(ip, "bucket", network.alias("lo"), "prefix_len")
+    starts = [f"max(CASE WHEN prefix_len = {n} THEN at END) {so_far} AS s{n}" for n in lengths]
+    short = f"max(CASE WHEN prefix_len < {ipf.BUCKET_BITS} THEN prefix_len END) {so_far} AS short"
+    carried = stream.selectExpr("*", *starts, short).filter("kind = 1")
+    hits = [f"CASE WHEN s{n} = at - at % {1 << (ipf.ADDRESS_BITS - n)} THEN {n} END" for n in lengths]
+    keyed = carried.selectExpr(ip, "bucket", "at", f"greatest(short, {', '.join(hits)}) AS prefix_len").selectExpr(
+        ip, "bucket", f"at - at % shiftleft(1L, {ipf.ADDRESS_BITS} - prefix_len) AS lo", "prefix_len"
+    )
     # The bucket is part of the key, so no group passes 65,536 addresses even
     # when one short prefix holds most of them.
     joined = keyed.join(pieces, ["bucket", "lo", "prefix_len"], "left")
-    return joined.select(ip, "prefix_len", *[F.col("info")[c].alias(c) for c in extra])
+    return joined.select(ip, "prefix_len", *[f"info.{c}" for c in extra])
+
 
+def enrich(df: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+    """Every row of ``df`` with the attributes of its network (NULL if unknown).
 
-def enrich(df: DataFrame, networks: DataFrame, ip: str = "ip", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every row of ``df`` with the attributes of its network (NULL if unknown)."""
-    counts = df.groupBy(ip).agg(F.count("*").alias("n"))
-    located = locate_distinct(counts.select(ip), networks, ip).drop("prefix_len")
-    return attach(df, located, ip, counts, hot_rows)
+    Works on distinct addresses and joins back, as :func:`membership` does.
+    """
+    located = locate_distinct(df.select(ip).distinct(), networks, ip).drop("prefix_len")
+    return df.join(located, ip, "left")

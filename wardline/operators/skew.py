@@ -1,37 +1,14 @@
-"""Joins and lists that stay balanced when one key holds much of the data."""
+"""Value lists that stay bounded when one key holds much of the data."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows is spread over several tasks.
-HOT_ROWS = 1_000_000
 # Longest list put into one row; a longer list continues in further rows.
 LIST_ITEMS = 10_000
 
 
-def attach(
-    facts: DataFrame, lookup: DataFrame, key: str, key_counts: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left join a lookup with one row per key, spreading hot keys.
-
-    ``key_counts`` holds ``(key, n)`` with the number of fact rows per key.  A key
-    is hot from ``hot_rows`` rows on, so there are at most (fact rows / hot_rows)
-    hot keys: that bound makes the broadcast below safe.  A hot key is cut into
-    ``n / hot_rows`` parts by a hash of the whole fact row (the same on a task
-    retry) and its lookup row is repeated once per part.
-    """
-    parts = F.ceil(F.col("n") / hot_rows).cast("int").alias("_parts")
-    hot = F.broadcast(key_counts.filter(F.col("n") >= hot_rows).select(key, parts))
-    spread = F.pmod(F.xxhash64(*facts.columns), F.col("_parts")).cast("int")
-    salted = facts.join(hot, key, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_parts")
-    repeated = lookup.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-    )
-    return salted.join(repeated.drop("_parts"), [key, "_salt"], "left").drop("_salt")
-
-
 def chunked_lists(
     df: DataFrame, keys: list[str], value: str, out: str, part: str, list_items: int = LIST_ITEMS
 ) -> DataFrame:
