@@ -26,7 +26,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app_name: str = "wardline", cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(
+    app_name: str = "wardline", cores: str = "*", partitions: int = 8, settings: dict[str, str] | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -38,7 +40,7 @@ def local_session(app_name: str = "wardline", cores: str = "*", partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in RUNTIME_SETTINGS.items():
+    for key, value in {**RUNTIME_SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -56,5 +58,4 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="wardline-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
