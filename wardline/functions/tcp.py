@@ -73,7 +73,7 @@ def _col(c: Column | str) -> Column:
 
 
 def _hex(c: Column) -> Column:
-    return F.conv(c, 16, 10).try_cast("bigint")
+    return F.when(c.rlike("^[0-9A-Fa-f]+$"), F.conv(c, 16, 10).try_cast("bigint"))
 
 
 def mtu_type(mtu: Column | str) -> Column:
@@ -101,7 +101,10 @@ def option_tokens(options: Column) -> Column:
 
 
 def option_names(tokens: Column) -> Column:
-    """Option names in order; the end marker counts the padding that follows it."""
+    """Option names in order; the end marker counts the padding that follows it.
+
+    NULL when an option lacks (part of) its argument.
+    """
     end_position = F.array_position(tokens, "0")
     padding = F.size(F.filter(tokens, lambda t: t == "0")) - 1
 
@@ -112,7 +115,8 @@ def option_names(tokens: Column) -> Column:
 
     names = F.filter(F.transform(tokens, name), lambda n: n.isNotNull())
     joined = F.array_join(names, ",")
-    return F.when(padding > 0, F.concat(joined, F.lit("+"), padding.cast("string"))).otherwise(joined)
+    padded = F.when(padding > 0, F.concat(joined, F.lit("+"), padding.cast("string"))).otherwise(joined)
+    return F.when(~F.exists(tokens, lambda t: t.isin("2", "3")), padded)
 
 
 def _last_argument(tokens: Column, code: str) -> Column:
@@ -135,13 +139,12 @@ def decode(fingerprint: Column | str) -> Column:
     body = F.substring(text, F.lit(len(FINGERPRINT_PREFIX) + 1), F.length(text))
     rest = F.substring(body, F.lit(10), F.length(body))
     has_mark = rest.contains("+")
-    # Without a mark the last character is not an option, and the payload size
-    # falls back to the first character of the body.
-    option_text = F.when(has_mark, F.substring_index(rest, "+", 1)).otherwise(
-        F.substring(rest, F.lit(1), F.length(rest) - 1)
-    )
+    # Without a mark a last single character is not an option, and the payload
+    # size falls back to the first character of the body.
     after = F.when(has_mark, F.substring(rest, F.instr(rest, "+") + 1, F.length(rest))).otherwise("")
-    tokens = option_tokens(option_text)
+    found = option_tokens(F.substring_index(rest, "+", 1))
+    dangling = ~has_mark & (F.length(F.try_element_at(found, F.lit(-1))) == 1)
+    tokens = F.when(dangling, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
     ttl = _hex(F.substring(body, 3, 2))
     fields = F.struct(
         F.left(body, F.lit(1)).alias("format_version"),

@@ -3,7 +3,7 @@
 A modest ordered rule table; the first matching rule wins and anything else is
 ``Other``.  Known systems: Windows, iOS, Mac OS X, Android, Chrome OS, Linux.
 Known browsers: Edge, Opera, IE, Firefox, Chrome, Safari (with their mobile
-forms) and the command-line clients curl, Wget and Python Requests.
+forms), the old Android one and the command-line clients curl, Wget and Python Requests.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ BROWSER_RULES = (
     (r"CriOS/([0-9.]+)", "Chrome Mobile iOS"),
     (r"Chrome/([0-9.]+) Mobile", "Chrome Mobile"),
     (r"Chrome/([0-9.]+)", "Chrome"),
+    (r"Android.*Version/([0-9.]+).* Safari/", "Android"),
     (r"Version/([0-9.]+).* Mobile/.*Safari/", "Mobile Safari"),
     (r"Version/([0-9.]+).* Safari/", "Safari"),
     (r"curl/([0-9.]+)", "curl"),
