@@ -279,10 +279,10 @@ def ip_reverse(spark, sf_dir):
 
 @query
 def ip_numbers(spark, sf_dir):
-    number = ipf.ip_to_long("ip")
-    stored = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return view(spark, sf_dir, "requests").select(
-        "event_id", number.alias("number"), ipf.long_to_ip(number).alias("back"), ipf.binary_to_ip(stored).alias("from_binary")
+    numbers = view(spark, sf_dir, "requests").select("event_id", ipf.ip_to_long("ip").alias("number"))
+    stored = numbers.withColumn("stored", F.unhex(F.lpad(F.hex("number"), 8, "0")))
+    return stored.select(
+        "event_id", "number", ipf.long_to_ip("number").alias("back"), ipf.binary_to_ip("stored").alias("from_binary")
     )
 
 
@@ -368,8 +368,8 @@ def _document_lines(spark, sf_dir):
 def _wanted_addresses(spark, sf_dir):
     """Addresses named in documents, also without their last digit, and all clients."""
     named = _document_lines(spark, sf_dir).select(F.explode(search.whole_quads(F.col("line"))).alias("ip"))
-    shorter = named.select(F.regexp_replace("ip", "([0-9])[0-9]$", "$1").alias("ip"))
-    return named.unionByName(shorter).unionByName(view(spark, sf_dir, "ips")).distinct()
+    both = F.array("ip", F.regexp_replace("ip", "([0-9])[0-9]$", "$1"))
+    return named.select(F.explode(both).alias("ip")).unionByName(view(spark, sf_dir, "ips")).distinct()
 
 
 @query

@@ -73,10 +73,10 @@ def cidr_bounds(c: Column | str) -> Column:
     """``a.b.c.d/n`` to ``struct(lo, hi)``; host bits are cleared, bad text gives NULL."""
     c = _col(c)
     base = ip_to_long(F.substring_index(c, "/", 1))
-    prefix_len = F.substring_index(c, "/", -1).try_cast("int")
+    prefix_len = F.when(c.rlike("/[0-9]{1,2}$"), F.substring_index(c, "/", -1).try_cast("int"))
     size = power_of_two(ADDRESS_BITS - prefix_len)
     lo = base - base % size
-    usable = base.isNotNull() & prefix_len.between(0, ADDRESS_BITS) & c.contains("/")
+    usable = base.isNotNull() & prefix_len.between(0, ADDRESS_BITS)
     return F.when(usable, F.struct(lo.alias("lo"), (lo + size - 1).alias("hi")))
 
 

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_FINDING = T.StructType().add("path", T.StringType()).add("value", T.StringType())
 REPORT_SCHEMA = (
     T.StructType()
     .add("valid", T.BooleanType())
     .add("duplicate_keys", T.ArrayType(T.StringType()))
-    .add(
-        "duplicate_values",
-        T.ArrayType(T.StructType().add("path", T.StringType()).add("value", T.StringType())),
-    )
+    .add("duplicate_values", T.ArrayType(_FINDING))
+)
+_REPORT_ARROW = pa.struct(
+    [
+        ("valid", pa.bool_()),
+        ("duplicate_keys", pa.list_(pa.string())),
+        ("duplicate_values", pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))),
+    ]
 )
 _FLAT_OBJECT = r"^\s*\{[^{}\[\]]*\}\s*$"
 
@@ -60,11 +65,10 @@ def inspect_document(text: str) -> dict:
     return {"valid": True, "duplicate_keys": sorted(set(repeated_keys)), "duplicate_values": findings}
 
 
-@F.pandas_udf(REPORT_SCHEMA)
-def _inspect(texts: pd.Series) -> pd.DataFrame:
-    blank = {"valid": None, "duplicate_keys": None, "duplicate_values": None}
-    rows = [blank if text is None else inspect_document(text) for text in texts]
-    return pd.DataFrame(rows, columns=["valid", "duplicate_keys", "duplicate_values"])
+@F.arrow_udf(REPORT_SCHEMA)
+def _inspect(texts: pa.Array) -> pa.Array:
+    reports = [None if text is None else inspect_document(text) for text in texts.to_pylist()]
+    return pa.array(reports, type=_REPORT_ARROW)
 
 
 def json_report(c: Column | str) -> Column:
@@ -74,7 +78,11 @@ def json_report(c: Column | str) -> Column:
     parser refuses repeated keys), so such rows never reach Python.
     """
     c = F.col(c) if isinstance(c, str) else c
-    is_clean = c.rlike(_FLAT_OBJECT) & F.try_parse_json(c).isNotNull()
-    clean = F.from_json(F.lit('{"valid":true,"duplicate_keys":[],"duplicate_values":[]}'), REPORT_SCHEMA)
-    checked = _inspect(F.when(~F.coalesce(is_clean, F.lit(False)), c))
-    return F.when(is_clean, clean).otherwise(F.when(c.isNotNull(), checked))
+    is_clean = F.coalesce(c.rlike(_FLAT_OBJECT) & F.try_parse_json(c).isNotNull(), F.lit(False))
+    nothing_found = F.struct(
+        F.lit(True).alias("valid"),
+        F.array().cast("array<string>").alias("duplicate_keys"),
+        F.array().cast(T.ArrayType(_FINDING)).alias("duplicate_values"),
+    )
+    checked = _inspect(F.when(~is_clean, c))
+    return F.coalesce(checked, F.when(c.isNotNull(), nothing_found))

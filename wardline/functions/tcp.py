@@ -133,20 +133,29 @@ def quirk_names(letters: Column, long_form: bool = False) -> Column:
     return F.when(known, F.transform(each, lambda x: lookup(table, x)))
 
 
-def decode(fingerprint: Column | str) -> Column:
-    """All fields of a fingerprint as one struct; NULL for other text."""
-    text = _col(fingerprint)
+def _parts(text: Column) -> Column:
+    """Body, option tokens and what follows the ``+`` mark of a fingerprint."""
     body = F.substring(text, F.lit(len(FINGERPRINT_PREFIX) + 1), F.length(text))
     rest = F.substring(body, F.lit(10), F.length(body))
     has_mark = rest.contains("+")
+    after = F.substring(rest, F.instr(rest, "+") + 1, F.length(rest))
+    return F.struct(
+        body.alias("body"),
+        has_mark.alias("has_mark"),
+        F.when(has_mark, after).otherwise("").alias("after"),
+        option_tokens(F.substring_index(rest, "+", 1)).alias("found"),
+    )
+
+
+def _fields(parts: Column) -> Column:
+    body, after, found = parts["body"], parts["after"], parts["found"]
     # Without a mark a last single character is not an option, and the payload
     # size falls back to the first character of the body.
-    after = F.when(has_mark, F.substring(rest, F.instr(rest, "+") + 1, F.length(rest))).otherwise("")
-    found = option_tokens(F.substring_index(rest, "+", 1))
-    dangling = ~has_mark & (F.length(F.try_element_at(found, F.lit(-1))) == 1)
+    dangling = ~parts["has_mark"] & (F.length(F.try_element_at(found, F.lit(-1))) == 1)
     tokens = F.when(dangling, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
     ttl = _hex(F.substring(body, 3, 2))
-    fields = F.struct(
+    letters = F.substring(after, F.lit(2), F.length(after))
+    return F.struct(
         F.left(body, F.lit(1)).alias("format_version"),
         F.substring(body, 2, 1).alias("ip_version"),
         ttl.alias("ttl"),
@@ -157,12 +166,17 @@ def decode(fingerprint: Column | str) -> Column:
         _last_argument(tokens, "2").alias("mss"),
         F.coalesce(_last_argument(tokens, "3"), F.lit(0).cast("bigint")).alias("scale"),
         option_names(tokens).alias("options"),
-        F.substring(F.when(has_mark, after).otherwise(body), 1, 1).alias("payload"),
-        F.array_join(quirk_names(F.substring(after, F.lit(2), F.length(after))), ",").alias("quirks"),
-        F.array_join(
-            quirk_names(F.substring(after, F.lit(2), F.length(after)), long_form=True), "; "
-        ).alias("quirk_meanings"),
+        F.substring(F.when(parts["has_mark"], after).otherwise(body), 1, 1).alias("payload"),
+        F.array_join(quirk_names(letters), ",").alias("quirks"),
+        F.array_join(quirk_names(letters, long_form=True), "; ").alias("quirk_meanings"),
     )
+
+
+def decode(fingerprint: Column | str) -> Column:
+    """All fields of a fingerprint as one struct; NULL for other text."""
+    text = _col(fingerprint)
+    # A one-item array: the text is split once and every field is read from that.
+    fields = F.get(F.transform(F.array(_parts(text)), _fields), F.lit(0))
     return F.when(text.startswith(FINGERPRINT_PREFIX), fields)
 
 

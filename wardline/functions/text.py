@@ -27,6 +27,7 @@ SPARK_TYPE = {
 
 _DAY = r"[0-9]{4}-(?:1[0-2]|0?[1-9])-(?:3[01]|[12][0-9]|0?[1-9])"
 _CLOCK = r"(?:2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]"
+_DAY_AND_CLOCK = rf"^{_DAY}(?:\s+{_CLOCK}(?:\.[0-9]{{1,6}})?)?$"
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 
@@ -37,8 +38,10 @@ def _col(c: Column | str) -> Column:
 
 def url_unquote(c: Column | str) -> Column:
     """Decode ``%XX``; ``+`` stays ``+`` and broken escapes stay as they are."""
-    kept_plus = F.replace(_col(c), F.lit("+"), F.lit("%2B"))
-    return F.try_url_decode(F.regexp_replace(kept_plus, "%(?![0-9A-Fa-f]{2})", "%25"))
+    c = _col(c)
+    kept_plus = F.replace(c, F.lit("+"), F.lit("%2B"))
+    decoded = F.try_url_decode(F.regexp_replace(kept_plus, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(c.contains("%"), decoded).otherwise(c)
 
 
 def safe_name(name: str) -> str:
@@ -105,9 +108,12 @@ def typed_value(c: Column | str, loader_type: str) -> Column:
     c = _col(c)
     if loader_type not in SPARK_TYPE:
         raise ValueError(f"unknown loader type: {loader_type!r}")
-    if SPARK_TYPE[loader_type] == "string":
+    target = SPARK_TYPE[loader_type]
+    if target == "string":
         return c
-    found = value_type(c)
-    numbers, days = ("int", "bigint", "double"), ("datetime", "date")
-    fitting = found.isin(*(numbers if loader_type in numbers else days))
-    return F.when(fitting, F.trim(c).try_cast(SPARK_TYPE[loader_type]))
+    # Patterns go first: the casts alone would accept forms such as 1d or a bare
+    # time of day, and a failing cast costs far more than a pattern.
+    if target in ("int", "bigint"):
+        number = F.when(c.rlike(_INTEGER), F.trim(c).try_cast("bigint"))
+        return number if target == "bigint" else F.when(F.abs(number) <= INT_LIMIT, number.cast("int"))
+    return F.when(c.rlike(_FLOAT if target == "double" else _DAY_AND_CLOCK), F.trim(c).try_cast(target))

@@ -19,7 +19,8 @@ def parse_lines(lines: DataFrame, header: list[str], line: str = "line", sep: st
     """
     schema = ", ".join([f"_f{i} string" for i in range(len(header))] + [f"{REJECT} string"])
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
-    parsed = lines.withColumn("_row", F.from_csv(F.col(line), schema, options))
+    # The explode makes one parsed row that all fields and later filters share.
+    parsed = lines.withColumn("_row", F.explode(F.array(F.from_csv(F.col(line), schema, options))))
     fields = [F.coalesce(F.col(f"_row._f{i}"), F.lit("")).alias(f"_f{i}") for i in range(len(header))]
     others = [c for c in lines.columns if c != line]
     return parsed.select(*others, *fields, F.col(f"_row.{REJECT}").alias(REJECT))
@@ -37,19 +38,23 @@ def type_votes(rows: DataFrame, names: list[str], columns: list[str], order: str
     """Winning loader type per column name over all rows.
 
     ``names`` are the header names of ``columns``; columns sharing a name vote
-    together.  Any text wins, then any bigint, then the most frequent type with
+    together.  ``order`` is an integer row number.  Any text wins, then any bigint, then the most frequent type with
     ties going to the type seen first.  Each task reduces its rows to one count
     per column and type before anything is exchanged.
     """
     cells = [
-        F.struct(F.lit(name).alias("column"), F.lit(i).alias("ordinal"), value_type(c).alias("type"))
+        F.struct(F.lit(name).alias("column"), F.lit(i).alias("ordinal"), F.col(c).alias("value"))
         for i, (name, c) in enumerate(zip(names, columns))
     ]
-    seen = rows.select(F.col(order).alias("_at"), F.explode(F.array(*cells)).alias("cell")).select(
-        "cell.column", "cell.ordinal", "cell.type", "_at"
+    # Turning columns into rows first keeps one copy of the detection code.
+    seen = rows.select(F.col(order).alias("_at"), F.inline(F.array(*cells))).select(
+        "_at", "column", "ordinal", value_type("value").alias("type")
+    )
+    # Row and position as one number, so that counting needs no sort.
+    place = F.col("_at").cast("bigint") * len(columns) + F.col("ordinal")
+    counts = seen.groupBy("column", "type").agg(
+        F.count("*").alias("_n"), F.min(place).alias("_first"), F.min("ordinal").alias("_ordinal")
     )
-    first = F.min(F.struct("_at", "ordinal")).alias("_first")
-    counts = seen.groupBy("column", "type").agg(F.count("*").alias("_n"), first, F.min("ordinal").alias("_ordinal"))
     # Most votes first, then earliest seen; a column has at most seven types.
     ranked = F.array_sort(
         F.collect_list(F.struct((-F.col("_n")).alias("rank"), F.col("_first").alias("first"), F.col("type").alias("type")))

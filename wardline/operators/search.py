@@ -32,7 +32,8 @@ def contained_quads(line: Column) -> Column:
 
 def whole_quads(line: Column) -> Column:
     """Dotted quads that stand alone, not inside a longer run of digits and dots."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(_WHOLE_TOKEN), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(line, F.lit(_WHOLE_TOKEN), F.lit(1)))
+    return F.when(line.rlike(_QUAD), found)
 
 
 def search_lines(lines: DataFrame, addresses: DataFrame, ip: str = "ip", line: str = "line", whole: bool = False) -> DataFrame:

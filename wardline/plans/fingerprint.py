@@ -9,11 +9,16 @@ from wardline.functions import tcp
 from wardline.operators.signatures import match_signatures
 
 
+def _decoded(df: DataFrame, fp: str) -> DataFrame:
+    """Add the decoded struct.  The explode keeps later filters on its fields from
+    being pushed down as further copies of the decoding."""
+    return df.withColumn("decoded", F.explode(F.array(tcp.decode(fp))))
+
+
 def decode_fingerprints(df: DataFrame, fp: str = "fp") -> DataFrame:
     """Every row with its decoded fields, link type and both signature texts."""
-    decoded = df.withColumn("decoded", tcp.decode(fp))
     d = F.col("decoded")
-    return decoded.select(
+    return _decoded(df, fp).select(
         *df.columns,
         d["ip_version"].alias("ip_version"),
         d["ttl"].alias("ttl"),
@@ -32,5 +37,4 @@ def decode_fingerprints(df: DataFrame, fp: str = "fp") -> DataFrame:
 
 def operating_systems(df: DataFrame, fp: str = "fp", strict: bool = False) -> DataFrame:
     """One row per input row and fitting system signature."""
-    decoded = df.withColumn("decoded", tcp.decode(fp))
-    return match_signatures(decoded, "decoded", strict).drop("decoded")
+    return match_signatures(_decoded(df, fp), "decoded", strict).drop("decoded")

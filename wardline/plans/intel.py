@@ -30,7 +30,7 @@ def detections(
     if ips is not None:
         seen = keep_listed(seen, "ip", ips)
     flagged = seen.filter(F.lower("heuristic_detected") != "false")
-    first = flagged.withColumn("evidence", F.get(parse_evidences("evidences"), F.lit(0)))
+    first = flagged.withColumn("evidence", F.explode(F.array(F.get(parse_evidences("evidences"), F.lit(0)))))
     return first.select(
         "ip",
         hour_of("ts").alias("hour"),

@@ -51,8 +51,8 @@ def split_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Log lines to ``_c0.._c72``; quoted fields stay whole, further fields are ignored."""
     schema = ", ".join(f"_c{i} string" for i in range(LOG_WIDTH))
     others = [c for c in lines.columns if c != line]
-    row = F.from_csv(F.col(line), schema, {"sep": " ", "escape": '"'}).alias("_row")
-    return lines.select(*others, row).select(*others, "_row.*")
+    row = F.from_csv(F.col(line), schema, {"sep": " ", "escape": '"'})
+    return lines.select(*others, F.inline(F.array(row)))
 
 
 def parse_access_log(lines: DataFrame, line: str = "line") -> DataFrame:
