@@ -3,6 +3,7 @@
 import gzip
 import io
 import os
+import random
 import tarfile
 
 import pytest
@@ -34,12 +35,14 @@ def test_numbered_lines(spark, tmp_path):
     assert all(r.line == f"{os.path.basename(r.path)} {r.line_no}" for r in got)
 
 
-@pytest.mark.parametrize("block_rows", [3, 10, 1_000_000])
-def test_number_rows(spark, block_rows):
-    frame = spark.createDataFrame([(k,) for k in (-5, 0, 7, 9, 100, 101, 102, 10**9)], "k bigint")
-    got = {r.k: r.row_no for r in rows.number_rows(frame, "k", block_rows=block_rows).collect()}
-    assert [k for k, _ in sorted(got.items(), key=lambda i: i[1])] == [-5, 0, 7, 9, 100, 101, 102, 10**9]
-    assert sorted(got.values()) == list(range(1, 9))
+@pytest.mark.parametrize("bits", [12, 20])
+def test_number_rows(spark, bits):
+    rng = random.Random(bits)
+    keys = [-5, 0, 7, 9, 100, 10**9, 2**63 - 1, -(2**63)] + [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    keys += range(5000, 6000)
+    frame = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(3)
+    got = {r.k: r.row_no for r in rows.number_rows(frame, "k", bits=bits).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys), start=1)}
 
 
 @pytest.mark.parametrize("lines, last", [(16, 8), (17, 9), (4, 4), (800, 8)])
@@ -57,6 +60,8 @@ def test_write_split(spark, tmp_path):
     writers.write_split(frame, "id", str(tmp_path / "out"))
     first = spark.read.csv(str(tmp_path / "out" / "part=1"), sep="\t", header=True).collect()
     assert [r.id for r in first] == ["0", "1", "2", "3"] and first[0].v == "v0"
+    assert len(list((tmp_path / "out").glob("part=*"))) == 9
+    assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).count() == 40
 
 
 def test_line_readers(spark, tmp_path):

@@ -127,14 +127,16 @@ def test_search_is_plain_containment(spark):
     wanted = ["1.1.1.1", "1.1.1.10", "11.1.1.1", "0.0.0.2", "10.0.0.25", "2.3.4.5", "1.2.3.4", "99.1.1.1", "8.8.8.8"]
     frame = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
     ips = spark.createDataFrame([(w,) for w in wanted], "ip string")
-    got = sorted((r.n, r.ip) for r in search.search_lines(frame, ips).collect())
+    got = sorted((r.n, r.ip) for r in search.search_lines(frame, ips, ["n"]).collect())
     assert got == sorted((n, w) for n, line in enumerate(lines) for w in wanted if w in line)
+    shown = search.with_lines(search.search_lines(frame, ips, ["n"]), frame, ["n"]).collect()
+    assert len(shown) == len(got) and all(r.ip in r.line for r in shown)
 
 
 def test_search_whole_tokens(spark):
     frame = spark.createDataFrame([(1, "11.1.1.1"), (2, "(1.1.1.1)."), (3, "1.1.1.1.5"), (4, "1.1.1.1 1.1.1.1")], "n int, line string")
     ips = spark.createDataFrame([("1.1.1.1",)], "ip string")
-    assert sorted(r.n for r in search.search_lines(frame, ips, whole=True).collect()) == [2, 4]
+    assert sorted(r.n for r in search.search_lines(frame, ips, ["n"], whole=True).collect()) == [2, 4]
 
 
 def test_keep_listed(spark):

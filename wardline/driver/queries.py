@@ -374,14 +374,15 @@ def _wanted_addresses(spark, sf_dir):
 
 @query
 def ip_search_lines(spark, sf_dir):
-    found = search.search_lines(_document_lines(spark, sf_dir), _wanted_addresses(spark, sf_dir))
-    return found.select("ip", "doc_id", "line_no", "line")
+    lines, keys = _document_lines(spark, sf_dir), ["doc_id", "line_no"]
+    hits = search.search_lines(lines, _wanted_addresses(spark, sf_dir), keys)
+    return search.with_lines(hits, lines, keys)
 
 
 @query
 def ip_search_tokens(spark, sf_dir):
-    found = search.search_lines(_document_lines(spark, sf_dir), _wanted_addresses(spark, sf_dir), whole=True)
-    return found.select("ip", "doc_id", "line_no")
+    lines = _document_lines(spark, sf_dir)
+    return search.search_lines(lines, _wanted_addresses(spark, sf_dir), ["doc_id", "line_no"], whole=True)
 
 
 # ---------------------------------------------------------------- typed load
@@ -432,7 +433,7 @@ def unfit_values(spark, sf_dir):
 @query
 def split_files(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return rows.split_rows(orders, "o_orderkey", block_rows=5000)
+    return rows.split_rows(orders, "o_orderkey")
 
 
 # ---------------------------------------------------------------- logs, rules, JSON

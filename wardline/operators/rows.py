@@ -5,32 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1_000_000
+BLOCK_BITS = 20
 FILE_COUNT = 8
 
 
-def _with_offsets(counts: DataFrame, block: str, out: str) -> DataFrame:
-    """Rows before each block.  ``counts`` has one small row per block."""
-    before = Window.partitionBy(F.lit(0)).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+def _offsets(counts: DataFrame, bits: int, shift: int) -> DataFrame:
+    """``(block, before)``: rows in all blocks that come earlier.
+
+    Blocks are numbers that share their upper bits with ``2**bits`` siblings at
+    most, so each window holds a bounded number of small rows; the rows before
+    all siblings come from the same step on the parents.
+    """
+    if shift >= 64:
+        siblings = Window.partitionBy(F.lit(0))
+        parents = None
+    else:
+        siblings = Window.partitionBy("parent")
+        counts = counts.withColumn("parent", F.shiftright("block", bits))
+        totals = counts.groupBy(F.col("parent").alias("block")).agg(F.sum("n").alias("n"))
+        parents = _offsets(totals, bits, shift + bits).withColumnsRenamed({"block": "parent", "before": "base"})
+    earlier = F.sum("n").over(siblings.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    local = counts.withColumn("before", F.coalesce(earlier, F.lit(0)))
+    if parents is None:
+        return local.select("block", "before")
+    return local.join(parents, "parent").select("block", (F.col("before") + F.col("base")).alias("before"))
 
 
-def number_rows(df: DataFrame, order: str, out: str = "row_no", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, order: str, out: str = "row_no", bits: int = BLOCK_BITS) -> DataFrame:
     """Dense 1-based numbers in the order of a unique integer column.
 
-    Rows are numbered inside value blocks of ``block_rows``; as the column is
-    unique a block never exceeds that many rows.  Only one count per block is
-    added up in order (a thousand billion rows give a million counts).
+    Rows are numbered inside blocks of ``2**bits`` consecutive values, which hold
+    at most that many rows, and each block starts after the rows of all earlier
+    blocks.  Works for dense and for sparse values.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block_rows))
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("_rows"))
-    offsets = _with_offsets(counts, "_block", "_before").select("_block", "_before")
-    within = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    blocked = df.withColumn("block", F.shiftright(F.col(order).cast("bigint"), bits))
+    counts = blocked.groupBy("block").agg(F.count("*").alias("n"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy(order))
     return (
-        blocked.withColumn("_within", within)
-        .join(offsets, "_block")
-        .withColumn(out, F.col("_before") + F.col("_within"))
-        .drop("_block", "_before", "_within")
+        blocked.withColumn("within", within)
+        .join(_offsets(counts, bits, 2 * bits), "block")
+        .select(*df.columns, (F.col("before") + F.col("within")).alias(out))
     )
 
 
@@ -43,9 +57,9 @@ def split_number(row_no: Column | str, total_lines: Column, files: int = FILE_CO
     return (1 + F.floor(c / size)).cast("int")
 
 
-def split_rows(df: DataFrame, order: str, files: int = FILE_COUNT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def split_rows(df: DataFrame, order: str, files: int = FILE_COUNT, bits: int = BLOCK_BITS) -> DataFrame:
     """Add ``row_no`` and the ``part`` each row is written to."""
-    numbered = number_rows(df, order, "row_no", block_rows)
+    numbered = number_rows(df, order, "row_no", bits)
     total = df.agg((F.count("*") + 1).alias("n")).scalar()
     return numbered.withColumn("part", split_number("row_no", total, files))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Beyond this many literals a list is joined instead of written into the plan.
 LITERAL_LIMIT = 1000
+# Key tables up to this many rows are sent to every task (some 10 MB of numbers).
+SMALL_KEYS = 1_000_000
 
 _QUAD = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 _ANYWHERE = rf"(?=({_QUAD}))"
@@ -36,25 +38,42 @@ def whole_quads(line: Column) -> Column:
     return F.when(line.rlike(_QUAD), found)
 
 
-def search_lines(lines: DataFrame, addresses: DataFrame, ip: str = "ip", line: str = "line", whole: bool = False) -> DataFrame:
-    """One row per line and listed address it contains.
+def search_lines(
+    lines: DataFrame, addresses: DataFrame, keys: list[str], ip: str = "ip", line: str = "line", whole: bool = False
+) -> DataFrame:
+    """``keys`` and address for each line that contains a listed address.
 
-    Containment is plain (``1.1.1.1`` is found in ``11.1.1.10``) unless ``whole``
-    is set.  Candidates are read off each line, so the listed addresses are
-    matched by an equality join.
+    ``keys`` identify a line.  Containment is plain (``1.1.1.1`` is found in
+    ``11.1.1.10``) unless ``whole`` is set.  Candidates are read off each line, so
+    the listed addresses are matched by an equality join that moves keys only,
+    however long the line or many its addresses.
     """
     found = whole_quads(F.col(line)) if whole else contained_quads(F.col(line))
-    candidates = lines.filter(F.col(line).rlike(_QUAD)).withColumn(ip, F.explode(found))
+    candidates = lines.filter(F.col(line).rlike(_QUAD)).select(*keys, F.explode(found).alias(ip))
     return candidates.join(addresses.select(ip).distinct(), ip, "left_semi")
 
 
-def keep_listed(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
-    """Rows whose column is in a short Python list or in a one-column DataFrame."""
+def with_lines(hits: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits with the text of their lines."""
+    return hits.join(lines, keys)
+
+
+def keep_listed(df: DataFrame, column: str, values: list | DataFrame, small: bool = False) -> DataFrame:
+    """Rows whose column is in a short Python list or in a one-column DataFrame.
+
+    ``small`` states that the distinct values have a known upper bound that fits
+    every task, such as the hours of the retention time.
+    """
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
-        return df.join(keys, column, "left_semi")
+        return df.join(F.broadcast(keys) if small else keys, column, "left_semi")
     if len(values) <= LITERAL_LIMIT:
         return df.filter(F.col(column).isin(list(values)))
     spark = df.sparkSession
     keys = spark.createDataFrame([(v,) for v in values], f"{column} {df.schema[column].dataType.simpleString()}")
     return keep_listed(df, column, keys)
+
+
+def fits_in_tasks(keys: DataFrame, limit: int = SMALL_KEYS) -> bool:
+    """Whether a key table has at most ``limit`` rows; reads no further than that."""
+    return keys.limit(limit + 1).count() <= limit

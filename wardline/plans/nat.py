@@ -10,7 +10,7 @@ from wardline.functions.timetokens import in_window
 from wardline.functions.useragent import parsed_columns
 from wardline.operators.activity import distinct_share, first_row_per
 from wardline.operators.ranges import enrich
-from wardline.operators.search import keep_listed
+from wardline.operators.search import fits_in_tasks, keep_listed
 
 # The industries that mark an account as business-related, and
 # the one that is reported on its own.
@@ -38,6 +38,19 @@ def _windowed(df: DataFrame, window: tuple[int, int] | None) -> DataFrame:
     return df.filter(in_window("ts", window)) if window and "ts" in df.columns else df
 
 
+def business_accounts(
+    accounts: DataFrame, industries: DataFrame, window: tuple[int, int] | None = None, excluded_names: str | None = None
+) -> DataFrame:
+    """``(cpcode, account_name, subvertical)`` of business-related accounts."""
+    named = _windowed(accounts, window)
+    if excluded_names is not None:
+        named = named.filter(~F.lower("account_name").rlike(excluded_names))
+    named = named.select("cpcode", "account_name", F.col("account").alias("account_id")).distinct()
+    business = F.col("subvertical").isin(*BUSINESS_SUBVERTICALS) | F.col("vertical").isin(*BUSINESS_VERTICALS)
+    fields = _windowed(industries, window).filter(business).select("account_id", "vertical", "subvertical").distinct()
+    return named.join(fields, "account_id").select("cpcode", "account_name", "subvertical")
+
+
 def nat_detection(
     requests: DataFrame,
     accounts: DataFrame,
@@ -49,28 +62,23 @@ def nat_detection(
 ) -> DataFrame:
     """Requests per address, business-related account and user agent.
 
-    Requests are summed before any join.  The industry filter turns both joins
-    into inner ones, and network attributes are looked up last, for the rows
-    that are left.  ``excluded_names`` is a pattern on lower-case account names.
+    The industry filter makes both account joins inner ones, so the two account
+    tables are joined first.  If they leave few codes, requests of other codes
+    are dropped before anything is exchanged; if not, requests are summed first
+    and joined then.  Network attributes are looked up last, for the rows that are
+    left.  ``excluded_names`` is a pattern on lower-case account names.
     """
+    wanted = business_accounts(accounts, industries, window, excluded_names)
     seen = _windowed(requests, window)
     if ips is not None:
         seen = keep_listed(seen, "ip", ips)
+    codes = wanted.select("cpcode").distinct()
+    if fits_in_tasks(codes):
+        seen = keep_listed(seen, "cpcode", codes, small=True)
     totals = seen.groupBy("ip", "cpcode", F.col("user_agent").alias("ua")).agg(
         F.sum("total_counter").alias("total")
     )
-    named = _windowed(accounts, window)
-    if excluded_names is not None:
-        named = named.filter(~F.lower("account_name").rlike(excluded_names))
-    named = named.select("cpcode", "account_name", F.col("account").alias("account_id")).distinct()
-    business = F.col("subvertical").isin(*BUSINESS_SUBVERTICALS) | F.col("vertical").isin(*BUSINESS_VERTICALS)
-    fields = _windowed(industries, window).select("account_id", "vertical", "subvertical").distinct()
-    matched = (
-        totals.join(named, "cpcode", "left")
-        .join(fields, "account_id", "left")
-        .filter(business)
-        .select("ip", "account_name", "subvertical", "ua", "total")
-    )
+    matched = totals.join(wanted, "cpcode").select("ip", "account_name", "subvertical", "ua", "total")
     return enrich(matched, networks).select(*RESULT_COLUMNS)
 
 

@@ -33,10 +33,13 @@ def write_metrics(points: DataFrame, path: str, prefix: str | None = None, mode:
 
 
 def write_split(df: DataFrame, order: str, path: str, files: int = 8, mode: str = "errorifexists") -> None:
-    """Cut rows into about ``files`` folders in row order, each with a header."""
-    parts = split_rows(df, order, files).drop("row_no").repartition("part")
-    ordered = parts.sortWithinPartitions("part", order)
-    ordered.write.mode(mode).partitionBy("part").csv(path, sep="\t", header=True)
+    """Cut rows into about ``files`` folders in row order, each file with a header.
+
+    A part is one file when it is small and several files in name order when it
+    is large, so that no task writes a whole part of a large input.
+    """
+    ordered = split_rows(df, order, files).repartitionByRange("row_no").sortWithinPartitions("part", "row_no")
+    ordered.drop("row_no").write.mode(mode).partitionBy("part").csv(path, sep="\t", header=True)
 
 
 def tag_rows(df: DataFrame, tag: str | Column, column: str = "query_file") -> DataFrame:
