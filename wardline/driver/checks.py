@@ -310,7 +310,7 @@ add(
     f"every AS (SELECT lo, hi FROM v_overlaps UNION ALL SELECT {number('ip')}, {number('ip')} FROM v_ips)",
 )
 DRIFT = """SELECT prefix, CASE WHEN o.prefix IS NULL THEN 'added' WHEN n.prefix IS NULL THEN 'removed' ELSE 'unchanged' END
-    AS status, CASE WHEN o.prefix IS NULL THEN 1 WHEN n.prefix IS NULL THEN -1 ELSE 0 END AS change
+    AS status, CAST(CASE WHEN o.prefix IS NULL THEN 1 WHEN n.prefix IS NULL THEN -1 ELSE 0 END AS BIGINT) AS change
     FROM {old} o FULL JOIN {new} n USING (prefix)"""
 PLAIN_DRIFT = DRIFT.format(old="v_prefix_old", new="v_prefix_new")
 add("prefix_drift", "prefix_old prefix_new", PLAIN_DRIFT)
@@ -348,7 +348,7 @@ add("listed_requests", "requests logins", "SELECT event_id, ip FROM v_requests W
 QUAD = "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"
 LINES = f"""
     split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-    lines AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM split),
+    lines AS (SELECT doc_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_no, unnest(parts) AS line FROM split),
     spots AS (SELECT *, regexp_extract_all(line, '[0-9.]+') AS runs FROM lines WHERE regexp_matches(line, '{QUAD}')),
     tokens AS (SELECT doc_id, line_no, unnest(runs) AS run FROM spots),
     trimmed AS (SELECT doc_id, line_no, regexp_replace(run, '[.]+$', '') AS tok FROM tokens),
@@ -388,7 +388,7 @@ add(
     ORDER_VOTES + "," + CUSTOMER_VOTES,
 )
 CHECKS["typed_load"] = """SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey,
-    CAST(o_orderkey AS INTEGER) AS order_key, CAST(o_custkey AS INTEGER) AS cust_key, o_orderkey * 100000 AS big,
+    CAST(o_orderkey AS INTEGER) AS order_key, CAST(o_custkey AS INTEGER) AS cust_key, o_orderkey * 10000000 AS big,
     o_orderstatus AS status, o_totalprice AS total_price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date,
     CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE 7 END AS mixed, o_orderpriority AS priority
     FROM orders WHERE o_orderkey % 97 <> 0"""
@@ -396,7 +396,7 @@ add("rejected_lines", "order_lines", "SELECT line FROM v_order_lines WHERE o_ord
 CHECKS["unfit_values"] = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 97 <> 0)
     SELECT 'order_key' AS "column", count(*) FILTER (WHERE o_orderkey > 2147483647) AS unfit FROM o
     UNION ALL SELECT 'cust_key', count(*) FILTER (WHERE o_custkey > 2147483647) FROM o
-    UNION ALL SELECT 'big', count(*) FILTER (WHERE o_orderkey * 100000 > 2147483647) FROM o
+    UNION ALL SELECT 'big', count(*) FILTER (WHERE o_orderkey * 10000000 > 2147483647) FROM o
     UNION ALL SELECT 'status', count(*) FILTER (WHERE o_orderstatus <> '') FROM o
     UNION ALL SELECT 'total_price', count(*) FILTER (WHERE o_totalprice IS NOT NULL) FROM o
     UNION ALL SELECT 'order_date', 0 FROM (SELECT 1)
@@ -481,7 +481,10 @@ A = "don''t fragment bit set (ipv4)"
 add(
     "tcp_fingerprint",
     "fingerprints",
-    "SELECT user_id, fp, x.* EXCLUDE (k) FROM v_fingerprints JOIN x ON user_id % 5 = k",
+    "SELECT user_id, fp, ip_version, CAST(ttl AS BIGINT) AS ttl, CAST(distance AS BIGINT) AS distance, "
+    "CAST(initial_ttl AS BIGINT) AS initial_ttl, CAST(\"window\" AS BIGINT) AS \"window\", CAST(mss AS BIGINT) AS mss, "
+    "CAST(scale AS BIGINT) AS scale, quirk_meanings, CAST(mtu AS BIGINT) AS mtu, link_type, raw_signature, "
+    "general_signature FROM v_fingerprints JOIN x ON user_id % 5 = k",
     f"""x(k, ip_version, ttl, distance, initial_ttl, "window", mss, scale, quirk_meanings, mtu, link_type, raw_signature, general_signature) AS (VALUES
     (0, '4', 64, 0, 64, 65535, 1460, 1, '{B}', 1500, 'Ethernet or modem (PPPoE)', '4:64:0:1460:65535,1:mss,nop,ws,nop,nop,ts,sok,eol+1:df,id+:0', '*:64:0:*:44*mss,1:mss,nop,ws,nop,nop,ts,sok,eol+1:df,id+:0'),
     (1, '4', 116, 12, 128, 8192, 1460, 8, '{B}', 1500, 'Ethernet or modem (PPPoE)', '4:128:0:1460:8192,8:mss,nop,ws,nop,nop,sok:df,id+:0', '*:128:0:*:5*mss,8:mss,nop,ws,nop,nop,sok:df,id+:0'),

@@ -42,18 +42,22 @@ def _listed(df: DataFrame, column: str) -> DataFrame:
 # ---------------------------------------------------------------- shared addresses
 
 
-@query
-def nat_detection(spark, sf_dir):
+def _detected(spark, sf_dir, networks: DataFrame | None = None) -> DataFrame:
     return nat.nat_detection(
         view(spark, sf_dir, "requests", MONTH),
         view(spark, sf_dir, "accounts"),
         view(spark, sf_dir, "industries"),
-        view(spark, sf_dir, "networks"),
+        networks,
         window=MONTH,
         excluded_names=EXCLUDED,
     )
 
 
+@query
+def nat_detection(spark, sf_dir):
+    return _detected(spark, sf_dir, view(spark, sf_dir, "networks"))
+
+
 @query
 def nat_detection_listed(spark, sf_dir):
     """Detection for the addresses that also show up in client intelligence."""
@@ -74,47 +78,47 @@ def nat_result_file(spark, sf_dir):
 
 @query
 def nat_ua_distribution(spark, sf_dir):
-    return nat.agent_distribution(nat_detection(spark, sf_dir))
+    return nat.agent_distribution(_detected(spark, sf_dir))
 
 
 @query
 def nat_ua_kinds(spark, sf_dir):
-    return nat.agent_kinds(nat_detection(spark, sf_dir))
+    return nat.agent_kinds(_detected(spark, sf_dir))
 
 
 @query
 def nat_account_labels(spark, sf_dir):
-    return nat.account_labels(nat_detection(spark, sf_dir))
+    return nat.account_labels(_detected(spark, sf_dir))
 
 
 @query
 def nat_account_split(spark, sf_dir):
-    return nat.account_split(nat_detection(spark, sf_dir))
+    return nat.account_split(_detected(spark, sf_dir))
 
 
 @query
 def nat_account_split_first_row(spark, sf_dir):
-    return nat.account_split(nat_detection(spark, sf_dir), first_row=True)
+    return nat.account_split(_detected(spark, sf_dir), first_row=True)
 
 
 @query
 def nat_account_split_per_ip(spark, sf_dir):
-    return nat.account_split(nat_detection(spark, sf_dir), by=["ip"])
+    return nat.account_split(_detected(spark, sf_dir), by=["ip"])
 
 
 @query
 def nat_account_split_per_ip_first_row(spark, sf_dir):
-    return nat.account_split(nat_detection(spark, sf_dir), by=["ip"], first_row=True)
+    return nat.account_split(_detected(spark, sf_dir), by=["ip"], first_row=True)
 
 
 @query
 def nat_size_guess(spark, sf_dir):
-    return nat.size_guess(nat_detection(spark, sf_dir))
+    return nat.size_guess(_detected(spark, sf_dir))
 
 
 @query
 def nat_size_guess_per_ip(spark, sf_dir):
-    return nat.size_guess(nat_detection(spark, sf_dir), by=["ip"])
+    return nat.size_guess(_detected(spark, sf_dir), by=["ip"])
 
 
 @query

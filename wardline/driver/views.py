@@ -334,7 +334,7 @@ VIEWS: dict[str, tuple[View, ...]] = {
             (
                 "o_orderkey",
                 "concat(cast(o_orderkey AS string), chr(9), cast(o_custkey AS string), chr(9), "
-                "cast(o_orderkey * 100000 AS string), chr(9), o_orderstatus, chr(9), "
+                "cast(o_orderkey * 10000000 AS string), chr(9), o_orderstatus, chr(9), "
                 "cast(o_totalprice AS string), chr(9), substring(cast(o_orderdate AS string), 1, 10), chr(9), "
                 "CASE o_orderkey % 4 WHEN 3 THEN '1.5' ELSE '7' END, chr(9), "
                 "concat('\"', o_orderpriority, '\"'), "

@@ -55,7 +55,7 @@ def nat_detection(
     requests: DataFrame,
     accounts: DataFrame,
     industries: DataFrame,
-    networks: DataFrame,
+    networks: DataFrame | None,
     window: tuple[int, int] | None = None,
     ips: list | DataFrame | None = None,
     excluded_names: str | None = None,
@@ -66,7 +66,8 @@ def nat_detection(
     tables are joined first.  If they leave few codes, requests of other codes
     are dropped before anything is exchanged; if not, requests are summed first
     and joined then.  Network attributes are looked up last, for the rows that are
-    left.  ``excluded_names`` is a pattern on lower-case account names.
+    left; reports that need none of them pass ``networks=None``.
+    ``excluded_names`` is a pattern on lower-case account names.
     """
     wanted = business_accounts(accounts, industries, window, excluded_names)
     seen = _windowed(requests, window)
@@ -79,7 +80,7 @@ def nat_detection(
         F.sum("total_counter").alias("total")
     )
     matched = totals.join(wanted, "cpcode").select("ip", "account_name", "subvertical", "ua", "total")
-    return enrich(matched, networks).select(*RESULT_COLUMNS)
+    return matched if networks is None else enrich(matched, networks).select(*RESULT_COLUMNS)
 
 
 def sorted_result(result: DataFrame) -> DataFrame:
