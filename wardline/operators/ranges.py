@@ -150,7 +150,9 @@ def locate_distinct(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -
     )
     pieces = long_ones.unionByName(short_ones)
 
-    points = addresses.select(ip, ipf.ip_to_long(ip).alias("at")).filter(F.col("at").isNotNull())
+    # An explode instead of a filter on the number: a filter would be pushed into
+    # the input and keep it from sharing exchanges with the caller's own rows.
+    points = addresses.select(ip, F.explode(F.array_compact(F.array(ipf.ip_to_long(ip)))).alias("at"))
     stream = points.selectExpr(
         ip, f"int(shiftright(at, {ipf.BUCKET_BITS})) AS bucket", "at", "int(NULL) AS prefix_len", "1 AS kind"
     ).unionByName(
@@ -177,10 +179,14 @@ def locate_distinct(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -
     return joined.select(ip, "prefix_len", *[f"info.{c}" for c in extra])
 
 
-def enrich(df: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+def enrich(
+    df: DataFrame, networks: DataFrame, ip: str = "ip", addresses: DataFrame | None = None
+) -> DataFrame:
     """Every row of ``df`` with the attributes of its network (NULL if unknown).
 
-    Works on distinct addresses and joins back, as :func:`membership` does.
+    Works on distinct addresses (given, or taken from ``df``) and joins back, as
+    :func:`membership` does.
     """
-    located = locate_distinct(df.select(ip).distinct(), networks, ip).drop("prefix_len")
+    distinct = df.select(ip).distinct() if addresses is None else addresses
+    located = locate_distinct(distinct, networks, ip).drop("prefix_len")
     return df.join(located, ip, "left")

@@ -41,7 +41,8 @@ def gather_evidence(
         .join(hosts, ["id", "ts"], "left")
     )
     owners = networks.select("lo", "prefix_len", "company", "domain")
-    return enrich(joined, owners).select(
+    addresses = wanted.select(F.col("client_id").alias("ip")).distinct()
+    return enrich(joined, owners, addresses=addresses).select(
         "ip", "company", "domain", "heuristic_name", "score", "key", "value", "hosts",
         F.coalesce("list_part", F.lit(0)).alias("list_part"), "ts",
     )

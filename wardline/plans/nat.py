@@ -70,17 +70,22 @@ def nat_detection(
     ``excluded_names`` is a pattern on lower-case account names.
     """
     wanted = business_accounts(accounts, industries, window, excluded_names)
-    seen = _windowed(requests, window)
+    seen = _windowed(requests, window).filter(F.col("ip").isNotNull())
     if ips is not None:
         seen = keep_listed(seen, "ip", ips)
     codes = wanted.select("cpcode").distinct()
-    if fits_in_tasks(codes):
+    if fits_in_tasks(accounts) or fits_in_tasks(codes):
         seen = keep_listed(seen, "cpcode", codes, small=True)
     totals = seen.groupBy("ip", "cpcode", F.col("user_agent").alias("ua")).agg(
         F.sum("total_counter").alias("total")
     )
     matched = totals.join(wanted, "cpcode").select("ip", "account_name", "subvertical", "ua", "total")
-    return matched if networks is None else enrich(matched, networks).select(*RESULT_COLUMNS)
+    if networks is None:
+        return matched
+    # Every row passes this filter.  As it names the total, the addresses come out
+    # of the same summed exchange as the rows, and requests are read only once.
+    addresses = matched.filter(F.col("ip").isNotNull() | F.col("total").isNotNull()).select("ip").distinct()
+    return enrich(matched, networks, addresses=addresses).select(*RESULT_COLUMNS)
 
 
 def sorted_result(result: DataFrame) -> DataFrame:
@@ -152,7 +157,11 @@ def account_split(result: DataFrame, by: list[str] | None = None, first_row: boo
         order = [c for c in ("ip", "ua", "total") if c not in keys]
         firsts = first_row_per(rows, [*keys, "label"], order, [*order, "ad"])
         head, tail = rows.groupBy(*keys).agg(*agents), firsts.groupBy(*keys).agg(*ad_parts)
-        split = head.join(tail, keys) if keys else _side_by_side(head, tail)
+        if keys:
+            split = head.join(tail, keys)
+        else:
+            one_row = head.select(F.struct("all_uas", "accounts")).scalar()
+            split = tail.select("*", one_row.alias("head")).select("*", "head.all_uas", "head.accounts")
     return split.select(
         *keys,
         "ad_accounts",
@@ -164,11 +173,6 @@ def account_split(result: DataFrame, by: list[str] | None = None, first_row: boo
     )
 
 
-def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row frames as one row."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def size_guess(result: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Likely size of the network behind the addresses, from business accounts."""
     counts = account_split(result, by).select(*(by or []), "business_accounts")
