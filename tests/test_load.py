@@ -16,6 +16,7 @@ from wardline.sources import readers, writers
 
 
 def write(path, content, mode="w"):
+    path.parent.mkdir(exist_ok=True)
     with open(path, mode) as f:
         f.write(content)
     return str(path)
@@ -33,6 +34,7 @@ def test_numbered_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 5334
     assert all(r.line == f"{os.path.basename(r.path)} {r.line_no}" for r in got)
+    assert [r.row_no for r in sorted(got, key=lambda r: (r.path, r.line_no))] == list(range(1, 5335))
 
 
 @pytest.mark.parametrize("bits", [12, 20])
@@ -163,6 +165,10 @@ def test_load_and_conflicts(spark, tmp_path):
         load_tsv(spark, other, "loaded", "append")
     load_tsv(spark, other, "loaded", "overwrite")
     assert [tuple(r) for r in spark.table("loaded").collect()] == [(1, "a", "b")]
+    write(tmp_path / "two" / "b.tsv", "Key\tValue\n3\t3\n")
+    write(tmp_path / "two" / "a.tsv", "Key\tValue\n1\t1\n2\t2\n")
+    load_tsv(spark, str(tmp_path / "two"), "loaded", "overwrite")
+    assert [tuple(r) for r in spark.table("loaded").orderBy("id").collect()] == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]
     for name in ("loaded", "loaded_two"):
         writers.drop_table(spark.range(1), name)
         assert not spark.catalog.tableExists(name)

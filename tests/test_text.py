@@ -42,7 +42,7 @@ TYPES = {
     "9" * 40: "bigint", "1.5": "double", ".5": "double", "5.": "double", "1e5": "double", "nan": "double", "-Inf": "double",
     "1d": "text", "0x1": "text", "": "text", "1,5": "text", "2016-01-02": "date", "2016-1-2": "date", "2016-02-30": "text",
     "2016-01-02 03:04:05": "datetime", "2016-01-02 03:04:05.123456": "datetime", "2016-02-30 03:04:05": "text",
-    "2016-01-02T03:04:05": "text", "23:59:59": "time", "24:00:00": "text",
+    "2016-01-02T03:04:05": "text", "23:59:59": "time", "24:00:00": "text", "23:59:61": "time",
 }
 
 

@@ -99,3 +99,13 @@ def test_in_window_and_hours(spark):
     assert [r.ts for r in rows.filter(tt.in_window("ts", (0, 10))).collect()] == [0, 5]
     assert [r.ts for r in rows.filter(tt.in_window("ts", (0, 10), closed=True)).collect()] == [0, 5, 10]
     assert [r.h for r in rows.select(tt.hour_of("ts").alias("h")).collect()] == [0, 0, 0, 3_600_000, -3_600_000]
+
+
+def test_days_prune_partitions(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "date_add(date'2024-01-01', int(id)) AS day", "1704067200000 + id * 86400000 AS ts")
+    rows.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    window = (1704067200000 + 2 * DAY, 1704067200000 + 4 * DAY)
+    kept = spark.read.parquet(str(tmp_path / "t")).filter(tt.in_days("day", window) & tt.in_window("ts", window))
+    assert sorted(r.id for r in kept.collect()) == [2, 3]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(ts)" in plan

@@ -27,6 +27,7 @@ SPARK_TYPE = {
 
 _DAY = r"[0-9]{4}-(?:1[0-2]|0?[1-9])-(?:3[01]|[12][0-9]|0?[1-9])"
 _CLOCK = r"(?:2[0-3]|[01]?[0-9]):[0-5]?[0-9]:[0-5]?[0-9]"
+_LEAP_CLOCK = r"(?:2[0-3]|[01]?[0-9]):[0-5]?[0-9]:6[01]"
 _DAY_AND_CLOCK = rf"^{_DAY}(?:\s+{_CLOCK}(?:\.[0-9]{{1,6}})?)?$"
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
@@ -98,7 +99,7 @@ def value_type(c: Column | str) -> Column:
         .when(c.rlike(_FLOAT), "double")
         .when(c.rlike(rf"^{_DAY}\s+{_CLOCK}(?:\.[0-9]{{1,6}})?$") & day.isNotNull(), "datetime")
         .when(c.rlike(rf"^{_DAY}$") & day.isNotNull(), "date")
-        .when(c.rlike(rf"^{_CLOCK}$"), "time")
+        .when(c.rlike(rf"^{_CLOCK}$|^{_LEAP_CLOCK}$"), "time")
         .when(c.isNotNull(), "text")
     )
 

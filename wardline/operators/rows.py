@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.search import SMALL_KEYS
+
 BLOCK_BITS = 20
 FILE_COUNT = 8
 
@@ -32,7 +34,7 @@ def _offsets(counts: DataFrame, bits: int, shift: int) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: str, out: str = "row_no", bits: int = BLOCK_BITS) -> DataFrame:
-    """Dense 1-based numbers in the order of a unique integer column.
+    """Dense 1-based numbers in the order of a unique, filled integer column.
 
     Rows are numbered inside blocks of ``2**bits`` consecutive values, which hold
     at most that many rows, and each block starts after the rows of all earlier
@@ -65,12 +67,14 @@ def split_rows(df: DataFrame, order: str, files: int = FILE_COUNT, bits: int = B
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(path, line_no, line)`` with 1-based numbers per file.
-
-    Lines are counted per file block; a block's first number is the sum of the
-    counts before it in the same file.  The lines themselves are not shuffled
-    by this: ids grow inside a block, so the distance to the block's first id
-    is the position in it.
+    """Text files as ``(path, line_no, row_no, line)``.
+
+    ``line_no`` counts from 1 in each file, ``row_no`` through all files in path
+    order.  Lines are counted per file block; a block starts after the lines of
+    the blocks before it, and a file after the files before it, so the windows
+    hold one small row per block of a file and per file.  Ids grow inside a
+    block, so the distance to the block's first id is the position in it, and
+    the split of files into tasks is the same for both readings.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -79,8 +83,17 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("line"),
     )
     blocks = lines.groupBy("path", "_block").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
-    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = F.sum("_rows").over(earlier.partitionBy("path").orderBy("_block"))
+    in_all = F.sum("_lines").over(earlier.partitionBy(F.lit(0)).orderBy("path"))
+    files = blocks.groupBy("path").agg(F.sum("_rows").alias("_lines"))
+    bases = files.select("path", F.coalesce(in_all, F.lit(0)).alias("_base"))
+    starts = blocks.withColumn("_before", F.coalesce(in_file, F.lit(0))).join(bases, "path").drop("_rows")
+    line_no = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    # The file listing bounds the number of blocks: each reading task takes whole
+    # files and at most one further cut.  Lines are then joined where they are.
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= SMALL_KEYS:
+        starts = F.broadcast(starts)
     return lines.join(starts, ["path", "_block"]).select(
-        "path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line"
+        "path", line_no.alias("line_no"), (F.col("_base") + line_no).alias("row_no"), "line"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.ip import long_to_ip
-from wardline.operators.ranges import expand
+from wardline.operators.ranges import merge_ranges, split_by_bucket
 
 LIST_ENTRIES = 1000
 
@@ -15,14 +15,16 @@ def score_override(ranges: DataFrame, content: str = "Other") -> DataFrame:
     """``{ip: {content: 0}, ...}``, one document per /24 that occurs.
 
     The documents have no address in common, so together they are the whole.
+    Ranges are merged first and cut at /24 borders, so what is exchanged is one
+    row per piece and not per address.
     """
-    addresses = expand(ranges.select("lo", "hi")).distinct()
-    by_block = addresses.groupBy(F.shiftright("address", 8).alias("block")).agg(
-        F.array_sort(F.collect_list("address")).alias("addresses")
-    )
+    pieces = split_by_bucket(merge_ranges(ranges.select("lo", "hi")))
+    in_blocks = pieces.withColumn("block", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))))
+    first = F.shiftleft("block", 8)
+    addresses = F.sequence(F.greatest(F.col("lo"), first), F.least(F.col("hi"), first + 255))
+    by_block = in_blocks.groupBy("block").agg(F.array_sort(F.flatten(F.collect_list(addresses))).alias("addresses"))
     entry = F.create_map(F.lit(content), F.lit(0))
     named = F.map_from_entries(F.transform("addresses", lambda a: F.struct(long_to_ip(a), entry)))
-    first = F.shiftleft("block", 8)
     return by_block.select(long_to_ip(first).alias("first_ip"), F.to_json(named).alias("document"))
 
 

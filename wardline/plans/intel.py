@@ -54,7 +54,8 @@ def rollup(found: DataFrame) -> DataFrame:
         F.transform("accounts", lambda a: F.struct(F.lit("account").alias("kind"), a.alias("value"))),
     )
     opened = found.select(F.inline(entries))
-    return opened.filter((F.col("kind") == "category") | (F.col("value") != "")).distinct()
+    named = F.col("value").isNotNull() & ((F.col("kind") == "category") | (F.col("value") != ""))
+    return opened.filter(named).distinct()
 
 
 def hosts_per_heuristic(found: DataFrame, list_items: int = LIST_ITEMS) -> DataFrame:

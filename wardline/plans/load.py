@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import infer
+from wardline.operators.rows import read_numbered_lines
 from wardline.sources.readers import read_tsv
 from wardline.sources.writers import save_table, with_row_ids
 
@@ -27,11 +28,9 @@ def typed_lines(
 def load_tsv(
     spark: SparkSession, path: str, table: str, on_conflict: str = "error", new_name: str | None = None
 ) -> str:
-    """Read a file with a header, infer types, add row ids and save a table."""
-    from wardline.operators.rows import read_numbered_lines
-
+    """Read files with a header each, infer types, add row ids and save a table."""
     header = read_tsv(spark, path).columns
     lines = read_numbered_lines(spark, path).filter(F.col("line_no") > 1)
-    typed, _, _ = typed_lines(lines, header, "line_no")
-    loaded = with_row_ids(typed, "line_no").drop("line_no")
+    typed, _, _ = typed_lines(lines, header, "row_no")
+    loaded = with_row_ids(typed, "row_no").drop("row_no")
     return save_table(loaded, table, on_conflict, new_name)
