@@ -85,27 +85,24 @@ def label_distinct(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> D
     Ranges and addresses of a bucket are sorted together; an address is inside
     when the furthest end seen so far reaches it.
     """
-    points = addresses.select(ip, ipf.ip_to_long(ip).alias("at")).select(
-        ip, ipf.bucket_of("at").alias("bucket"), "at", F.lit(None).cast("bigint").alias("hi"), F.lit(1).alias("kind")
+    # The explode has numbers worked out once per distinct address: as a plain
+    # column they would be pushed below the distinct.  Text that is no address
+    # goes to buckets of its own, where there are no ranges.
+    points = addresses.select(ip, F.explode(F.array(ipf.ip_to_long(ip))).alias("at")).selectExpr(
+        ip,
+        f"coalesce(int(shiftright(at, {ipf.BUCKET_BITS})), -1 - pmod(hash({ip}), {BUCKET_SIZE})) AS bucket",
+        "at",
+        "bigint(NULL) AS hi",
+        "1 AS kind",
     )
-    starts = (
-        split_by_bucket(ranges.select("lo", "hi"))
-        .groupBy("bucket", "lo")
-        .agg(F.max("hi").alias("hi"))
-        .select(
-            F.lit(None).cast("string").alias(ip), "bucket", F.col("lo").alias("at"), "hi", F.lit(0).alias("kind")
-        )
+    starts = split_by_bucket(ranges.select("lo", "hi")).groupBy("bucket", "lo").agg(F.max("hi").alias("hi"))
+    known = points.unionByName(
+        starts.selectExpr(f"string(NULL) AS {ip}", "bucket", "lo AS at", "hi", "0 AS kind")
     )
     order = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.max("hi").over(order)
-    known = points.filter(F.col("at").isNotNull()).unionByName(starts)
-    labelled = (
-        known.withColumn("in_set", F.coalesce(reached >= F.col("at"), F.lit(False)))
-        .filter("kind = 1")
-        .select(ip, "in_set")
-    )
-    unusable = points.filter(F.col("at").isNull()).select(ip, F.lit(False).alias("in_set"))
-    return labelled.unionByName(unusable)
+    labelled = known.withColumn("in_set", F.coalesce(reached >= F.col("at"), F.lit(False)))
+    return labelled.filter("kind = 1").select(ip, "in_set")
 
 
 def membership(df: DataFrame, ranges: DataFrame, ip: str = "ip", unique: bool = False) -> DataFrame:

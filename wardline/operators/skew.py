@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Longest list put into one row; a longer list continues in further rows.
@@ -18,23 +18,30 @@ def chunked_lists(
     larger one is cut by value hash into rows of about half that length, so no
     task ever holds a whole hot list and nothing is dropped.
     """
-    pairs = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    parts = F.ceil(F.col("_n") / (list_items / 2)).alias("_parts")
-    large = pairs.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > list_items)
-    tagged = _null_safe_left(pairs, large.select(*keys, parts), keys)
+    return chunk_pairs(distinct_pairs(df, keys, value), keys, value, out, part, list_items)
+
+
+def distinct_pairs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+
+
+def chunk_pairs(
+    pairs: DataFrame, keys: list[str], value: str, out: str, part: str, list_items: int = LIST_ITEMS
+) -> DataFrame:
+    """:func:`chunked_lists` on pairs that are distinct already."""
+    # A hash stands for the key, NULL included.  Should two keys share a hash, the
+    # smaller one is merely cut as well.
+    parts = F.ceil(F.col("_n") / (list_items / 2))
+    sizes = pair_counts(pairs, keys, "_n").filter(F.col("_n") > list_items)
+    large = sizes.select(F.xxhash64(*keys).alias("_key"), parts.alias("_parts"))
+    one_each = large.groupBy("_key").agg(F.max("_parts").alias("_parts"))
+    tagged = pairs.withColumn("_key", F.xxhash64(*keys)).join(one_each, "_key", "left")
     chunk = F.coalesce(F.pmod(F.xxhash64(value), F.col("_parts")), F.lit(0)).cast("int")
-    return (
-        tagged.withColumn(part, chunk)
-        .groupBy(*keys, part)
-        .agg(F.array_sort(F.collect_list(value)).alias(out))
-    )
-
-
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be NULL; the right side's keys are dropped."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same: Column | None = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        same = one if same is None else same & one
-    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
+    # Grouping by the hash too lets the join's partitioning serve the lists.
+    lists = tagged.withColumn(part, chunk).groupBy("_key", *keys, part)
+    return lists.agg(F.array_sort(F.collect_list(value)).alias(out)).drop("_key")
+
+
+def pair_counts(pairs: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Number of distinct values per key."""
+    return pairs.groupBy(*keys).agg(F.count("*").alias(out))

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from wardline.functions.timetokens import in_window
 from wardline.operators.search import keep_listed
-from wardline.operators.skew import LIST_ITEMS, chunked_lists
+from wardline.operators.skew import LIST_ITEMS, chunk_pairs, distinct_pairs, pair_counts
+
+
+def _seen(logins: DataFrame, window: tuple[int, int] | None, ips: list | DataFrame | None) -> DataFrame:
+    seen = logins.filter(F.col("ip").isNotNull())
+    seen = seen.filter(in_window("ts", window)) if window else seen
+    return seen if ips is None else keep_listed(seen, "ip", ips)
 
 
 def login_counts(
     logins: DataFrame, window: tuple[int, int] | None = None, ips: list | DataFrame | None = None
 ) -> DataFrame:
     """Distinct hosts and distinct mail hashes per address."""
-    seen = logins.filter(in_window("ts", window)) if window else logins
-    if ips is not None:
-        seen = keep_listed(seen, "ip", ips)
-    return seen.groupBy("ip").agg(
+    return _seen(logins, window, ips).groupBy("ip").agg(
         F.count_distinct("host").alias("count_hosts"), F.count_distinct("email_hash").alias("count_emails")
     )
 
@@ -31,17 +34,17 @@ def login_profile(
     """Counts per address and the sorted host list.
 
     A list of up to ``list_items`` hosts is one row with ``list_part`` 0; a longer
-    one goes on in further rows of the same address.
+    one goes on in further rows of the same address.  Host counts and lists come
+    from the same distinct pairs.
     """
-    seen = logins.filter(in_window("ts", window)) if window else logins
-    if ips is not None:
-        seen = keep_listed(seen, "ip", ips)
-    counts = login_counts(seen)
-    lists = chunked_lists(seen, ["ip"], "host", "host_collection", "list_part", list_items)
-    joined = counts.join(lists, "ip", "left")
-    return joined.select(
+    seen = _seen(logins, window, ips)
+    pairs = distinct_pairs(seen, ["ip"], "host")
+    hosts = pair_counts(pairs, ["ip"], "count_hosts")
+    emails = seen.groupBy("ip").agg(F.count_distinct("email_hash").alias("count_emails"))
+    lists = chunk_pairs(pairs, ["ip"], "host", "host_collection", "list_part", list_items)
+    return emails.join(hosts, "ip", "left").join(lists, "ip", "left").select(
         "ip",
-        "count_hosts",
+        F.coalesce("count_hosts", F.lit(0)).alias("count_hosts"),
         "count_emails",
         F.coalesce("host_collection", F.array().cast("array<string>")).alias("host_collection"),
         F.coalesce("list_part", F.lit(0)).alias("list_part"),
