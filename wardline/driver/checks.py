@@ -189,7 +189,7 @@ add(
     FOUND + PER_ACCOUNT,
 )
 add(
-    "evidence_rows",
+    "evidence",
     "intel scores properties host_stats networks ips",
     f"""SELECT d.client_id AS ip, g.company, g.domain, d.heuristic_name, d.score, p.key, p.value, h.hosts,
         0 AS list_part, d.ts
@@ -439,7 +439,7 @@ add(
     "requests",
     "SELECT event_id, " + ", ".join(f'{e} AS "{n}"' for n, e in LOG_NAMES.items()) + " FROM v_requests",
 )
-add("url_unquoted", "packed_urls", "SELECT page_id, url_decode(url) AS url FROM v_packed_urls")
+add("url_unquote", "packed_urls", "SELECT page_id, url_decode(url) AS url FROM v_packed_urls")
 add("noise_filter", "client_lines", "SELECT * FROM v_client_lines WHERE event_id % 10 NOT IN (0, 1)")
 add("tab_lines", "client_lines", "SELECT * FROM v_client_lines WHERE event_id % 10 NOT IN (1, 2)")
 add(
@@ -518,8 +518,9 @@ add(
         coalesce(c.r, 'Not Listed') AS category, coalesce(p.r, 'Not Listed') AS spam
     FROM (SELECT ip, concat(split_part(ip, '.', 4), '.', split_part(ip, '.', 3), '.', split_part(ip, '.', 2), '.10') AS rev FROM v_ips)
     LEFT JOIN s USING (ip) LEFT JOIN c USING (ip) LEFT JOIN p USING (ip) LEFT JOIN t ON rev = t.reversed_ip""",
-    """s AS (SELECT ip, regexp_extract(max(body), 'BLACKLISTED [0-9]+/[0-9]+') AS r FROM v_scan_feed GROUP BY ip),
-    c AS (SELECT ip, concat('Threat ', regexp_extract(max(body), 'Categories":\\[".*?\\]')) AS r FROM v_category_feed GROUP BY ip),
+    """s AS (SELECT ip, nullif(regexp_extract(max(body), 'BLACKLISTED [0-9]+/[0-9]+'), '') AS r FROM v_scan_feed GROUP BY ip),
+    c AS (SELECT ip, 'Threat ' || nullif(regexp_extract(max(body), 'Categories":\\[".*?\\]'), '') AS r
+          FROM v_category_feed GROUP BY ip),
     p AS (SELECT ip, CASE WHEN b LIKE '%<appears>yes<%' THEN concat('Listed (Frequency: ',
             regexp_extract(b, '<frequency>([0-9]+)', 1), ', Last Seen: 2024-01-02)') ELSE 'Not Listed' END AS r
           FROM (SELECT ip, max(body) AS b FROM v_spam_feed GROUP BY ip)),

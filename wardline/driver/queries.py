@@ -30,7 +30,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name, less ``_query`` where a module has that name."""
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -173,7 +174,7 @@ def attacked_accounts(spark, sf_dir):
 
 
 @query
-def evidence_rows(spark, sf_dir):
+def evidence_query(spark, sf_dir):
     hours = intel.attack_hours(_found(spark, sf_dir))
     gathered = evidence.gather_evidence(
         view(spark, sf_dir, "scores"),
@@ -467,7 +468,7 @@ def log_parse(spark, sf_dir):
 
 
 @query
-def url_unquoted(spark, sf_dir):
+def url_unquote_query(spark, sf_dir):
     return view(spark, sf_dir, "packed_urls").select("page_id", url_unquote("url").alias("url"))
 
 

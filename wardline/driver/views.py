@@ -276,8 +276,11 @@ VIEWS: dict[str, tuple[View, ...]] = {
     "scan_feed": (
         View(
             "events",
-            (f"{IP} AS ip", "concat('<b>BLACKLISTED ', cast(user_id % 9 AS string), '/40</b>') AS body"),
-            "user_id % 2 = 0",
+            (
+                f"{IP} AS ip",
+                "CASE user_id % 2 WHEN 0 THEN concat('<b>BLACKLISTED ', cast(user_id % 9 AS string), '/40</b>') "
+                "ELSE '<b>POSSIBLY SAFE 0/40</b>' END AS body",
+            ),
         ),
     ),
     "category_feed": (
@@ -285,9 +288,9 @@ VIEWS: dict[str, tuple[View, ...]] = {
             "events",
             (
                 f"{IP} AS ip",
-                "concat('{{\"ip\":1,\"Categories\":[\"c', cast(user_id % 4 AS string), '\"],\"x\":[]}}') AS body",
+                "CASE WHEN user_id % 5 < 2 THEN concat('{{\"ip\":1,\"Categories\":[\"c', cast(user_id % 4 AS string), "
+                "'\"],\"x\":[]}}') ELSE '{{\"err\":\"not found\"}}' END AS body",
             ),
-            "user_id % 5 < 2",
         ),
     ),
     "spam_feed": (
@@ -308,7 +311,6 @@ VIEWS: dict[str, tuple[View, ...]] = {
                 "cast(user_id % 3 AS string), '.10') AS reversed_ip",
                 "concat('127.1.2.', cast(user_id % 10 AS string)) AS body",
             ),
-            "user_id % 3 <> 1",
         ),
     ),
     "txt_records": (
