@@ -143,4 +143,6 @@ def test_keep_listed(spark):
     frame = spark.range(3000).withColumn("k", F.col("id").cast("string"))
     assert search.keep_listed(frame, "k", ["1", "x", "2999"]).count() == 2
     assert search.keep_listed(frame, "k", [str(i) for i in range(0, 4000, 2)]).count() == 1500
-    assert search.keep_listed(frame, "id", frame.filter("id < 7").select("id")).count() == 7
+    for small in (None, True, False):
+        assert search.keep_listed(frame, "id", frame.filter("id < 7").select("id"), small).count() == 7
+    assert search.fits_in_tasks(frame, 3000) and not search.fits_in_tasks(frame, 2999)

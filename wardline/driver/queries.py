@@ -362,7 +362,7 @@ def cloud_membership(spark, sf_dir):
 def listed_requests(spark, sf_dir):
     """Requests of the addresses that logged in."""
     listed = view(spark, sf_dir, "logins").select("ip")
-    return search.keep_listed(view(spark, sf_dir, "requests").select("event_id", "ip"), "ip", listed)
+    return search.keep_listed(view(spark, sf_dir, "requests").select("event_id", "ip"), "ip", listed, small=False)
 
 
 def _document_lines(spark, sf_dir):

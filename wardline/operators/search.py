@@ -58,15 +58,17 @@ def with_lines(hits: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     return hits.join(lines, keys)
 
 
-def keep_listed(df: DataFrame, column: str, values: list | DataFrame, small: bool = False) -> DataFrame:
+def keep_listed(df: DataFrame, column: str, values: list | DataFrame, small: bool | None = None) -> DataFrame:
     """Rows whose column is in a short Python list or in a one-column DataFrame.
 
-    ``small`` states that the distinct values have a known upper bound that fits
-    every task, such as the hours of the retention time.
+    ``small`` says whether the distinct values are sent to every task: True when
+    they have a known bound (such as the hours of the retention time), False to
+    leave the join to Spark, and by default after counting them.
     """
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
-        return df.join(F.broadcast(keys) if small else keys, column, "left_semi")
+        send = fits_in_tasks(keys) if small is None else small
+        return df.join(F.broadcast(keys) if send else keys, column, "left_semi")
     if len(values) <= LITERAL_LIMIT:
         return df.filter(F.col(column).isin(list(values)))
     spark = df.sparkSession

@@ -32,9 +32,14 @@ def read_tsv(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
     return reader.option("quote", '"' if quoted else "").csv(path)
 
 
-def read_space_log(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated log with quoted fields; columns are ``_c0``, ``_c1``, ..."""
-    return spark.read.csv(path, sep=" ", quote='"', escape='"')
+def read_space_log(spark: SparkSession, path: str, width: int = 73) -> DataFrame:
+    """Space-separated log with quoted fields as ``_c0``, ``_c1``, ...
+
+    The width is given, so a short first line does not decide it; missing fields
+    are NULL and further ones are ignored.
+    """
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    return spark.read.schema(schema).csv(path, sep=" ", quote='"', escape='"')
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
