@@ -1,3 +1,11 @@
 """Network-log and IP-intelligence analytics as ordinary Spark DataFrame operations."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks are sent along with the job, so the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
