@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -51,11 +52,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the folder named by ``spark.checkpoint.dir``.
 
     Written tables and streaming state go here, so that they outlive any one
-    executor.  Only a local-mode session may fall back to a temporary folder.
+    executor.  Only a session whose driver and tasks are one process
+    (``local[...]``) may fall back to a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="wardline-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
