@@ -80,6 +80,34 @@ SELECT s.doc_id, s.size, g.source_size, g.target,
     + least(greatest(CAST(floor(g.target) AS BIGINT) % greatest(g.source_size, 1) - s.before, 0), s.size) AS BIGINT) AS taken
 FROM summed s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source"""
 
+CHECKS["op4_passage_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, words, start, md5(array_to_string(words[start : start + 49], ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS start FROM split WHERE len(words) >= 50)
+), firsts AS (
+  SELECT content, min(doc_id) AS first_id FROM windows GROUP BY content
+), gone AS (
+  SELECT DISTINCT w.doc_id, unnest(range(w.start, w.start + 50)) AS place
+  FROM windows w JOIN firsts f ON w.content = f.content AND f.first_id < w.doc_id
+), holes AS (
+  SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT s.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN array_to_string(words, ' ') END AS whole
+  FROM split s LEFT JOIN holes h ON s.doc_id = h.doc_id
+), standing AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.place) AS rest
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+        WHERE doc_id IN (SELECT doc_id FROM holes)) t
+  LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.place = t.place
+  WHERE g.place IS NULL GROUP BY t.doc_id
+)
+SELECT k.doc_id, CAST(k.n_words AS BIGINT) AS n_words, CAST(k.n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(k.whole, s.rest, '')) AS kept_sha256
+FROM kept k LEFT JOIN standing s ON k.doc_id = s.doc_id"""
+
 _OWNERS = ", ".join(map(str, lookup_table(SHARDS)))
 CHECKS["op6_shard_lookup"] = f"""
 SELECT doc_id, {_KEY} % {TABLE_SIZE} AS slot,

@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.bloom import CELLS, filter_words, with_suspicion
 from wardline.llm.common import staged, text_of
 
-FILTER_CELLS = 1 << 25  # at most 2**19 rows of 64 cells: about 8 MB
 WHITE_CHARS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -31,37 +31,13 @@ def normal_text(text: Column) -> Column:
     return text
 
 
-def _cells(digest: Column, cells: int) -> list[Column]:
-    """The cells of one digest, one for each of two hash functions."""
-    return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(cells)) for seed in (1, 2)]
-
-
-def repeat_filter(digests: DataFrame, cells: int = FILTER_CELLS) -> DataFrame:
-    """(word, mask): 64 cells a row, a bit for every cell that two or more digests fall into."""
-    cell = F.explode(F.array_distinct(F.array(*_cells(F.col("digest"), cells))))
-    full = digests.select(cell.alias("cell")).groupBy("cell").count().where("count >= 2")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % 64).cast("int"))
-    return full.groupBy(F.floor(F.col("cell") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("mask"))
-
-
-def with_suspicion(rows: DataFrame, filter_words: DataFrame, cells: int = FILTER_CELLS) -> DataFrame:
-    """Add ``suspect``: every cell of the row's digest is marked in the filter."""
-    for k, cell in enumerate(_cells(F.col("digest"), cells)):
-        words = filter_words.select(F.col("word").alias(f"word{k}"), F.col("mask").alias(f"mask{k}"))
-        here = rows.withColumn(f"cell{k}", cell)
-        here = here.withColumn(f"word{k}", F.floor(F.col(f"cell{k}") / 64).cast("long"))
-        rows = here.join(F.broadcast(words), f"word{k}", "left")
-    marked = [F.coalesce(F.getbit(F.col(f"mask{k}"), (F.col(f"cell{k}") % 64).cast("int")), F.lit(0)) == 1 for k in (0, 1)]
-    return rows.withColumn("suspect", marked[0] & marked[1]).drop(*(f"{n}{k}" for n in ("cell", "word", "mask") for k in (0, 1)))
-
-
 def _rank(row_id: Column, last: Column) -> Column:
     """Orders the rows of a group; the greatest stays."""
     smallest = F.when(row_id.isNotNull(), F.bitwise_not(row_id))
     return F.struct(F.col("n_chars_"), row_id.isNotNull(), smallest, last)
 
 
-def exact_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = FILTER_CELLS) -> DataFrame:
+def exact_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     text = text_of(df, text_col)
     rows = df.select(
@@ -71,8 +47,8 @@ def exact_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row_"),
     )
     rows = staged(rows, "exact-digests")
-    marked = staged(repeat_filter(rows, cells), "exact-filter")
-    rows = with_suspicion(rows, marked, cells)
+    marked = staged(filter_words(rows.select("digest"), cells, at_least=2), "exact-filter")
+    rows = with_suspicion(rows, F.col("digest"), marked, cells)
     suspects = rows.where("suspect")
     best = suspects.groupBy("digest").agg(
         F.max_by(F.struct("doc_id", "row_"), _rank(F.col("doc_id"), -F.col("row_"))).alias("best"),
@@ -89,7 +65,7 @@ def exact_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = FILTER_CELLS) -> DataFrame:
+def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
     Rows that the filter clears are never shuffled; of the others one row per
@@ -97,9 +73,9 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ce
     """
     text = text_of(df, text_col)
     digest = F.unhex(F.sha2(normal_text(text).cast("binary"), 256))
-    marked = staged(repeat_filter(df.select(digest.alias("digest")), cells), "exact-filter")
+    marked = staged(filter_words(df.select(digest.alias("digest")), cells, at_least=2), "exact-filter")
     rows = df.select(F.struct("*").alias("row"), digest.alias("digest"), F.char_length(text).alias("n_chars_"))
-    rows = with_suspicion(rows, marked, cells)
+    rows = with_suspicion(rows, F.col("digest"), marked, cells)
     row_id = F.col("row")[id_col].cast("long")
     last = F.xxhash64(F.to_json("row"))
     best = rows.where("suspect").groupBy("digest").agg(F.max_by("row", _rank(row_id, last)).alias("row"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat_format, exact_dedup, mixing, sharding
+from wardline.llm import chat_format, exact_dedup, mixing, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,11 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_passage_dedup(spark, sf_dir):
+    return substring_dedup.remove_duplicates(read(spark, sf_dir, "documents")).drop("kept")
+
+
 @query
 def op6_shard_lookup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id")
