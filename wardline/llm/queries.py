@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat_format, exact_dedup, mixing, sharding, substring_dedup
+from wardline.llm import bag_minhash, chat_format, exact_dedup, mixing, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,8 @@ def op6_shard_lookup(spark, sf_dir):
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_labels(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_bag_minhash(spark, sf_dir):
+    return bag_minhash.near_classes(read(spark, sf_dir, "documents"))
