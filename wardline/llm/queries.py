@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import bag_minhash, chat_format, exact_dedup, mixing, sharding, substring_dedup
+from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, mixing, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +33,25 @@ def op1_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.chat_windows(talks.union(extra)))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document's label is kept from training."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out(docs["doc_id"]))
+
+
+@query
+def op2_lang_zstd(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    dictionaries = lang_id.learn(labelled(docs))
+    found = lang_id.predict(docs, dictionaries, keep=F.struct("doc_id"))
+    return found.select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected"
+    )
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
