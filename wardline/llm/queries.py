@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, mixing, sharding, substring_dedup
+from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, mixing, piece_sampling, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # Control strings inside texts, as turns of a conversation of their own.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -68,6 +69,13 @@ def op6_shard_lookup(spark, sf_dir):
     return sharding.with_shard(docs, "doc_id", SHARDS)
 
 
+@query
+def op7_piece_samples(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = piece_sampling.encode_samples(docs, PIECES, keep=F.struct("doc_id"))
+    return found.select("row.doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "log_inclusion")
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_labels(read(spark, sf_dir, "documents"))
