@@ -257,9 +257,13 @@ def _gumbel(seed: np.uint64) -> float:
     return -math.log(-math.log(float(_uniform(wh.mix(np.array([seed], np.uint64)))[0])))
 
 
-@np.errstate(over="ignore", divide="ignore")
 def sample_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text, in decreasing perturbed order: (ids, log p, perturbed log p, log inclusion)."""
+    with np.errstate(over="ignore", divide="ignore"):
+        return _sample_texts(texts, keys, voc, samples)
+
+
+def _sample_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     index: defaultdict[str, int] = defaultdict()
     index.default_factory = index.__len__
     words = [np.fromiter(map(index.__getitem__, split_words(t)), np.int64) for t in texts]
