@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, mixing, piece_sampling, sharding, substring_dedup
+from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,6 +63,11 @@ def op4_passage_dedup(spark, sf_dir):
     return substring_dedup.remove_duplicates(read(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op5_line_edit_join(spark, sf_dir):
+    return line_dedup.edit_classes(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_shard_lookup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id")
