@@ -18,7 +18,8 @@ that cannot be in the index are dropped by a bounded Bloom filter before the
 exchange.  A segment that many lines share would bring all their pairs
 together: where a key has more than ``CROWD`` lines, a pair must in addition
 share one of threshold + 1 segments of the rest of the line, as it must if it
-is within the threshold, so such keys are joined on both.
+is within the threshold, so such keys are joined on both; this is repeated up
+to ``ROUNDS`` times, after which nearly all of a line is shared.
 
 Cases: null texts have no lines; lines without a character other than white
 space are left out; other lines are compared as they are.  A line that occurs
@@ -32,12 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.bloom import filter_words, rows_in, with_suspicion
-from wardline.llm.common import staged
+from wardline.llm.common import staged, text_of
 from wardline.llm.components import components
 
 THRESHOLD = 2
 LEAST = 24
-CROWD = 32
+CROWD = 64
+ROUNDS = 3
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -58,7 +60,7 @@ def _key(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def _index_keys(line: Column, chars: Column, threshold: int) -> Column:
+def _index_keys(line: Column, chars: Column, threshold: int, least: int = 0) -> Column:
     keys = []
     for number in range(threshold + 1):
         start, size = _segment(chars, number, threshold + 1)
@@ -80,30 +82,6 @@ def _probe_keys(line: Column, chars: Column, threshold: int, least: int) -> Colu
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
-def _rest_index(rest: Column, threshold: int) -> Column:
-    """Keys of threshold + 1 segments of the rest of an indexed line."""
-    chars = F.char_length(rest)
-    keys = []
-    for number in range(threshold + 1):
-        start, size = _segment(chars, number, threshold + 1)
-        keys.append(_key(chars, F.lit(number), F.substring(rest, start + 1, size)))
-    return F.array(*keys)
-
-
-def _rest_probe(rest: Column, threshold: int) -> Column:
-    """Keys that may meet one of an index line's rest, which is up to threshold shorter."""
-    chars = F.char_length(rest)
-    keys = []
-    for shorter in range(threshold + 1):
-        length = (chars - shorter).cast("int")
-        for number in range(threshold + 1):
-            start, size = _segment(length, number, threshold + 1)
-            for move in _moves(number, shorter, threshold):
-                at = (start + move).cast("int")
-                keys.append(F.when((length >= 0) & (at >= 0) & (at + size <= chars), _key(length, F.lit(number), F.substring(rest, at + 1, size))))
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
-
-
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings is at most ``threshold``.
 
@@ -150,29 +128,44 @@ def _pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
     return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD) -> DataFrame:
+def _rest(line: Column) -> Column:
+    """A line without the segment of its key."""
+    after = F.col("at") + F.col("size") + 1
+    return F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, after, F.char_length(line)))
+
+
+def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """(a, b) with a < b: ids of the lines (id, line, chars) that share a segment."""
     long_lines = lines.where(F.col("chars") >= least)
     index = long_lines.select("id", F.explode(_index_keys(F.col("line"), F.col("chars"), threshold)).alias("k"))
-    index = staged(index.select("id", "k.*"), "line-index")
     probes = long_lines.select("id", F.explode(_probe_keys(F.col("line"), F.col("chars"), threshold, least)).alias("k"))
-    probes = _suspects(probes.select("id", "k.*"), index)
-    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    crowded = staged(crowded.select("key", F.lit(True).alias("crowd")), "line-crowds")
-    index, probes = (rows.join(crowded, "key", "left") for rows in (index, probes))
-    probes = staged(probes, "line-probes")
-
-    def refined(rows: DataFrame, keys) -> DataFrame:
-        rows = rows.where("crowd").join(lines.select("id", "line"), "id")
-        rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at")), F.substring(F.col("line"), F.col("at") + F.col("size") + 1, F.char_length("line")))
-        rows = rows.select("id", "key", F.explode(keys(rest, threshold)).alias("rest"))
-        return rows.select("id", F.xxhash64("key", "rest").alias("key")).distinct()
-
-    plain = _pairs(probes.where("crowd is null"), index.where("crowd is null"))
-    if crowded.isEmpty():
-        return plain.distinct()
-    tight = _pairs(refined(probes, _rest_probe), refined(index, _rest_index))
-    return plain.union(tight).distinct()
+    index, probes = index.select("id", "k.*"), probes.select("id", "k.*")
+    found = None
+    for turn in range(rounds + 1):
+        index = staged(index, "line-index")
+        probes = _suspects(probes, index)
+        if turn < rounds:
+            crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+            crowded = staged(crowded.select("key", F.lit(True).alias("crowd")), "line-crowds")
+            probes, index = (rows.join(crowded, "key", "left") for rows in (probes, index))
+            probes = staged(probes, "line-probes")
+            pairs = _pairs(probes.where("crowd is null"), index.where("crowd is null"))
+        else:
+            pairs = _pairs(probes, index)
+        found = pairs if found is None else found.union(pairs)
+        if turn == rounds or crowded.isEmpty():
+            return found.distinct()
+        # Pairs at a crowded key must share a segment of what is left of their lines, too.
+        sides = []
+        for rows, keys in ((index, _index_keys), (probes, _probe_keys)):
+            rows = rows.where("crowd").drop("crowd")
+            if turn == 0:
+                rows = rows.join(lines.select("id", F.col("line").alias("rest")), "id")
+            rows = staged(rows.select("id", F.col("key").alias("outer"), _rest(F.col("rest")).alias("rest")), "line-rests")
+            inner = F.explode(keys(F.col("rest"), F.char_length("rest"), threshold, 0)).alias("k")
+            rows = rows.select("id", "outer", "rest", inner)
+            sides.append(rows.select("id", F.xxhash64("outer", "k.key").alias("key"), "k.at", "k.size", "rest"))
+        index, probes = sides
 
 
 def edit_classes(
