@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup
+from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,11 @@ def op7_piece_samples(spark, sf_dir):
     return found.select("row.doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "log_inclusion")
 
 
+@query
+def op8_nn_descent(spark, sf_dir):
+    return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_labels(read(spark, sf_dir, "documents"))
