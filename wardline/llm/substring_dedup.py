@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import wordhash as wh
-from wardline.llm.bloom import rows_in
+from wardline.llm.bloom import filter_words, with_suspicion
 from wardline.llm.common import staged, text_of
 
 WINDOW = 50
@@ -146,8 +146,8 @@ def _parse(window: int):
             out = []
             for row, text, hits in zip(batch.column("row"), batch.column("text"), batch.column("hits"), strict=True):
                 at, found = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                order = np.argsort(at, kind="stable")
-                factors = greedy_factors(at[order], found[order], window)
+                at, order = np.unique(at, return_index=True)
+                factors = greedy_factors(at, found[order], window)
                 words = text.as_py().encode().split()
                 drop = np.zeros(len(words), bool)
                 for start, length, _ in factors:
@@ -178,16 +178,22 @@ def _parsed(df: DataFrame, id_col: str, text_col: str, window: int, gram: int) -
     lists = anchors.select("row", "anchor").join(shared.select("anchor"), "anchor")
     lists = lists.groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     lists = staged(lists.join(profiles.select("row", "doc_id", "digest"), "row"), "passage-anchors")
-    texts = rows_in(rows, "doc_id", lists.select("doc_id"))
-    texts = staged(texts.join(lists, ["doc_id", "digest"]).dropDuplicates(["row"]), "passage-texts")
+    # One exchange of texts, of few documents but those that share an anchor.
+    lists = lists.dropDuplicates(["doc_id", "digest"])
+    held = with_suspicion(rows, F.col("doc_id"), filter_words(lists.select("doc_id"))).where("suspect").drop("suspect")
+    texts = staged(held.join(lists, ["doc_id", "digest"]), "passage-texts")
     windows = texts.mapInArrow(_windows(window, gram), "doc_id long, row long, at int, content long")
     index = windows.groupBy("content").agg(F.min("doc_id").alias("found"), F.max("doc_id").alias("last"))
-    hits = windows.join(index.where("found < last"), "content").where("found < doc_id")
+    # Written first, so that a passage of very many documents is a join key that can be split.
+    index = staged(index.where("found < last").drop("last"), "passage-index")
+    hits = windows.join(index, "content").where("found < doc_id")
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("at", "found")).alias("hits"))
     parsed = texts.select("row", "text").join(hits, "row").mapInArrow(
         _parse(window), "row long, n_removed long, kept string, starts array<int>, lengths array<int>, sources array<long>"
     )
-    return profiles, copied, parsed
+    # Rows that repeat an id and a text share the first one's parse.
+    named = lists.select("row", "doc_id", "digest").join(parsed.dropDuplicates(["row"]), "row").drop("row")
+    return profiles, copied, named
 
 
 def duplicate_spans(
@@ -195,11 +201,11 @@ def duplicate_spans(
 ) -> DataFrame:
     """The duplicate spans: doc_id, start, length (words), source_id (a smaller document with each of its windows)."""
     profiles, copied, parsed = _parsed(df, id_col, text_col, window, gram)
-    spans = parsed.select("row", F.explode(F.arrays_zip("starts", "lengths", "sources")).alias("f"))
-    spans = spans.select("row", F.col("f.starts").alias("start"), F.col("f.lengths").alias("length"), F.col("f.sources").alias("source_id"))
+    spans = parsed.select("doc_id", F.explode(F.arrays_zip("starts", "lengths", "sources")).alias("f"))
+    spans = spans.select("doc_id", F.col("f.starts").alias("start"), F.col("f.lengths").alias("length"), F.col("f.sources").alias("source_id"))
     copies = profiles.join(copied, "words_sha256").where("first_id < doc_id")
     copies = copies.select("doc_id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("first_id").alias("source_id"))
-    return profiles.select("row", "doc_id").join(spans, "row").drop("row").union(copies)
+    return spans.union(copies)
 
 
 def remove_duplicates(
@@ -211,8 +217,8 @@ def remove_duplicates(
     removed, and null where the document stays as it is.
     """
     profiles, copied, parsed = _parsed(df, id_col, text_col, window, gram)
-    changed = parsed.select("row", "n_removed", "kept", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    rows = profiles.drop("anchors", "digest").join(copied, "words_sha256", "left").join(changed, "row", "left")
+    changed = parsed.select("doc_id", "digest", "n_removed", "kept", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    rows = profiles.drop("anchors", "row").join(copied, "words_sha256", "left").join(changed, ["doc_id", "digest"], "left")
     copy = F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))
     return rows.select(
         "doc_id",
