@@ -54,6 +54,8 @@ def exact_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max_by(F.struct("doc_id", "row_"), _rank(F.col("doc_id"), -F.col("row_"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    # Written first, so that a text of very many rows is a join key that can be split.
+    best = staged(best, "exact-best")
     grouped = suspects.join(best, "digest").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_") == F.col("best.row_")).alias("kept"), "digest"
     )
