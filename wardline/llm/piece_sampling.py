@@ -44,12 +44,15 @@ SPACE = "▁"
 MARK = "\udfff"  # stands for U+2581 inside a text; no valid text has it
 SAMPLES = 2
 ZIPF_SHIFT = 2.7
-SLICE = 4 << 20  # bytes of text that share their words' lattices
+SLICE = 1 << 19  # bytes of text that share their words' lattices
 SCALE = 4.0  # keeps the weights of ways through a word near one
+FIRST = 128  # nodes whose sets are always drawn
+RANGE = 40.0
 SHORT = 48  # characters up to which they need no logarithms
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD1B54A32D192ED03)
 _BASE = np.uint64(0x100000001B3)
+TOP = np.uint64(43)  # leaves 21 bits
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -91,17 +94,34 @@ class Vocabulary:
         self.ids = np.array([k for _, k, _ in pieces], np.int32)[order]
         self.weights = np.array(weights)[order]
         prefixes = {text[:n] for text, _, _ in pieces for n in range(1, len(text) + 1)}
-        self.prefixes = np.unique(np.array([self._hash(p) for p in prefixes], np.uint64) >> np.uint64(40))
-        self.known = np.zeros(1 << 24, bool)
+        self.prefixes = np.unique(np.array([self._hash(p) for p in prefixes], np.uint64) >> TOP)
+        self._fill()
+
+    def _fill(self) -> None:
+        """Tables by the top bits of a hash: whether any prefix has them, and the first piece at or after them."""
+        self.known = np.zeros(1 << 21, bool)
         self.known[self.prefixes.astype(np.int64)] = True
+        tops = (self.hashes >> TOP).astype(np.int64)
+        self.start = np.searchsorted(tops, np.arange(1 << 21)).astype(np.int32)
+        self.most = int(np.bincount(tops).max())
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "start")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.known = np.zeros(1 << 24, bool)
-        self.known[self.prefixes.astype(np.int64)] = True
+        self._fill()
+
+    def find(self, hashed: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """The piece of every hash, -1 for none."""
+        last = len(self.hashes) - 1
+        place = self.start[top]
+        out = np.full(len(hashed), -1, np.int64)
+        for k in range(self.most):
+            here = np.minimum(place + k, last)
+            same = self.hashes[here] == hashed
+            out[same] = here[same]
+        return out
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -142,16 +162,17 @@ class Lattice:
         for n in range(wide):
             state = _extend(state, codes[at + n])
             hashed = wh.mix(state)
-            go = voc.known[(hashed >> np.uint64(40)).astype(np.int64)]
-            at, state, hashed = at[go], state[go], hashed[go]
-            if not len(at):
+            top = (hashed >> TOP).astype(np.int64)
+            go = np.flatnonzero(voc.known[top])
+            if not len(go):
                 break
-            place = np.minimum(np.searchsorted(voc.hashes, hashed), len(voc.hashes) - 1)
-            hit = voc.hashes[place] == hashed
+            at, state, hashed, top = at[go], state[go], hashed[go], top[go]
+            place = voc.find(hashed, top)
+            hit = np.flatnonzero(place >= 0)
             hits.append((at[hit], n, voc.weights[place[hit]], voc.ids[place[hit]]))
             if n == 0:
                 spelled[at[hit]] = False
-            go = left[at] > n + 1
+            go = np.flatnonzero(left[at] > n + 1)
             at, state = at[go], state[go]
         spelled = np.flatnonzero(spelled)
         code = codes[spelled].astype(np.int64)
@@ -165,7 +186,7 @@ class Lattice:
             factor[at, n] = np.exp(weight + SCALE * (n + 1))
             self.ids[at, n] = ids
         self.prob = self._transitions(factor, sizes, wide)
-        self.cum = self.prob.copy()
+        self.cum = self.prob.astype(np.float32)
         for n in range(1, wide):
             self.cum[:, n] += self.cum[:, n - 1]
 
@@ -179,25 +200,23 @@ class Lattice:
         ways[self.end] = 1.0
         order = np.argsort(sizes, kind="stable")
         ends, sizes_up = self.end[order], sizes[order]
-        prob = np.empty_like(factor)
         reach = np.arange(1, wide + 1)
         for back in range(1, int(sizes.max(initial=0)) + 1):
             node = ends[np.searchsorted(sizes_up, back) :] - back
-            ahead = node[:, None] + reach
-            each = factor[node] * ways[ahead]
+            ahead = node[:, None] + reach[:back]
+            each = factor[node, :back] * ways[ahead]
             if back > SHORT:  # bring the next nodes to one logarithm
                 log = logs[node + 1]
                 each *= np.exp(np.clip(logs[ahead] - log[:, None], -700.0, 700.0))
             else:
                 log = 0.0
             total = each.sum(axis=1)
-            prob[node] = each / total[:, None]
+            factor[node, :back] = each / total[:, None]  # not read again by nodes further left
             if back >= SHORT:
                 logs[node], ways[node] = log + np.log(total), 1.0
             else:
                 ways[node] = total
-        prob[self.end] = 0.0
-        return prob
+        return factor
 
     def walk(self, node: np.ndarray, end: np.ndarray, seed: np.ndarray):
         """Draw a way from every node to its end: (count per way, node, choice) in order."""
@@ -207,7 +226,7 @@ class Lattice:
             here = node[live]
             u = _uniform(wh.mix(seed[live] + np.uint64(len(steps) + 1) * _GOLD))
             odds = self.cum[here]
-            choice = (odds <= (np.minimum(u, 1 - 1e-12) * odds[:, -1])[:, None]).sum(axis=1)
+            choice = (odds <= (np.minimum(u, 1 - 1e-7) * odds[:, -1]).astype(np.float32)[:, None]).sum(axis=1)
             steps.append((live, here, choice))
             counts[live] += 1
             node[live] = here + choice + 1
@@ -231,23 +250,34 @@ def split_words(text: str) -> list[str]:
 class _Path:
     """One segmentation, and the sets of others that turn off at its nodes."""
 
-    def __init__(self, word, node, choice, prob, turn: int, barred: list[int], barred_mass: float, value: float, seed: np.uint64):
+    def __init__(self, word, node, choice, prob, turn: int, barred: list[int], barred_mass: float, value: float, seed: np.uint64, keep: int):
         self.word, self.node, self.choice = word, node, choice
-        self.turn, self.barred, self.value = turn, barred, value
-        with np.errstate(divide="ignore"):
-            logs = np.log(prob)
-            self.logs = logs
-            ahead = np.cumsum(logs) - logs
-            rest = np.log1p(-np.minimum(prob, 1.0))
-            rest[prob > 1 - 1e-12] = -np.inf
-            if turn < len(prob) and barred:
-                rest[turn] = math.log1p(-barred_mass) if barred_mass < 1 - 1e-12 else -np.inf
-            mass = ahead + rest
-            draws = _uniform(wh.mix(seed + np.arange(1, len(prob) + 1, dtype=np.uint64) * _ODD))
-            # A Gumbel variable of this log mass, cut off at the path's own value.
-            self.others = -np.logaddexp(-value, np.log(-np.log(draws)) - mass)
+        self.turn, self.barred, self.value, self.seed = turn, barred, value, seed
+        self.logs = np.log(prob)
+        self.ahead = np.cumsum(self.logs) - self.logs
+        # A set of log mass m cannot reach m + RANGE, as the uniform numbers are
+        # multiples of 2**-54; so later sets are only drawn if they may be among
+        # the `keep` best.
+        self.others = self._drawn(prob, 0, FIRST, barred_mass)
+        if len(prob) > FIRST:
+            least = np.partition(self.others, -keep)[-keep]
+            upto = len(prob) if math.isinf(least) else int(np.searchsorted(-self.ahead, RANGE - least))
+            if upto > FIRST:
+                self.others = np.concatenate([self.others, self._drawn(prob, FIRST, upto, barred_mass)])
         self.others[:turn] = -np.inf
 
+    def _drawn(self, prob: np.ndarray, a: int, b: int, barred_mass: float) -> np.ndarray:
+        """The largest perturbed value of the set that turns off at each of some nodes."""
+        prob = prob[a:b]
+        rest = np.log1p(-np.minimum(prob, 1.0))
+        rest[prob > 1 - 1e-12] = -np.inf
+        if self.barred and a <= self.turn < a + len(prob):
+            rest[self.turn - a] = math.log1p(-barred_mass) if barred_mass < 1 - 1e-12 else -np.inf
+        mass = self.ahead[a:b] + rest
+        draws = _uniform(wh.mix(self.seed + np.arange(a + 1, a + len(prob) + 1, dtype=np.uint64) * _ODD))
+        # A Gumbel variable of this log mass, cut off at the path's own value.
+        return -np.logaddexp(-self.value, np.log(-np.log(draws)) - mass)
+
     @property
     def log_prob(self) -> float:
         return float(self.logs.sum())
@@ -300,7 +330,7 @@ def _sample_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples:
                 at = len(before[0]) - 1
             prob = lattice.prob[parts[1], parts[2]]
             seed = wh.mix(np.array([seeds[d] ^ (np.uint64(turn + 1) * _GOLD)], np.uint64))[0]
-            paths[d].append(_Path(*parts, prob, at, barred, barred_mass, value, seed))
+            paths[d].append(_Path(*parts, prob, at, barred, barred_mass, value, seed, samples + 1))
         if turn + 1 < samples:
             jobs = [job for d in range(len(texts)) if (job := _next(d, paths[d], lattice, seeds[d], turn + 1))]
     return [_results(p, lattice, voc) for p in paths]
