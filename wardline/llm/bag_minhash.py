@@ -14,13 +14,16 @@ further random number, so a count of w costs about log2 w processes.  Points
 are only drawn up to the time by which all components are taken; where one is
 not, the time is extended.
 
-Bands of the signature are joined: in a bucket (documents with an equal band)
-leaders are compared with the members that are not yet in their component,
-from one leader a bucket up to all, until each bucket is one component or all
-its pairs across components have been compared.  So a bucket of copies costs
-as many comparisons as it has members, no link that could join two components
-is left out, and nothing is capped.  A comparison counts the shingles of both
-texts.  Documents with the same multiset are first reduced to one.
+Bands of the signature are joined.  First, in every bucket (documents with an
+equal band) the smallest document is compared with the others, so a bucket of
+copies costs as many comparisons as it has members.  Buckets that are then one
+component are done.  Documents that share one of the other buckets, directly
+or through others, form a group; the members of a group are spread over blocks
+of bounded text, and every two blocks are compared in one task, but for pairs
+that are in one component already.  A comparison counts the shingles of both
+texts; a block gives back only links that join components.  So no link that
+could join two components is left out, nothing is capped, and pairs are never
+written out.  Documents with the same multiset are first reduced to one.
 
 Cases: null and empty texts have no shingles and are alike to nothing; a null
 id is alike to nothing; rows that share an id are one document.  Empty tables
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import wordhash as wh
@@ -46,6 +49,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 26
 BAND_ROWS = 5
+BLOCK_BYTES = 1 << 20  # of text
+TILE = 256  # documents whose shingles are compared at once
+COLUMNS = 8192  # shingles of a tile at once
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -164,34 +170,104 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, threshold: float)
     return both.mapInArrow(_alike(length, threshold), "a long, b long").distinct()
 
 
+def _features(column: pa.Array, length: int) -> list[np.ndarray]:
+    """Per text, its shingles as a sorted set: the n-th of a kind is a feature of its own."""
+    owner, values, counts = _text_shingles(column, length)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    each = wh.mix(np.repeat(values, counts) + nth.astype(np.uint64) * np.uint64(_GOLD))
+    cuts = np.searchsorted(np.repeat(owner, counts), np.arange(1, len(column)))
+    return [np.sort(f) for f in np.split(each, cuts)] if len(column) else []
+
+
+def _shared_counts(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of features that two documents share."""
+    out = np.zeros((len(ours), len(theirs)), np.float32)
+    known = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
+    for at in range(0, len(known), COLUMNS):
+        part = known[at : at + COLUMNS]
+        sides = []
+        for side in (ours, theirs):
+            lengths = [len(f) for f in side]
+            flat = np.concatenate(side)
+            place = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[place] == flat
+            matrix = np.zeros((len(side), len(part)), np.float32)
+            matrix[np.repeat(np.arange(len(side)), lengths)[hit], place[hit]] = 1.0
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def joining_links(ids: np.ndarray, comps: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], features: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between two blocks (rows of ``ids``) that join components, as a spanning forest."""
+    root = {int(c): int(c) for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes = np.array([len(f) for f in features])
+    links = []
+    # Rows in order of component: tiles within one component are skipped.
+    tiles = [[rows[at : at + TILE] for at in range(0, len(rows), TILE)] for rows in (b[np.argsort(comps[b], kind="stable")] for b in blocks)]
+    for a in tiles[0]:
+        for b in tiles[1]:
+            if len({find(int(c)) for c in comps[np.concatenate([a, b])]}) == 1:
+                continue
+            shared = _shared_counts([features[k] for k in a], [features[k] for k in b])
+            union = sizes[a][:, None] + sizes[b][None, :] - shared
+            for i, j in zip(*np.nonzero(shared >= threshold * union), strict=True):
+                x, y = find(int(comps[a[i]])), find(int(comps[b[j]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(ids[a[i]]), int(ids[b[j]])))
+    return links
+
+
+def _compare_blocks(length: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for k in range(batch.num_rows):
+                entries = batch.column("members")[k].values
+                ids, comps, block = (entries.field(c).to_numpy() for c in ("doc", "comp", "block"))
+                features = _features(entries.field("text"), length)
+                low, high = batch.column("low")[k].as_py(), batch.column("high")[k].as_py()
+                links += joining_links(ids, comps, (np.flatnonzero(block == low), np.flatnonzero(block == high)), features, threshold)
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def bucket_links(members: DataFrame, texts: DataFrame, length: int, threshold: float) -> DataFrame:
     """Verified links (a, b) that join all components of documents that share a bucket.
 
     ``members`` is (bucket, doc), ``texts`` is (doc, text).
     """
-    waiting = staged(members.select("bucket", "doc", F.col("doc").alias("comp")), "near-waiting")
-    links = checked = None
-    leaders = 1
-    while True:
-        mixed = waiting.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
-        waiting = staged(waiting.join(mixed, "bucket"), "near-waiting")
-        lead = staged(waiting.withColumn("nth", nth).where(F.col("nth") <= leaders).drop("nth"), "near-leaders")
-        if lead.isEmpty():
-            return links if links is not None else members.sparkSession.createDataFrame([], "a long, b long")
-        pairs = waiting.join(lead.toDF("bucket", "leader", "leader_comp"), "bucket").where("comp <> leader_comp")
-        pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
-        found = staged(_verified(pairs, texts, length, threshold), "near-links")
-        checked = pairs if checked is None else checked.union(pairs)
-        links = found if links is None else links.union(found)
-        comps = components(links).toDF("doc", "new_comp")
-        rest = waiting.join(lead.select("bucket", "doc"), ["bucket", "doc"], "left_anti").drop("comp")
-        rest = rest.join(comps, "doc", "left").select("bucket", "doc", F.coalesce("new_comp", "doc").alias("comp"))
-        waiting = staged(rest, "near-waiting")
-        leaders *= 4
+    leaders = members.groupBy("bucket").agg(F.min("doc").alias("a"))
+    pairs = members.join(staged(leaders, "near-leaders"), "bucket").where("a < doc")
+    pairs = staged(pairs.select("a", F.col("doc").alias("b")).distinct(), "near-pairs")
+    links = staged(_verified(pairs, texts, length, threshold), "near-links")
+    comps = staged(components(links).toDF("doc", "comp"), "near-components")
+    waiting = members.join(comps, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp"))
+    waiting = staged(waiting, "near-waiting")
+    mixed = waiting.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("doc").alias("first")).where("x < y")
+    waiting = staged(waiting.join(staged(mixed.select("bucket", "first"), "near-mixed"), "bucket"), "near-waiting")
+    groups = components(waiting.select("first", "doc").distinct()).toDF("doc", "group")
+    rows = waiting.select("doc", "comp").distinct().join(groups, "doc").join(texts, "doc")
+    rows = staged(rows, "near-groups")
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = rows.join(staged(sizes, "near-sizes"), "group")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    packed = rows.groupBy("group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).agg(
+        F.collect_list(F.struct("doc", "comp", "block", "text")).alias("members")
+    )
+    more = packed.select("low", "high", "members").mapInArrow(_compare_blocks(length, threshold), "a long, b long")
+    return links.union(staged(more, "near-links"))
 
 
 def near_classes(
