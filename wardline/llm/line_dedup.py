@@ -188,7 +188,10 @@ def edit_classes(
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = staged(rows_in(lines.select("id", "line"), "id", staged(ends.distinct(), "line-ends")), "line-texts")
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    links = staged(both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "line-links")
+    # Spark's own edit distance rejects most pairs first; the bit vectors, as
+    # functions on arrays, cost far more a character.
+    close = (F.levenshtein("line_a", "line_b", threshold) >= 0) & within(F.col("line_a"), F.col("line_b"), threshold)
+    links = staged(both.where(close).select("a", "b"), "line-links")
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(links).toDF("id", "component")
