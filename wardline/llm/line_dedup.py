@@ -38,7 +38,7 @@ from wardline.llm.components import components
 
 THRESHOLD = 2
 LEAST = 24
-CROWD = 64
+CROWD = 16
 ROUNDS = 3
 
 
