@@ -2,7 +2,7 @@ r"""Chat formatting into budgeted, turn-aligned windows.
 
 A turn is written as ``### role: text</turn>`` and a line break.  In texts and
 roles a backslash is doubled, ``</turn>`` becomes ``<\/turn>`` and ``##``
-becomes ``#\#`` (in roles ``:`` becomes ``\:``), so that no control string is
+becomes ``#\#`` (in roles ``: `` becomes ``:\ ``), so that no control string is
 left inside; dropping the first of every backslash and character pair undoes
 this.
 
@@ -47,7 +47,7 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(escape(role), F.lit(": "), F.lit(":\\ "))
 
 
 def unescape(text: Column) -> Column:

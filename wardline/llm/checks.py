@@ -19,7 +19,7 @@ WITH talk AS (
   UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')
 ), sized AS (
   SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) + {HEADER} AS size,
-    14 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ':', '\:'))
+    14 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ': ', ':\ '))
        + length(replace(replace(replace(body, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')) AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth
   FROM talk
