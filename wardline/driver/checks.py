@@ -541,11 +541,9 @@ DAYS = """d AS (SELECT ip, count(DISTINCT ts // 86400000) AS num_days,
     max(ts // 86400000) - min(ts // 86400000) + 1 - count(DISTINCT ts // 86400000) AS days_gap FROM v_logins GROUP BY ip)"""
 add("active_days", "logins", "SELECT * FROM d", DAYS)
 add("activity_gaps", "logins", "SELECT num_days, days_gap, count(*) AS num_ips FROM d GROUP BY num_days, days_gap", DAYS)
-# An hour is final once the latest event is an hour past its end.
 add(
     "heuristic_stream",
     "scores",
     """SELECT concat('heuristics.', heuristic_name, '.dc1') AS path, count(DISTINCT client_id) AS count_ips, ts // 1000 AS ts
-    FROM v_scores WHERE group_ids LIKE '%production%' AND ts + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 - 3600000
-    FROM events WHERE event_type = 'error' AND event_id % 3 <> 0) GROUP BY heuristic_name, ts""",
+    FROM v_scores WHERE group_ids LIKE '%production%' GROUP BY heuristic_name, ts""",
 )

@@ -18,7 +18,7 @@ from wardline.plans import cloud, config, evidence, fingerprint, intel, load, lo
 from wardline.session import shared_folder
 from wardline.sources.readers import drop_noise, keep_tabbed
 from wardline.sources.writers import metric_lines, tag_rows, with_row_ids
-from wardline.streaming.metrics import hourly_clients, write_points
+from wardline.streaming.metrics import hourly_clients, with_open_hours, write_points
 
 AS_OF_MS = 1_706_659_200_000
 MONTH = tt.relative_window("@month_ago", "@now", as_of_ms=AS_OF_MS)
@@ -567,14 +567,16 @@ def activity_gaps(spark, sf_dir):
 @query
 def heuristic_stream(spark, sf_dir):
     """Hourly metrics as a stream over the event files, run to the end of the input."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    scores = events.filter("event_type = 'error'").selectExpr(
+    columns = [
         "cast(ts AS timestamp) AS at",
         "concat('10.', user_id % 3, '.', user_id % 7, '.', user_id % 200) AS client_id",
         "CASE event_id % 5 WHEN 4 THEN 'TotalScore' ELSE concat('heur', event_id % 5) END AS heuristic_name",
         "CASE event_id % 3 WHEN 0 THEN 'lab' ELSE 'a,production,b' END AS group_ids",
-    )
+    ]
+    stored = table(spark, sf_dir, "events")
+    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    scores, bounded = (df.filter("event_type = 'error'").selectExpr(*columns) for df in (events, stored))
     folder = shared_folder(spark, "heuristic-stream")
     write_points(hourly_clients(scores, "dc1"), f"{folder}/points", f"{folder}/state").awaitTermination()
-    return spark.read.schema("path string, count_ips bigint, ts bigint").parquet(f"{folder}/points")
+    points = spark.read.schema("path string, count_ips bigint, ts bigint").parquet(f"{folder}/points")
+    return with_open_hours(points, bounded, "dc1")

@@ -37,20 +37,22 @@ def _repeated(items: list) -> list:
     return [item for item, count in seen.items() if count > 1]
 
 
-def _list_findings(node: dict, path: str) -> list[dict]:
+def _list_findings(document: dict) -> list[dict]:
     """Repeated values of every list that is reached through objects only."""
-    found = []
-    for key, value in node.items():
-        here = f"{path}.{key}" if path else key
-        if isinstance(value, dict):
-            found += _list_findings(value, here)
+    found, waiting = [], [iter([("", document)])]
+    while waiting:  # one iterator per open object, so that order is kept at any depth
+        path, value = next(waiting[-1], (None, None))
+        if path is None:
+            waiting.pop()
+        elif isinstance(value, dict):
+            waiting.append(iter([(f"{path}.{key}" if path else key, item) for key, item in value.items()]))
         elif isinstance(value, list):
-            found += [{"path": here, "value": str(item)} for item in _repeated(value)]
+            found += [{"path": path, "value": str(item)} for item in _repeated(value)]
     return found
 
 
 def inspect_document(text: str) -> dict:
-    """Report on one JSON document."""
+    """Report on one JSON document; ``valid`` is None if it is nested too deep to tell."""
     repeated_keys: list[str] = []
 
     def to_dict(pairs: list[tuple]) -> dict:
@@ -59,9 +61,11 @@ def inspect_document(text: str) -> dict:
 
     try:
         document = json.loads(text, object_pairs_hook=to_dict)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return {"valid": None, "duplicate_keys": [], "duplicate_values": []}
+    except ValueError:
         return {"valid": False, "duplicate_keys": [], "duplicate_values": []}
-    findings = _list_findings(document, "") if isinstance(document, dict) else []
+    findings = _list_findings(document) if isinstance(document, dict) else []
     return {"valid": True, "duplicate_keys": sorted(set(repeated_keys)), "duplicate_values": findings}
 
 

@@ -68,9 +68,14 @@ def heuristic_base_name(c: Column | str, strict: bool = False) -> Column:
 
 
 def parse_evidences(c: Column | str) -> Column:
-    """A packed list of dictionaries (single or double quotes) to an array of structs."""
-    unprefixed = F.regexp_replace(_col(c), r"(?<=[\[{,: ])u(?=['\"])", "")
-    return F.from_json(unprefixed, EVIDENCE_SCHEMA, {"allowSingleQuotes": "true"})
+    """A packed list of dictionaries (single or double quotes) to an array of structs.
+
+    The literals ``None``, ``True`` and ``False`` count where a value can stand.
+    """
+    plain = F.regexp_replace(_col(c), r"(?<=[\[{,: ])u(?=['\"])", "")
+    for literal, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        plain = F.regexp_replace(plain, rf"(?<=[\[:,]\s{{0,4}}){literal}(?=\s*[,\]}}])", value)
+    return F.from_json(plain, EVIDENCE_SCHEMA, {"allowSingleQuotes": "true"})
 
 
 def bracket_list(c: Column | str) -> Column:
@@ -95,7 +100,7 @@ def value_type(c: Column | str) -> Column:
     number = F.trim(c).try_cast("bigint")
     day = F.substring_index(c, " ", 1).try_cast("date")
     return (
-        F.when(c.rlike(_INTEGER), F.when(F.abs(number) <= INT_LIMIT, "int").otherwise("bigint"))
+        F.when(c.rlike(_INTEGER), F.when(number.between(-INT_LIMIT, INT_LIMIT), "int").otherwise("bigint"))
         .when(c.rlike(_FLOAT), "double")
         .when(c.rlike(rf"^{_DAY}\s+{_CLOCK}(?:\.[0-9]{{1,6}})?$") & day.isNotNull(), "datetime")
         .when(c.rlike(rf"^{_DAY}$") & day.isNotNull(), "date")
@@ -116,5 +121,5 @@ def typed_value(c: Column | str, loader_type: str) -> Column:
     # time of day, and a failing cast costs far more than a pattern.
     if target in ("int", "bigint"):
         number = F.when(c.rlike(_INTEGER), F.trim(c).try_cast("bigint"))
-        return number if target == "bigint" else F.when(F.abs(number) <= INT_LIMIT, number.cast("int"))
+        return number if target == "bigint" else F.when(number.between(-INT_LIMIT, INT_LIMIT), number.cast("int"))
     return F.when(c.rlike(_FLOAT if target == "double" else _DAY_AND_CLOCK), F.trim(c).try_cast(target))

@@ -34,13 +34,14 @@ def _offsets(counts: DataFrame, bits: int, shift: int) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: str, out: str = "row_no", bits: int = BLOCK_BITS) -> DataFrame:
-    """Dense 1-based numbers in the order of a unique, filled integer column.
+    """Dense 1-based numbers in the order of a unique integer column; NULL comes first.
 
     Rows are numbered inside blocks of ``2**bits`` consecutive values, which hold
     at most that many rows, and each block starts after the rows of all earlier
     blocks.  Works for dense and for sparse values.
     """
-    blocked = df.withColumn("block", F.shiftright(F.col(order).cast("bigint"), bits))
+    block = F.shiftright(F.col(order).cast("bigint"), bits)
+    blocked = df.withColumn("block", F.coalesce(block, F.lit(-(1 << (63 - bits)) - 1)))
     counts = blocked.groupBy("block").agg(F.count("*").alias("n"))
     within = F.row_number().over(Window.partitionBy("block").orderBy(order))
     return (

@@ -37,9 +37,10 @@ def chunk_pairs(
     one_each = large.groupBy("_key").agg(F.max("_parts").alias("_parts"))
     tagged = pairs.withColumn("_key", F.xxhash64(*keys)).join(one_each, "_key", "left")
     chunk = F.coalesce(F.pmod(F.xxhash64(value), F.col("_parts")), F.lit(0)).cast("int")
-    # Grouping by the hash too lets the join's partitioning serve the lists.
-    lists = tagged.withColumn(part, chunk).groupBy("_key", *keys, part)
-    return lists.agg(F.array_sort(F.collect_list(value)).alias(out)).drop("_key")
+    # Grouping without the hash makes Spark exchange by key and part, so the parts
+    # of a hot list go to different tasks.
+    lists = tagged.withColumn(part, chunk).groupBy(*keys, part)
+    return lists.agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
 def pair_counts(pairs: DataFrame, keys: list[str], out: str) -> DataFrame:

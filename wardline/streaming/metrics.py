@@ -29,6 +29,23 @@ def hourly_clients(
     return counted.select(path.alias("path"), "count_ips", F.unix_seconds("hour.start").alias("ts"))
 
 
+def with_open_hours(
+    points: DataFrame, scores: DataFrame, datacenter: str, at: str = "at", prefix: str = METRIC_PREFIX
+) -> DataFrame:
+    """The points of a bounded run and those of the hours that were still open at its end.
+
+    ``scores`` is the run's input as a table.  An hour is written as a whole, so
+    only hours without any point are counted.
+    """
+    seen = scores.filter(F.col("group_ids").like("%production%"))
+    path = F.concat(F.lit(f"{prefix}."), F.col("heuristic_name"), F.lit(f".{datacenter}"))
+    counted = seen.groupBy(path.alias("path"), F.unix_seconds(F.date_trunc("hour", at)).alias("ts")).agg(
+        F.count_distinct("client_id").alias("count_ips")
+    )
+    left = counted.join(points.select("ts").distinct(), "ts", "left_anti")
+    return points.select("path", "count_ips", "ts").union(left.select("path", "count_ips", "ts"))
+
+
 def write_points(points: DataFrame, folder: str, state: str, available_now: bool = True) -> StreamingQuery:
     """Append metric points to parquet files, exactly once."""
     writer = points.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state)
