@@ -56,7 +56,10 @@ TOP = np.uint64(43)  # leaves 21 bits
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    out = (x >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 class Vocabulary:
@@ -84,7 +87,7 @@ class Vocabulary:
         pieces.sort(key=lambda p: (-p[2], p[1]))
         total = math.log(sum(1.0 / (r + ZIPF_SHIFT) for r in range(len(pieces))))
         weights = [-math.log(r + ZIPF_SHIFT) - total for r in range(len(pieces))]
-        self.byte_weight = weights[-1]
+        self.byte_share = math.exp(weights[-1])
         self.longest = max(len(text) for text, _, _ in pieces)
         hashes = [self._hash(text) for text, _, _ in pieces]
         order = np.argsort(np.array(hashes, np.uint64))
@@ -92,7 +95,7 @@ class Vocabulary:
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.ids = np.array([k for _, k, _ in pieces], np.int32)[order]
-        self.weights = np.array(weights)[order]
+        self.shares = np.exp(np.array(weights)[order])
         prefixes = {text[:n] for text, _, _ in pieces for n in range(1, len(text) + 1)}
         self.prefixes = np.unique(np.array([self._hash(p) for p in prefixes], np.uint64) >> TOP)
         self._fill()
@@ -133,14 +136,18 @@ class Vocabulary:
 
 
 def _extend(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return (state ^ (codes + np.uint64(1))) * _BASE + (state >> np.uint64(29))
+    out = codes + np.uint64(1)
+    out ^= state
+    out *= _BASE
+    out += state >> np.uint64(29)
+    return out
 
 
 class Lattice:
     """The lattices of some distinct words, one after another.
 
     A word of n characters has n + 1 nodes.  ``cum`` and ``prob`` hold, for
-    each node and piece length, the (cumulated) probability of going on with
+    each piece length and node, the (cumulated) probability of going on with
     that piece, ``ids`` the piece (or minus the code point of a character
     spelled in bytes).
     """
@@ -162,14 +169,14 @@ class Lattice:
         for n in range(wide):
             state = _extend(state, codes[at + n])
             hashed = wh.mix(state)
-            top = (hashed >> TOP).astype(np.int64)
+            top = (hashed >> TOP).view(np.int64)
             go = np.flatnonzero(voc.known[top])
             if not len(go):
                 break
             at, state, hashed, top = at[go], state[go], hashed[go], top[go]
             place = voc.find(hashed, top)
             hit = np.flatnonzero(place >= 0)
-            hits.append((at[hit], n, voc.weights[place[hit]], voc.ids[place[hit]]))
+            hits.append((at[hit], n, voc.shares[place[hit]], voc.ids[place[hit]]))
             if n == 0:
                 spelled[at[hit]] = False
             go = np.flatnonzero(left[at] > n + 1)
@@ -178,44 +185,57 @@ class Lattice:
         code = codes[spelled].astype(np.int64)
         code[code == ord(MARK)] = ord(SPACE)
         length = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        hits.append((spelled, 0, voc.byte_weight * length, np.where(code < 0x80, voc.bytes[np.minimum(code, 255)], -code)))
+        hits.append((spelled, 0, voc.byte_share**length, np.where(code < 0x80, voc.bytes[np.minimum(code, 255)], -code)))
         wide = max(n for _, n, _, _ in hits) + 1
-        self.ids = np.zeros((nodes, wide), np.int32)
-        factor = np.zeros((nodes, wide))
-        for at, n, weight, ids in hits:
-            factor[at, n] = np.exp(weight + SCALE * (n + 1))
-            self.ids[at, n] = ids
+        self.ids = np.zeros((wide, nodes), np.int32)
+        factor = np.zeros((wide, nodes))
+        for at, n, share, ids in hits:
+            factor[n, at] = share * math.exp(SCALE * (n + 1))
+            self.ids[n, at] = ids
         self.prob = self._transitions(factor, sizes, wide)
         self.cum = self.prob.astype(np.float32)
         for n in range(1, wide):
-            self.cum[:, n] += self.cum[:, n - 1]
+            self.cum[n] += self.cum[n - 1]
 
     def _transitions(self, factor: np.ndarray, sizes: np.ndarray, wide: int) -> np.ndarray:
         """Probability of every edge, given that its start is on the way.
 
+        Nodes are taken by their distance from the word's end, longest word
+        first, so the nodes that a piece leads to lie together as well.
         ``ways`` is the total weight of all ways from a node to its word's end;
         long words keep it as mantissa and logarithm.
         """
-        ways, logs = np.zeros(len(factor) + wide), np.zeros(len(factor) + wide)
-        ways[self.end] = 1.0
-        order = np.argsort(sizes, kind="stable")
-        ends, sizes_up = self.end[order], sizes[order]
-        reach = np.arange(1, wide + 1)
-        for back in range(1, int(sizes.max(initial=0)) + 1):
-            node = ends[np.searchsorted(sizes_up, back) :] - back
-            ahead = node[:, None] + reach[:back]
-            each = factor[node, :back] * ways[ahead]
+        order = np.argsort(-sizes, kind="stable")
+        ends, longest = self.end[order], int(sizes.max(initial=0))
+        # Words with a node at each distance, and where those nodes begin.
+        many = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest + 1))
+        begin = np.cumsum(many) - many
+        nodes = np.concatenate([ends[:m] - back for back, m in enumerate(many.tolist())]) if len(sizes) else ends
+        by_end = np.empty_like(factor)
+        for n in range(wide):
+            by_end[n] = factor[n][nodes]
+        ways, logs = np.ones(len(nodes)), np.zeros(len(nodes))
+        for back in range(1, longest + 1):
+            count, reach = int(many[back]), min(back, wide)
+            here = slice(int(begin[back]), int(begin[back]) + count)
+            each = by_end[:reach, here]
             if back > SHORT:  # bring the next nodes to one logarithm
-                log = logs[node + 1]
-                each *= np.exp(np.clip(logs[ahead] - log[:, None], -700.0, 700.0))
+                ahead = begin[back - reach : back][::-1, None] + np.arange(count)
+                log = logs[ahead[0]]
+                each *= ways[ahead] * np.exp(np.clip(logs[ahead] - log, -700.0, 700.0))
             else:
                 log = 0.0
-            total = each.sum(axis=1)
-            factor[node, :back] = each / total[:, None]  # not read again by nodes further left
+                for n in range(reach):
+                    start = int(begin[back - n - 1])
+                    each[n] *= ways[start : start + count]
+            total = each.sum(axis=0)
+            each /= total
             if back >= SHORT:
-                logs[node], ways[node] = log + np.log(total), 1.0
+                logs[here], ways[here] = log + np.log(total), 1.0
             else:
-                ways[node] = total
+                ways[here] = total
+        for n in range(wide):
+            factor[n, nodes] = by_end[n]
         return factor
 
     def walk(self, node: np.ndarray, end: np.ndarray, seed: np.ndarray):
@@ -225,8 +245,13 @@ class Lattice:
         while len(live):
             here = node[live]
             u = _uniform(wh.mix(seed[live] + np.uint64(len(steps) + 1) * _GOLD))
-            odds = self.cum[here]
-            choice = (odds <= (np.minimum(u, 1 - 1e-7) * odds[:, -1]).astype(np.float32)[:, None]).sum(axis=1)
+            upto = (np.minimum(u, 1 - 1e-7) * self.cum[-1, here]).astype(np.float32)
+            choice, open_ = np.zeros(len(live), np.int64), np.arange(len(live))
+            for cum in self.cum:  # those whose piece is longer go on
+                open_ = open_[cum[here[open_]] <= upto[open_]]
+                if not len(open_):
+                    break
+                choice[open_] += 1
             steps.append((live, here, choice))
             counts[live] += 1
             node[live] = here + choice + 1
@@ -328,7 +353,7 @@ def _sample_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples:
             if before is not None:
                 parts = [np.concatenate([x, y]) for x, y in zip(before, parts, strict=True)]
                 at = len(before[0]) - 1
-            prob = lattice.prob[parts[1], parts[2]]
+            prob = lattice.prob[parts[2], parts[1]]
             seed = wh.mix(np.array([seeds[d] ^ (np.uint64(turn + 1) * _GOLD)], np.uint64))[0]
             paths[d].append(_Path(*parts, prob, at, barred, barred_mass, value, seed, samples + 1))
         if turn + 1 < samples:
@@ -348,14 +373,14 @@ def _next(d: int, paths: list[_Path], lattice: Lattice, seed: np.uint64, turn: i
     best.others[at] = -np.inf
     barred = best.barred if at == best.turn and best.barred else [int(best.choice[at])]
     node = int(best.node[at])
-    odds = lattice.prob[node].copy()
+    odds = lattice.prob[:, node].copy()
     odds[barred] = 0.0
     sums = np.cumsum(odds)
     u = float(_uniform(wh.mix(np.array([seed + np.uint64(turn) * np.uint64(0xA24BAED4963EE407)], np.uint64)))[0])
     piece = min(int((u * sums[-1] >= sums).sum()), int(np.flatnonzero(odds > 0)[-1]))
     barred = [*barred, piece]
     before = [np.append(x[:at], y) for x, y in ((best.word, best.word[at]), (best.node, node), (best.choice, piece))]
-    return d, int(best.word[at]), node + piece + 1, before, barred, float(lattice.prob[node][barred].sum()), value
+    return d, int(best.word[at]), node + piece + 1, before, barred, float(lattice.prob[barred, node].sum()), value
 
 
 def _results(paths: list[_Path], lattice: Lattice, voc: Vocabulary) -> list[tuple[np.ndarray, float, float, float]]:
@@ -366,7 +391,7 @@ def _results(paths: list[_Path], lattice: Lattice, voc: Vocabulary) -> list[tupl
     for path in paths:
         gap = path.log_prob - kappa if not math.isinf(kappa) else math.inf
         share = gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 600.0))))
-        out.append((_spell(lattice.ids[path.node, path.choice], voc), path.log_prob, path.value, share))
+        out.append((_spell(lattice.ids[path.choice, path.node], voc), path.log_prob, path.value, share))
     return out
 
 
