@@ -146,3 +146,5 @@ def test_keep_listed(spark):
     for small in (None, True, False):
         assert search.keep_listed(frame, "id", frame.filter("id < 7").select("id"), small).count() == 7
     assert search.fits_in_tasks(frame, 3000) and not search.fits_in_tasks(frame, 2999)
+    assert not search.fits_in_tasks(frame, 3000, size=100)
+    assert search.fits_in_tasks(frame.limit(0)) and search.fits_in_tasks(frame.selectExpr("CAST(NULL AS STRING) AS `a.b`"), 3000, size=0)

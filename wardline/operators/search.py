@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # Beyond this many literals a list is joined instead of written into the plan.
 LITERAL_LIMIT = 1000
-# Key tables up to this many rows are sent to every task (some 10 MB of numbers).
+# Key tables up to this many rows and bytes of text are sent to every task.
 SMALL_KEYS = 1_000_000
+SMALL_BYTES = 64 << 20
 
 _QUAD = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 _ANYWHERE = rf"(?=({_QUAD}))"
@@ -76,6 +77,14 @@ def keep_listed(df: DataFrame, column: str, values: list | DataFrame, small: boo
     return keep_listed(df, column, keys)
 
 
-def fits_in_tasks(keys: DataFrame, limit: int = SMALL_KEYS) -> bool:
-    """Whether a key table has at most ``limit`` rows; reads no further than that."""
-    return keys.limit(limit + 1).count() <= limit
+def fits_in_tasks(keys: DataFrame, limit: int = SMALL_KEYS, size: int = SMALL_BYTES) -> bool:
+    """Whether a key table has at most ``limit`` rows and ``size`` bytes of text.
+
+    Both are added up where the rows are; only the two sums are gathered.
+    """
+    length = F.lit(0)
+    for name, kind in keys.dtypes:
+        if kind == "string":
+            length = length + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    found = keys.agg(F.count("*").alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= limit and found["bytes"] <= size

@@ -21,13 +21,12 @@ def gather_evidence(
 ) -> DataFrame:
     """Scores of production heuristics with evidence, hosts and network owner.
 
-    The hour list (8,784 values a year at most) restricts all three inputs before
-    they are joined.  Hosts of an
+    The hour list restricts all three inputs before they are joined.  Hosts of an
     event are a sorted list, cut into further rows (``list_part``) when very long.
     """
 
     def in_hours(df: DataFrame) -> DataFrame:
-        return df if hours is None else keep_listed(df, "ts", hours, small=True)
+        return df if hours is None else keep_listed(df, "ts", hours, small=False)
 
     wanted = in_hours(scores).filter(
         ~F.col("heuristic_name").like("%Score%") & F.col("group_ids").like("%production%")
