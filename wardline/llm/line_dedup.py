@@ -7,7 +7,8 @@ within the threshold must hold one unchanged: the index has one key per
 segment (length, number, characters), and every line probes it with its
 substrings for the lengths l - threshold ... l, at the places where a segment
 can have moved (a segment with i before it moves at most i to either side, and
-the segments after it bound the move likewise).  Pairs that meet are verified
+the segments after it bound the move likewise).  Segments shared where they
+are come from the index itself, one pair each.  Pairs that meet are verified
 with a banded, bit-parallel edit distance: one small bit vector per number of
 errors holds the diagonals of the band that are reached, and one step per
 character updates all of them.
@@ -29,6 +30,8 @@ results.  Only id and text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ THRESHOLD = 2
 LEAST = 24
 CROWD = 16
 ROUNDS = 3
+QUICK = 512  # characters up to which the built-in edit distance is tried first
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -60,26 +64,35 @@ def _key(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def _index_keys(line: Column, chars: Column, threshold: int, least: int = 0) -> Column:
-    keys = []
+def _index_keys(line: Column, chars: Column, threshold: int) -> Column:
+    """(key, at, size, before) of every segment; ``before`` holds the keys of the segments ahead of it."""
+    keys, out = [], []
     for number in range(threshold + 1):
         start, size = _segment(chars, number, threshold + 1)
-        keys.append(F.struct(_key(chars, F.lit(number), F.substring(line, start + 1, size)).alias("key"), start.alias("at"), size.alias("size")))
-    return F.array(*keys)
+        before = F.array(*keys) if keys else F.array().cast("array<bigint>")
+        keys.append(_key(chars, F.lit(number), F.substring(line, start + 1, size)))
+        out.append(F.struct(keys[-1].alias("key"), start.alias("at"), size.alias("size"), before.alias("before")))
+    return F.array(*out)
 
 
-def _probe_keys(line: Column, chars: Column, threshold: int, least: int) -> Column:
+def _probe_keys(line: Column, chars: Column, threshold: int, shorter: int, least: int = 0, unmoved: bool = False) -> list[Column]:
+    """(key, at, size, shorter) of the substrings that may be a segment of a line ``shorter`` characters shorter.
+
+    Those that are segments of the line itself come from the index and are
+    left out unless ``unmoved`` is set.
+    """
     keys = []
-    for shorter in range(threshold + 1):
-        length = (chars - shorter).cast("int")
-        for number in range(threshold + 1):
-            start, size = _segment(length, number, threshold + 1)
-            for move in _moves(number, shorter, threshold):
+    length = (chars - shorter).cast("int")
+    for number in range(threshold + 1):
+        start, size = _segment(length, number, threshold + 1)
+        for move in _moves(number, shorter, threshold):
+            if shorter or move or unmoved:
                 at = (start + move).cast("int")
                 key = _key(length, F.lit(number), F.substring(line, at + 1, size))
                 fits = (length >= least) & (at >= 0) & (at + size <= chars)
-                keys.append(F.when(fits, F.struct(key.alias("key"), at.alias("at"), size.alias("size"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+                entry = F.struct(key.alias("key"), at.alias("at"), size.alias("size"), F.lit(shorter).alias("shorter"))
+                keys.append(F.when(fits, entry))
+    return keys
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -124,8 +137,16 @@ def _suspects(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
-    met = probes.select(F.col("id").alias("x"), "key").join(index.select(F.col("id").alias("y"), "key"), "key")
-    return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    """(a, b) of the lines that meet at a key.
+
+    Lines of one length are paired from the smaller id, and only at the first
+    segment that they share where they are, not at every one.
+    """
+    left = probes.select(F.col("id").alias("x"), "key", "shorter", F.col("before").alias("before_x"))
+    right = index.select(F.col("id").alias("y"), "key", F.col("before").alias("before_y"))
+    once = (F.col("x") < F.col("y")) | ((F.col("shorter") > 0) & (F.col("x") != F.col("y")))
+    met = left.join(right, "key").where(once & ~F.arrays_overlap("before_x", "before_y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _rest(line: Column) -> Column:
@@ -134,38 +155,64 @@ def _rest(line: Column) -> Column:
     return F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, after, F.char_length(line)))
 
 
+def _present(keys: list[Column]) -> Column:
+    return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")
+
+
 def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """(a, b) with a < b: ids of the lines (id, line, chars) that share a segment."""
     long_lines = lines.where(F.col("chars") >= least)
-    index = long_lines.select("id", F.explode(_index_keys(F.col("line"), F.col("chars"), threshold)).alias("k"))
-    probes = long_lines.select("id", F.explode(_probe_keys(F.col("line"), F.col("chars"), threshold, least)).alias("k"))
-    index, probes = index.select("id", "k.*"), probes.select("id", "k.*")
+    line, chars, rest = F.col("line"), F.col("chars"), F.col("rest")
+    index = long_lines.select("id", F.explode(_index_keys(line, chars, threshold)).alias("k")).select("id", "k.*")
+    moved = [k for shorter in range(threshold + 1) for k in _probe_keys(line, chars, threshold, shorter, least)]
+    probes = long_lines.select("id", _present(moved)).select("id", "k.*", F.array().cast("array<bigint>").alias("before"))
     found = None
     for turn in range(rounds + 1):
         index = staged(index, "line-index")
-        probes = _suspects(probes, index)
-        if turn < rounds:
-            crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-            crowded = staged(crowded.select("key", F.lit(True).alias("crowd")), "line-crowds")
-            probes, index = (rows.join(crowded, "key", "left") for rows in (probes, index))
-            probes = staged(probes, "line-probes")
-            pairs = _pairs(probes.where("crowd is null"), index.where("crowd is null"))
-        else:
-            pairs = _pairs(probes, index)
+        sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        sizes = staged(sizes.select("key", (F.lit(turn < rounds) & (F.col("n") > crowd)).alias("crowd")), "line-crowds")
+        probes = staged(_suspects(probes, index).join(sizes, "key", "left"), "line-probes")
+        # Lines that share a segment where it is find each other in the index.
+        shared = staged(index.join(sizes, "key"), "line-shared")
+        index = index.join(sizes, "key", "left")
+        own = shared.withColumn("shorter", F.lit(0)).select(*probes.columns)
+        open_ = ~F.coalesce(F.col("crowd"), F.lit(False))
+        pairs = staged(_pairs(probes.union(own).where(open_), index.where(open_)), "line-meets")
         found = pairs if found is None else found.union(pairs)
-        if turn == rounds or crowded.isEmpty():
+        if turn == rounds or sizes.where("crowd").isEmpty():
             return found.distinct()
         # Pairs at a crowded key must share a segment of what is left of their lines, too.
         sides = []
-        for rows, keys in ((index, _index_keys), (probes, _probe_keys)):
-            rows = rows.where("crowd").drop("crowd")
+        for rows in (shared, probes):
+            rows = rows.where("crowd")
             if turn == 0:
-                rows = rows.join(lines.select("id", F.col("line").alias("rest")), "id")
-            rows = staged(rows.select("id", F.col("key").alias("outer"), _rest(F.col("rest")).alias("rest")), "line-rests")
-            inner = F.explode(keys(F.col("rest"), F.char_length("rest"), threshold, 0)).alias("k")
-            rows = rows.select("id", "outer", "rest", inner)
-            sides.append(rows.select("id", F.xxhash64("outer", "k.key").alias("key"), "k.at", "k.size", "rest"))
-        index, probes = sides
+                rows = rows.join(lines.select("id", line.alias("rest")), "id")
+            kept = [c for c in rows.columns if c in ("id", "shorter", "before")]
+            sides.append(staged(rows.select(*kept, F.col("key").alias("outer"), _rest(rest).alias("rest")), "line-rests"))
+        shared, probes = sides
+        size, key = F.char_length("rest"), F.xxhash64("outer", "k.key").alias("key")
+        index = shared.select("id", "outer", "rest", "before", F.explode(_index_keys(rest, size, threshold)).alias("k"))
+        ahead = F.concat("before", F.transform("k.before", lambda k: F.xxhash64("outer", k))).alias("before")
+        index = index.select("id", key, "k.at", "k.size", ahead, "rest")
+        # What is left differs in length as the lines do.
+        inner = [(shared.withColumn("shorter", F.lit(0)), _probe_keys(rest, size, threshold, 0))]
+        inner += [(probes.where(F.col("shorter") == n), _probe_keys(rest, size, threshold, n, unmoved=True)) for n in range(threshold + 1)]
+        parts = [rows.select("id", "outer", "rest", "before", _present(keys)) for rows, keys in inner]
+        probes = reduce(DataFrame.union, parts).select("id", key, "k.at", "k.size", "k.shorter", "before", "rest")
+
+
+# Letters that are common in many languages; one edit changes two counts by one at most.
+COUNTED = " etaoinsrhld"
+
+
+def _counts(line: Column) -> Column:
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def _differ(a: str, b: str) -> Column:
+    """By how much two lines' counts differ."""
+    each = [F.abs(F.col(a)[k] - F.col(b)[k]) for k in range(len(COUNTED))]
+    return reduce(lambda x, y: x + y, each)
 
 
 def edit_classes(
@@ -186,12 +233,15 @@ def edit_classes(
 
     pairs = staged(candidates(lines, threshold, least), "line-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    texts = staged(rows_in(lines.select("id", "line"), "id", staged(ends.distinct(), "line-ends")), "line-texts")
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    # Spark's own edit distance rejects most pairs first; the bit vectors, as
-    # functions on arrays, cost far more a character.
-    close = (F.levenshtein("line_a", "line_b", threshold) >= 0) & within(F.col("line_a"), F.col("line_b"), threshold)
-    links = staged(both.where(close).select("a", "b"), "line-links")
+    texts = rows_in(lines.select("id", "line"), "id", staged(ends.distinct(), "line-ends"))
+    texts = staged(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
+    both = pairs.join(texts.toDF("a", "line_a", "counts_a"), "a").join(texts.toDF("b", "line_b", "counts_b"), "b")
+    # Letter counts reject most pairs, then Spark's own edit distance; the bit
+    # vectors, as functions on arrays, cost far more a character.  Spark's walks
+    # all of a line for each character, so long lines go to the bit vectors.
+    quick = F.when(F.char_length("line_a") <= QUICK, F.levenshtein("line_a", "line_b", threshold) >= 0).otherwise(True)
+    alike = (_differ("counts_a", "counts_b") <= 2 * threshold) & quick
+    links = staged(both.where(alike & within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "line-links")
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(links).toDF("id", "component")
