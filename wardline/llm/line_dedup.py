@@ -42,8 +42,8 @@ from wardline.llm.components import components
 THRESHOLD = 2
 LEAST = 24
 CROWD = 16
-ROUNDS = 3
-QUICK = 512  # characters up to which the built-in edit distance is tried first
+ROUNDS = 5
+LEAP = 1 << 22  # longest step along what two lines share
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -95,18 +95,64 @@ def _probe_keys(line: Column, chars: Column, threshold: int, shorter: int, least
     return keys
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shared_start(a: Column, b: Column, from_end: bool = False) -> Column:
+    """Number of characters that two strings have in common at their start (or end), up to ``2 * LEAP``."""
+    room = F.least(F.char_length(a), F.char_length(b))
+
+    def piece(text: Column, done: Column, more: Column) -> Column:
+        return F.substring(text, F.char_length(text) - done - more + 1 if from_end else done + 1, more)
+
+    def longer(done: Column, more: Column) -> Column:
+        same = (done + more <= room) & (piece(a, done, more) == piece(b, done, more))
+        return F.when(same, done + more).otherwise(done)
+
+    steps = F.array(*[F.lit(1 << k) for k in range(LEAP.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), longer)
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings is at most ``threshold``.
 
+    What they share at their start and end is left out first.
+    """
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= threshold
+
+    def ends(tails: Column) -> Column:
+        x, y = tails["a"], tails["b"]
+        cut = lambda text, shared: F.substring(text, F.lit(1), F.char_length(text) - shared)
+        return _let(_shared_start(x, y, from_end=True), lambda n: _let(F.struct(cut(x, n).alias("a"), cut(y, n).alias("b")), core))
+
+    def core(middle: Column) -> Column:
+        return _let(_padded(middle["a"], threshold), lambda padded: _banded(padded, middle["a"], middle["b"], threshold))
+
+    def tails(n: Column) -> Column:
+        rest = lambda text: F.substring(text, n + 1, F.char_length(text))
+        return _let(F.struct(rest(a).alias("a"), rest(b).alias("b")), ends)
+
+    return near & _let(_shared_start(a, b), tails)
+
+
+def _padded(text: Column, threshold: int) -> Column:
+    blank = F.array(*[F.lit("") for _ in range(threshold)]) if threshold else F.array().cast("array<string>")
+    return F.concat(blank, F.split(text, ""), blank)
+
+
+def _banded(padded: Column, a: Column, b: Column, threshold: int) -> Column:
+    """Whether ``a``, also given as padded characters, is within the threshold of ``b``.
+
     Bit d + threshold of level e says that the characters of ``a`` up to j + d
     can be turned into the first j of ``b`` with at most e edits.
     """
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    blank = F.array(*[F.lit("") for _ in range(threshold)]) if threshold else F.array().cast("array<string>")
-    padded = F.concat(blank, F.split(a, ""), blank)
     equal = lambda c, j, k: F.when(F.get(padded, j + k) == c, 1 << k).otherwise(0)
-    masks = F.transform(F.split(b, ""), lambda c, j: sum((equal(c, j, k) for k in range(1, width)), equal(c, j, 0)).cast("long"))
+    chars = F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, ""))
+    masks = F.transform(chars, lambda c, j: sum((equal(c, j, k) for k in range(1, width)), equal(c, j, 0)).cast("long"))
 
     def step(state: Column, mask: Column) -> Column:
         level = lambda e: F.shiftright(state, e * width).bitwiseAND(F.lit(full).cast("long"))
@@ -126,8 +172,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         start |= sum(1 << (threshold + d) for d in range(e + 1)) << (e * width)
     final = F.aggregate(masks, F.lit(start).cast("long"), step)
     place = F.char_length(a) - F.char_length(b) + (threshold + threshold * width)
-    near = F.abs(F.char_length(a) - F.char_length(b)) <= threshold
-    return near & (F.getbit(final, F.greatest(place, F.lit(0)).cast("int")) == 1)
+    return F.getbit(final, F.greatest(place, F.lit(0)).cast("int")) == 1
 
 
 def _suspects(probes: DataFrame, index: DataFrame) -> DataFrame:
@@ -236,11 +281,8 @@ def edit_classes(
     texts = rows_in(lines.select("id", "line"), "id", staged(ends.distinct(), "line-ends"))
     texts = staged(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
     both = pairs.join(texts.toDF("a", "line_a", "counts_a"), "a").join(texts.toDF("b", "line_b", "counts_b"), "b")
-    # Letter counts reject most pairs, then Spark's own edit distance; the bit
-    # vectors, as functions on arrays, cost far more a character.  Spark's walks
-    # all of a line for each character, so long lines go to the bit vectors.
-    quick = F.when(F.char_length("line_a") <= QUICK, F.levenshtein("line_a", "line_b", threshold) >= 0).otherwise(True)
-    alike = (_differ("counts_a", "counts_b") <= 2 * threshold) & quick
+    # Letter counts reject most pairs at once.
+    alike = _differ("counts_a", "counts_b") <= 2 * threshold
     links = staged(both.where(alike & within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "line-links")
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
