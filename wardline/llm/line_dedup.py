@@ -200,8 +200,10 @@ def _rest(line: Column) -> Column:
     return F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, after, F.char_length(line)))
 
 
-def _present(keys: list[Column]) -> Column:
-    return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")
+def _opened(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
+    """A row, with its ``columns``, for every key ``k`` that is not null."""
+    # Filtering rows, not the array, keeps the keys inside generated code.
+    return rows.select(*columns, F.explode(F.array(*keys)).alias("k")).where("k is not null")
 
 
 def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
@@ -210,26 +212,27 @@ def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD,
     line, chars, rest = F.col("line"), F.col("chars"), F.col("rest")
     index = long_lines.select("id", F.explode(_index_keys(line, chars, threshold)).alias("k")).select("id", "k.*")
     moved = [k for shorter in range(threshold + 1) for k in _probe_keys(line, chars, threshold, shorter, least)]
-    probes = long_lines.select("id", _present(moved)).select("id", "k.*", F.array().cast("array<bigint>").alias("before"))
+    probes = _opened(long_lines, moved, "id").select("id", "k.*", F.array().cast("array<bigint>").alias("before"))
     found = None
     for turn in range(rounds + 1):
         index = staged(index, "line-index")
         sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         sizes = staged(sizes.select("key", (F.lit(turn < rounds) & (F.col("n") > crowd)).alias("crowd")), "line-crowds")
-        probes = staged(_suspects(probes, index).join(sizes, "key", "left"), "line-probes")
+        probes = staged(_suspects(probes, index), "line-probes")
+        # Only segments that another line may share are exchanged.
+        met = sizes.select("key").union(probes.select("key"))
+        index = staged(_suspects(index, met).join(sizes, "key", "left"), "line-met")
         # Lines that share a segment where it is find each other in the index.
-        shared = staged(index.join(sizes, "key"), "line-shared")
-        index = index.join(sizes, "key", "left")
-        own = shared.withColumn("shorter", F.lit(0)).select(*probes.columns)
-        open_ = ~F.coalesce(F.col("crowd"), F.lit(False))
-        pairs = staged(_pairs(probes.union(own).where(open_), index.where(open_)), "line-meets")
+        shared = index.where("crowd is not null")
+        own = shared.where("not crowd").withColumn("shorter", F.lit(0)).select(*probes.columns)
+        pairs = staged(_pairs(probes.union(own), index.where("crowd is null or not crowd")), "line-meets")
         found = pairs if found is None else found.union(pairs)
-        if turn == rounds or sizes.where("crowd").isEmpty():
+        crowded = sizes.where("crowd").select("key")
+        if turn == rounds or crowded.isEmpty():
             return found.distinct()
         # Pairs at a crowded key must share a segment of what is left of their lines, too.
         sides = []
-        for rows in (shared, probes):
-            rows = rows.where("crowd")
+        for rows in (shared.where("crowd"), probes.join(crowded, "key")):
             if turn == 0:
                 rows = rows.join(lines.select("id", line.alias("rest")), "id")
             kept = [c for c in rows.columns if c in ("id", "shorter", "before")]
@@ -242,7 +245,7 @@ def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD,
         # What is left differs in length as the lines do.
         inner = [(shared.withColumn("shorter", F.lit(0)), _probe_keys(rest, size, threshold, 0))]
         inner += [(probes.where(F.col("shorter") == n), _probe_keys(rest, size, threshold, n, unmoved=True)) for n in range(threshold + 1)]
-        parts = [rows.select("id", "outer", "rest", "before", _present(keys)) for rows, keys in inner]
+        parts = [_opened(rows, keys, "id", "outer", "rest", "before") for rows, keys in inner]
         probes = reduce(DataFrame.union, parts).select("id", key, "k.at", "k.size", "k.shorter", "before", "rest")
 
 
