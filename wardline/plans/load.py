@@ -28,9 +28,15 @@ def typed_lines(
 def load_tsv(
     spark: SparkSession, path: str, table: str, on_conflict: str = "error", new_name: str | None = None
 ) -> str:
-    """Read files with a header each, infer types, add row ids and save a table."""
+    """Read files with a header each, infer types, add row ids and save a table.
+
+    Rows appended to a table get ids after its largest one.
+    """
     header = read_tsv(spark, path).columns
     lines = read_numbered_lines(spark, path).filter(F.col("line_no") > 1)
     typed, _, _ = typed_lines(lines, header, "row_no")
     loaded = with_row_ids(typed, "row_no").drop("row_no")
+    if on_conflict == "append" and spark.catalog.tableExists(table) and "id" in spark.table(table).columns:
+        last = spark.table(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        loaded = loaded.withColumn("id", F.col("id") + last)
     return save_table(loaded, table, on_conflict, new_name)

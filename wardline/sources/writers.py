@@ -56,8 +56,8 @@ def with_row_ids(df: DataFrame, order: str, out: str = "id") -> DataFrame:
 def save_table(df: DataFrame, table: str, on_conflict: str = "error", new_name: str | None = None) -> str:
     """Create a table, or settle a clash with an existing one; returns its name.
 
-    ``append`` needs the same layout (positions and types) and goes by column
-    name, ``overwrite`` replaces the table, ``rename`` writes to ``new_name``.
+    ``append`` needs the same layout (positions, types and names), ``overwrite``
+    replaces the table, ``rename`` writes to ``new_name``.
     """
     if on_conflict not in ON_CONFLICT:
         raise ValueError(f"on_conflict must be one of {ON_CONFLICT}")
@@ -73,6 +73,8 @@ def save_table(df: DataFrame, table: str, on_conflict: str = "error", new_name:
         return save_table(df, new_name, "error")
     if on_conflict == "append" and not same_layout(spark.table(table).schema, df.schema):
         raise ValueError(f"table {table} has a different layout; overwrite or rename")
+    if on_conflict == "append" and spark.table(table).columns != df.columns:
+        raise ValueError(f"table {table} has other column names; overwrite or rename")
     df.write.mode(on_conflict).saveAsTable(table)
     return table
 
