@@ -172,6 +172,9 @@ def test_load_and_conflicts(spark, tmp_path):
     write(tmp_path / "two" / "a.tsv", "Key\tValue\n1\t1\n2\t2\n")
     load_tsv(spark, str(tmp_path / "two"), "loaded", "overwrite")
     assert [tuple(r) for r in spark.table("loaded").orderBy("id").collect()] == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]
+    write(tmp_path / "two" / "c.tsv", "4\t4\n5\t5\n")
+    with pytest.raises(ValueError, match="different headers"):
+        load_tsv(spark, str(tmp_path / "two"), "loaded", "overwrite")
     for name in ("loaded", "loaded_two"):
         writers.drop_table(spark.range(1), name)
         assert not spark.catalog.tableExists(name)

@@ -30,10 +30,15 @@ def load_tsv(
 ) -> str:
     """Read files with a header each, infer types, add row ids and save a table.
 
-    Rows appended to a table get ids after its largest one.
+    All files must have the same header.  Rows appended to a table get ids after
+    its largest one.
     """
     header = read_tsv(spark, path).columns
-    lines = read_numbered_lines(spark, path).filter(F.col("line_no") > 1)
+    numbered = read_numbered_lines(spark, path)
+    first_lines = numbered.filter(F.col("line_no") == 1).select("line").distinct()
+    if first_lines.limit(2).count() > 1:
+        raise ValueError("the files have different headers")
+    lines = numbered.filter(F.col("line_no") > 1)
     typed, _, _ = typed_lines(lines, header, "row_no")
     loaded = with_row_ids(typed, "row_no").drop("row_no")
     if on_conflict == "append" and spark.catalog.tableExists(table) and "id" in spark.table(table).columns:
