@@ -249,6 +249,22 @@ def test_vectors(spark):
     assert rows(vector_dedup.near_vectors(frame.limit(0))) == []
 
 
+def test_vectors_across_full_groups(spark):
+    """Every list fills with its own group; the 225 links across must not get lost."""
+    rng = np.random.default_rng(8)
+    one, two, *_ = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    middles = [one, 0.9855 * one + math.sqrt(1 - 0.9855**2) * two]
+    made = [(k, (vector_dedup.unit(middles[k % 2]) + 0.0035 * rng.standard_normal(32)).tolist(), 3) for k in range(30)]
+    units = np.stack([vector_dedup.unit(np.array(v)) for _, v, _ in made])
+    sims = units @ units.T
+    assert sims[0, 1::2].max() < sims[0, 2::2].min()
+    want = {k: int((sims[k] >= 0.98).sum()) - 1 for k in range(30)}
+    assert min(want.values()) > 20
+    got = vector_dedup.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == want
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [tuple(map(int, rng.integers(200, 260, 2))) for _ in range(40)]

@@ -8,11 +8,13 @@ until a round finds hardly any further link.  Pairs at the threshold or above
 (cosine in double precision) are links.
 
 A list that holds nothing but links is saturated and may miss others.  The
-lists of such a vector's component are enlarged to the whole component: its
-members are compared block by block and only counts leave a block, so no list
-is ever written out whole.  An audit compares a fixed number of vectors with
-all others of their label; below ``recall`` the lists are doubled and refined
-again.
+members of all components with a saturated vector are compared with each
+other, block by block, also across the components of a label: a pair of blocks
+is left out only if their middles are too far apart for any link.  Only counts
+and pairs of components leave a block, so no list is ever written out whole,
+and linked components become one.  An audit compares vectors of every label
+with all others of it, by full counts and components; below ``recall`` the
+lists are doubled and refined again.
 
 Equal vectors of one label are one node with a count, so a vector that a third
 of the rows share costs one entry.
@@ -42,6 +44,7 @@ SIZE = 10  # neighbours in a list
 TABLES = 6
 CHUNK = 24
 BLOCK = 256
+TILE = 2048  # middles of blocks compared at once
 ROUNDS = 6
 AUDIT = 256
 RECALL = 0.97
@@ -179,75 +182,166 @@ def _checked_links(lists: DataFrame, vectors: DataFrame, threshold: float) -> Da
     return both.where(_cosine("u", "v") >= threshold).select("a", "b")
 
 
-def _block_counts(threshold: float):
-    """Links between the members of two blocks, as counts per member."""
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with a middle vector and the largest angle to it."""
+    for batch in batches:
+        middles, radii = [], []
+        for entries in _groups(batch.column("members")):
+            vectors = _units(entries)
+            middle = vectors.sum(axis=0)
+            length = np.sqrt(middle @ middle)
+            middle = middle / length if length > 1e-6 else vectors[0]
+            middles.append(middle)
+            radii.append(float(np.arccos(np.clip(vectors @ middle, -1, 1)).max()))
+        columns = [*batch.columns, pa.array(middles, pa.list_(pa.float64())), pa.array(radii, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "unit", "radius"])
+
+
+def _near_blocks(threshold: float):
+    """Pairs of blocks that may hold a link: no further apart than both radii and the link's own angle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = math.acos(min(1.0, threshold)) + 1e-6
         for batch in batches:
-            nodes, counts = [], []
+            parts = []
             for k, entries in enumerate(_groups(batch.column("members"))):
-                ids, copies, block = (entries.field(c).to_numpy() for c in ("node", "copies", "block"))
-                vectors = np.stack(entries.field("unit").to_numpy(zero_copy_only=False))
+                cells, blocks, radii, tiles = (entries.field(c).to_numpy() for c in ("cell", "block", "radius", "tile"))
+                vectors = _units(entries)
                 low, high = batch.column("low")[k].as_py(), batch.column("high")[k].as_py()
-                rows, cols = np.flatnonzero(block == low), np.flatnonzero(block == high)
-                linked = vectors[rows] @ vectors[cols].T >= threshold
+                rows, cols = np.flatnonzero(tiles == low), np.flatnonzero(tiles == high)
+                angles = np.arccos(np.clip(vectors[rows] @ vectors[cols].T, -1, 1))
+                i, j = np.nonzero(angles <= radii[rows][:, None] + radii[cols][None, :] + reach)
+                i, j = rows[i], cols[j]
                 if low == high:
+                    i, j = i[i <= j], j[i <= j]
+                parts.append((cells[i], blocks[i], cells[j], blocks[j]))
+            columns = [np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "block", "cell2", "block2"])
+
+    return run
+
+
+def _units(entries: pa.StructArray) -> np.ndarray:
+    return entries.field("unit").flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)
+
+
+def _block_links(threshold: float):
+    """Links between two blocks: counts per member, and the pairs of different components they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys, edges = [], [], []
+            for one, two, same in zip(_groups(batch.column("members")), _groups(batch.column("members2")), batch.column("same").to_pylist(), strict=True):
+                (ids, copies, of), (ids2, copies2, of2) = ([e.field(c).to_numpy() for c in ("node", "copies", "component")] for e in (one, two))
+                linked = _units(one) @ _units(two).T >= threshold
+                if same:
                     np.fill_diagonal(linked, False)
                 else:
-                    nodes.append(ids[cols])
-                    counts.append(linked.T @ copies[rows])
-                nodes.append(ids[rows])
-                counts.append(linked @ copies[cols])
-            flat = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (nodes, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["node", "links"])
+                    xs.append(ids2)
+                    ys.append(linked.T @ copies)
+                    edges.append(np.zeros(len(ids2), bool))
+                xs.append(ids)
+                ys.append(linked @ copies2)
+                edges.append(np.zeros(len(ids), bool))
+                i, j = np.nonzero(linked & (of[:, None] != of2[None, :]))
+                joined = np.unique(np.stack([of[i], of2[j]], axis=1), axis=0)
+                xs.append(joined[:, 0])
+                ys.append(joined[:, 1])
+                edges.append(np.ones(len(joined), bool))
+            flat = [np.concatenate(x).astype(kind) if x else np.empty(0, kind) for x, kind in ((xs, np.int64), (ys, np.int64), (edges, bool))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["x", "y", "edge"])
 
     return run
 
 
-def _enlarged(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links) of all members (component, node, copies, unit) of saturated components."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = placed.groupBy("component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    packed = pairs.agg(F.collect_list(F.struct("node", "copies", "block", "unit")).alias("members"))
-    return packed.select("low", "high", "members").mapInArrow(_block_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+def _dealt(rows: DataFrame, key: list[str], of: list[str], name: str, room: int) -> DataFrame:
+    """``rows`` with a number ``name``, so that about ``room`` rows of a key share it, and how many numbers there are."""
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias(f"{name}s"))
+    return rows.join(sizes, key).withColumn(name, F.pmod(F.xxhash64(*of), F.col(f"{name}s")).cast("int"))
+
+
+def _compared(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (component, root) of members (cell, label, dim, node, component, copies, unit), exactly.
+
+    Cells are cut into blocks.  All blocks of a label whose middles and radii
+    do not rule out a link are compared, whatever their cells.
+    """
+    placed = _dealt(members, ["cell"], ["node"], "block", BLOCK)
+    blocks = placed.groupBy("label", "dim", "cell", "block").agg(F.collect_list(F.struct("node", "component", "copies", "unit")).alias("members"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + ", unit array<double>, radius double"
+    blocks = staged(blocks.mapInArrow(_block_rows, kind), "vector-blocks")
+    middles = _dealt(blocks.select("label", "dim", "cell", "block", "unit", "radius"), ["label", "dim"], ["cell", "block"], "tile", TILE)
+    middles = middles.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = middles.groupBy("label", "dim", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
+    tiles = tiles.agg(F.collect_list(F.struct("cell", "block", "tile", "unit", "radius")).alias("members")).select("low", "high", "members")
+    pairs = tiles.mapInArrow(_near_blocks(threshold), "cell long, block long, cell2 long, block2 long")
+    whole = blocks.select("cell", "block", "members")
+    both = pairs.join(whole, ["cell", "block"]).join(whole.toDF("cell2", "block2", "members2"), ["cell2", "block2"])
+    both = both.select("members", "members2", F.expr("cell = cell2 and block = block2").alias("same"))
+    found = both.mapInArrow(_block_links(threshold), "x long, y long, edge boolean")
+    found = staged(found.groupBy("edge", "x", F.when(F.col("edge"), F.col("y")).alias("y")).agg(F.sum("y").alias("links")), "vector-compared")
+    roots = staged(components(found.where("edge").select("x", "y")).toDF("component", "root"), "vector-roots")
+    return found.where("not edge").select(F.col("x").alias("node"), "links"), roots
+
+
+def _linked(lists: DataFrame, vectors: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(node, component, links) of all vectors.
+
+    Both ends of a link that no list holds are saturated, so the members of
+    all components with a saturated vector are compared with each other, and
+    the components that turn out to be linked become one.
+    """
+    links = staged(_checked_links(lists, vectors, threshold), "vector-links")
+    classes = vectors.select("node").join(components(links).toDF("node", "component"), "node", "left")
+    classes = staged(classes.select("node", F.coalesce("component", "node").alias("component")), "vector-classes")
+    full = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+    full = full.where((F.col("n") >= size) & (F.col("low") >= threshold - _SLACK)).select("node")
+    crowded = staged(classes.join(full, "node").select("component").distinct(), "vector-crowded")
+    members = classes.join(crowded, "component").join(vectors.select("label", "dim", "node", "copies", "unit"), "node")
+    dense, roots = _compared(members.withColumn("cell", F.col("component")), threshold)
+    ends = links.union(links.select("b", "a")).toDF("node", "other").join(classes.join(crowded, "component", "left_anti").select("node"), "node")
+    sparse = ends.join(vectors.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
+    out = classes.join(roots, "component", "left").join(dense.union(sparse), "node", "left")
+    return staged(out.select("node", F.coalesce("root", "component").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "vector-linked")
 
 
 def _audit(dictionary: dict, threshold: float):
-    """Links of the audited vectors among all rows of a batch."""
+    """Links of the audited vectors among all rows of a batch, counted by component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for node, label, dim, nav in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "dim", "nav")), strict=True):
-                ids, vectors = dictionary.get((label, dim), ((), None))
+            found: dict = {}
+            for node, label, dim, copies, component, unit in zip(*batch.columns, strict=True):
+                ids, vectors = dictionary.get((label.as_py(), dim.as_py()), ((), None))
                 if len(ids):
-                    near = np.flatnonzero(vectors @ np.frombuffer(nav, np.float32).astype(np.float64) >= threshold + _SLACK)
-                    found += [(ids[k], node) for k in near if ids[k] != node]
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "other"])
+                    for k in np.flatnonzero(vectors @ unit.values.to_numpy(zero_copy_only=False) >= threshold):
+                        if ids[k] != node.as_py():
+                            key = (ids[k], component.as_py())
+                            found[key] = found.get(key, 0) + copies.as_py()
+            columns = zip(*((*key, n) for key, n in found.items()), strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "component", "n"])
 
     return run
 
 
-def audited_recall(lists: DataFrame, vectors: DataFrame, threshold: float, audit: int = AUDIT, size: int = SIZE) -> float:
-    """Share of the links of ``audit`` vectors that the lists hold.
+def audited(linked: DataFrame, vectors: DataFrame, threshold: float, audit: int = AUDIT) -> DataFrame:
+    """(label, dim, n, got, near): true links of audited vectors, those counted, those inside the component.
 
-    The vectors are those of least hash.  Full lists count as holding what
-    they have room for.
+    ``audit`` vectors, of least hash, are spread evenly over the labels.
     """
-    order = F.xxhash64("node", F.lit(7))
-    chosen = vectors.select("node", "label", "dim", "nav").orderBy(order).limit(audit).collect()
+    groups = vectors.select("label", "dim").distinct().count()
+    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node", F.lit(7)))
+    chosen = vectors.select("node", "label", "dim", "unit").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(4, math.ceil(audit / max(1, groups))))
     by_group: dict = {}
-    for row in chosen:
-        by_group.setdefault((row["label"], row["dim"]), []).append((row["node"], np.frombuffer(row["nav"], np.float32).astype(np.float64)))
+    for row in chosen.orderBy(F.xxhash64("node", F.lit(7))).limit(16 * audit).collect():
+        by_group.setdefault((row["label"], row["dim"]), []).append((row["node"], np.array(row["unit"])))
     dictionary = {k: ([n for n, _ in v], np.stack([x for _, x in v])) for k, v in by_group.items()}
-    true = vectors.select("node", "label", "dim", "nav").mapInArrow(_audit(dictionary, threshold), "node long, other long")
-    either = lists.select("node", "other").union(lists.select("other", "node")).distinct().withColumn("held", F.lit(1))
-    held = true.join(either, ["node", "other"], "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("got"))
-    n, got = held.agg(F.sum(F.least("n", F.lit(size))), F.sum(F.least("got", F.lit(size)))).first()
-    return got / n if n else 1.0
+    rows = vectors.join(linked.select("node", "component"), "node").select("node", "label", "dim", "copies", "component", "unit")
+    true = rows.mapInArrow(_audit(dictionary, threshold), "node long, component long, n long")
+    true = true.withColumnRenamed("component", "of").join(linked, "node").groupBy("node")
+    true = true.agg(F.sum("n").alias("n"), F.first("links").alias("got"), F.sum(F.when(F.col("of") == F.col("component"), F.col("n")).otherwise(0)).alias("near"))
+    true = true.join(vectors.select("node", "label", "dim"), "node").groupBy("label", "dim")
+    return staged(true.agg(F.sum("n").alias("n"), F.sum(F.least("got", "n")).alias("got"), F.sum("near").alias("near")), "vector-audit")
 
 
 def near_vectors(
@@ -275,24 +369,14 @@ def near_vectors(
         first = first.where("node <> other").groupBy("node", "other").agg(F.max("sim").alias("sim"))
         lists = staged(_best(first, size).drop("nth").withColumn("fresh", F.lit(True)), "vector-lists")
         lists = _descend(lists, vectors, size, threshold, rounds)
-        if size >= 4 * SIZE or audited_recall(lists, vectors, threshold, size=size) >= recall:
+        linked = _linked(lists, vectors, threshold, size)
+        n, held = audited(linked, vectors, threshold).agg(F.sum("n"), F.sum(F.least("got", "near"))).first()
+        if size >= 4 * SIZE or held is None or held >= recall * n:
             break
         size *= 2
 
-    links = staged(_checked_links(lists, vectors, threshold), "vector-links")
-    classes = staged(components(links).toDF("node", "component"), "vector-classes")
-    full = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
-    full = full.where((F.col("n") >= size) & (F.col("low") >= threshold - _SLACK)).select("node")
-    crowded = classes.join(full, "node").select("component").distinct()
-    members = classes.join(crowded, "component").join(vectors.select("node", "copies", "unit"), "node")
-    dense = _enlarged(members, threshold, BLOCK)
-    copies = vectors.select("node", "copies")
-    ends = links.union(links.select("b", "a")).toDF("node", "other").join(classes.join(crowded, "component", "left_anti").select("node"), "node")
-    sparse = ends.join(copies.toDF("other", "times"), "other").groupBy("node").agg(F.sum("times").alias("links"))
-    degrees = dense.union(sparse)
-
-    named = nodes.select("node", "label", "vector", "copies").join(classes, "node", "left").join(degrees, "node", "left")
-    named = named.select("label", "vector", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = nodes.select("node", "label", "vector", "copies").join(linked, "node")
+    named = named.select("label", "vector", "component", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     linked = out.where("ok").join(named, ["label", "vector"]).select("vec_id", "n_links", "component")
     alone = out.where("not ok").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
