@@ -265,6 +265,22 @@ def test_vectors_across_full_groups(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_vectors_recall_is_enforced(spark):
+    """Pairs far from all others, under too few buckets to meet in."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((300, 24))
+    made = [(2 * k + j, (base[k] + 0.12 * j * rng.standard_normal(24)).tolist(), int(k < 40)) for k in range(300) for j in range(2)]
+    units = np.stack([vector_dedup.unit(np.array(v)) for _, v, _ in made])
+    labels = np.array([c for _, _, c in made])
+    want = ((units @ units.T >= 0.98) & (labels[:, None] == labels[None, :])).sum(axis=1) - 1
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(frame, tables=1, rounds=1).collect()}
+    for label in (0, 1):
+        found = sum(got[i].n_links for i, _, c in made if c == label)
+        assert found >= vector_dedup.RECALL * want[labels == label].sum() > 50
+    assert all(got[i].n_links <= want[i] and got[i].component_id in (i, i - i % 2) for i in got)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [tuple(map(int, rng.integers(200, 260, 2))) for _ in range(40)]

@@ -1,7 +1,8 @@
 """Near-duplicate vectors of one label, by NN-descent.
 
 Every vector keeps a list of its ``size`` most similar vectors.  The first
-lists come from random-hyperplane buckets, cut into chunks of bounded size.
+lists come from random-hyperplane buckets, as many as suit the label's size
+and cut into chunks, and from random vectors of the label.
 Then, round by round, each vector's neighbours (both ways, the reverse ones
 sampled) are compared with each other, and lists take over what is closer,
 until a round finds hardly any further link.  Pairs at the threshold or above
@@ -12,9 +13,12 @@ members of all components with a saturated vector are compared with each
 other, block by block, also across the components of a label: a pair of blocks
 is left out only if their middles are too far apart for any link.  Only counts
 and pairs of components leave a block, so no list is ever written out whole,
-and linked components become one.  An audit compares vectors of every label
-with all others of it, by full counts and components; below ``recall`` the
-lists are doubled and refined again.
+and linked components become one.
+
+An audit compares vectors of every label with all others of it, by full counts
+and components.  Labels below ``recall`` go on with new hyperplanes and new
+random vectors, under a larger audit each time; a label still below it after
+three draws is compared block by block as a whole, which is exact.
 
 Equal vectors of one label are one node with a count, so a vector that a third
 of the rows share costs one entry.
@@ -48,6 +52,7 @@ TILE = 2048  # middles of blocks compared at once
 ROUNDS = 6
 AUDIT = 256
 RECALL = 0.97
+DRAWS = 3  # of hyperplanes, before a label is compared as a whole
 _SLACK = 1e-4  # float32 navigation against the threshold in double
 
 
@@ -62,26 +67,33 @@ def unit(values: np.ndarray) -> np.ndarray:
     return values / np.sqrt(values @ values)
 
 
-def _prepare(bits: int, tables: int):
-    """Unit vectors in double, their float32 bytes, and bucket codes."""
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors in double and their float32 bytes."""
+    for batch in batches:
+        units = [unit(vector.values.to_numpy(zero_copy_only=False)) for vector in batch.column("vector")]
+        keep = ["node", "label", "dim", "bits", "copies"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in keep), pa.array(units, pa.list_(pa.float64())), pa.array([u.astype(np.float32).tobytes() for u in units], pa.binary())],
+            names=[*keep, "unit", "nav"],
+        )
+
+
+def _codes(tables: int, most: int, draw: int):
+    """Bucket codes of the label's number of bits: ``tables`` by hyperplanes of this draw, and a random one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            units, navs, codes = [], [], []
-            for vector in batch.column("vector"):
-                u = unit(vector.values.to_numpy(zero_copy_only=False))
+            codes = []
+            for node, bits, vector in zip(batch.column("node").to_pylist(), batch.column("bits").to_pylist(), batch.column("unit"), strict=True):
+                u = vector.values.to_numpy(zero_copy_only=False)
                 if len(u) not in planes:
-                    planes[len(u)] = np.random.default_rng(len(u)).standard_normal((tables * bits, len(u)))
-                signs = (planes[len(u)] @ u > 0).reshape(tables, bits)
-                units.append(u)
-                navs.append(u.astype(np.float32).tobytes())
-                codes.append(signs @ (1 << np.arange(bits, dtype=np.int64)))
-            keep = ["node", "label", "dim", "copies"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(units, pa.list_(pa.float64())), pa.array(navs, pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
-                names=[*keep, "unit", "nav", "codes"],
-            )
+                    planes[len(u)] = np.random.default_rng((len(u), draw)).standard_normal((tables, most, len(u)))
+                signs = planes[len(u)][:, :bits] @ u > 0
+                chance = int(np.random.default_rng((node % 2**64, draw)).integers(1 << bits))
+                codes.append([*(signs @ (1 << np.arange(bits, dtype=np.int64))), chance])
+            keep = ["node", "label", "dim", "nav"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(codes, pa.list_(pa.int64()))], names=[*keep, "codes"])
 
     return run
 
@@ -141,6 +153,19 @@ def _best(lists: DataFrame, size: int) -> DataFrame:
     return lists.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
 
 
+def _start(vectors: DataFrame, size: int, tables: int, draw: int) -> DataFrame:
+    """(node, other, sim): the closest in buckets of this draw, cut into chunks."""
+    most = vectors.agg(F.max("bits")).first()[0] or 0
+    coded = vectors.select("node", "label", "dim", "bits", "unit", "nav").mapInArrow(_codes(tables, most, draw), "node long, label string, dim int, nav binary, codes array<long>")
+    spread = staged(coded, "vector-codes").select("node", "label", "dim", "nav", F.posexplode("codes").alias("table", "code"))
+    key = ["label", "dim", "table", "code"]
+    chunks = spread.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (2 * CHUNK)).cast("long").alias("chunks"))
+    spread = spread.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node", "table", F.lit(draw)), F.col("chunks")))
+    packed = spread.groupBy(*key, "chunk").agg(F.collect_list(F.struct("node", "nav")).alias("members")).where(F.size("members") > 1)
+    first = packed.select("members").mapInArrow(_first_lists(size), "node long, other long, sim double")
+    return first.where("node <> other").groupBy("node", "other").agg(F.max("sim").alias("sim"))
+
+
 def _descend(lists: DataFrame, vectors: DataFrame, size: int, threshold: float, rounds: int) -> DataFrame:
     """Refine (node, other, sim, fresh) until hardly any link is new."""
     nav = vectors.select(F.col("node").alias("other"), "nav")
@@ -284,21 +309,30 @@ def _compared(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     return found.where("not edge").select(F.col("x").alias("node"), "links"), roots
 
 
-def _linked(lists: DataFrame, vectors: DataFrame, threshold: float, size: int) -> DataFrame:
+def _linked(lists: DataFrame, vectors: DataFrame, threshold: float, size: int, whole: DataFrame | None = None) -> DataFrame:
     """(node, component, links) of all vectors.
 
-    Both ends of a link that no list holds are saturated, so the members of
+    Both ends of a link that a list has dropped are saturated, so the members of
     all components with a saturated vector are compared with each other, and
-    the components that turn out to be linked become one.
+    the components that turn out to be linked become one.  So are all vectors
+    of the labels in ``whole`` (label, dim).
     """
     links = staged(_checked_links(lists, vectors, threshold), "vector-links")
     classes = vectors.select("node").join(components(links).toDF("node", "component"), "node", "left")
     classes = staged(classes.select("node", F.coalesce("component", "node").alias("component")), "vector-classes")
     full = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
     full = full.where((F.col("n") >= size) & (F.col("low") >= threshold - _SLACK)).select("node")
-    crowded = staged(classes.join(full, "node").select("component").distinct(), "vector-crowded")
+    crowded = classes.join(full, "node").select("component")
+    if whole is not None:
+        every = vectors.join(whole, ["label", "dim"], "left_semi").select("node")
+        crowded = crowded.union(classes.join(every, "node").select("component"))
+    crowded = staged(crowded.distinct(), "vector-crowded")
     members = classes.join(crowded, "component").join(vectors.select("label", "dim", "node", "copies", "unit"), "node")
-    dense, roots = _compared(members.withColumn("cell", F.col("component")), threshold)
+    members = members.withColumn("cell", F.col("component"))
+    if whole is not None:  # one cell a label: single vectors would be a block each
+        least = vectors.join(whole, ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.min("node").alias("least"))
+        members = members.join(least, ["label", "dim"], "left").withColumn("cell", F.coalesce("least", "cell")).drop("least")
+    dense, roots = _compared(members, threshold)
     ends = links.union(links.select("b", "a")).toDF("node", "other").join(classes.join(crowded, "component", "left_anti").select("node"), "node")
     sparse = ends.join(vectors.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
     out = classes.join(roots, "component", "left").join(dense.union(sparse), "node", "left")
@@ -325,15 +359,16 @@ def _audit(dictionary: dict, threshold: float):
 
 
 def audited(linked: DataFrame, vectors: DataFrame, threshold: float, audit: int = AUDIT) -> DataFrame:
-    """(label, dim, n, got, near): true links of audited vectors, those counted, those inside the component.
+    """(label, dim, n, held): true links of audited vectors, and those counted and inside the component.
 
-    ``audit`` vectors, of least hash, are spread evenly over the labels.
+    Of each label 64 vectors of least hash, or more if ``audit`` is larger, but
+    no more than 16 * AUDIT in all.
     """
     groups = vectors.select("label", "dim").distinct().count()
     order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("node", F.lit(7)))
-    chosen = vectors.select("node", "label", "dim", "unit").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(4, math.ceil(audit / max(1, groups))))
+    chosen = vectors.select("node", "label", "dim", "unit").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(64, math.ceil(audit / max(1, groups))))
     by_group: dict = {}
-    for row in chosen.orderBy(F.xxhash64("node", F.lit(7))).limit(16 * audit).collect():
+    for row in chosen.orderBy(F.xxhash64("node", F.lit(7))).limit(16 * AUDIT).collect():
         by_group.setdefault((row["label"], row["dim"]), []).append((row["node"], np.array(row["unit"])))
     dictionary = {k: ([n for n, _ in v], np.stack([x for _, x in v])) for k, v in by_group.items()}
     rows = vectors.join(linked.select("node", "component"), "node").select("node", "label", "dim", "copies", "component", "unit")
@@ -341,7 +376,16 @@ def audited(linked: DataFrame, vectors: DataFrame, threshold: float, audit: int
     true = true.withColumnRenamed("component", "of").join(linked, "node").groupBy("node")
     true = true.agg(F.sum("n").alias("n"), F.first("links").alias("got"), F.sum(F.when(F.col("of") == F.col("component"), F.col("n")).otherwise(0)).alias("near"))
     true = true.join(vectors.select("node", "label", "dim"), "node").groupBy("label", "dim")
-    return staged(true.agg(F.sum("n").alias("n"), F.sum(F.least("got", "n")).alias("got"), F.sum("near").alias("near")), "vector-audit")
+    return staged(true.agg(F.sum("n").alias("n"), F.sum(F.least("got", "near", "n")).alias("held")), "vector-audit")
+
+
+def _missed(audit: DataFrame, vectors: DataFrame, recall: float) -> DataFrame:
+    """(label, dim) whose audited links are held too seldom; without links seen, a label goes by the share of all."""
+    low = audit.where(F.col("held") < recall * F.col("n")).select("label", "dim")
+    n, held = audit.agg(F.sum("n"), F.sum("held")).first()
+    if n and held < recall * n:
+        low = low.union(vectors.select("label", "dim").distinct().join(audit, ["label", "dim"], "left_anti"))
+    return staged(low, "vector-missed")
 
 
 def near_vectors(
@@ -353,27 +397,31 @@ def near_vectors(
     linkable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     nodes = linkable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(nodes.withColumn("dim", F.size("vector")), "vector-nodes")
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
-    bits = max(1, math.ceil(math.log2(largest / CHUNK + 1)))
-    kind = "node long, label string, dim int, copies long, unit array<double>, nav binary, codes array<long>"
-    vectors = nodes.select("node", "label", "dim", "copies", "vector").mapInArrow(_prepare(bits, tables), kind)
-    vectors = staged(vectors, "vectors")
-
-    spread = vectors.select("node", "label", "dim", "nav", F.posexplode("codes").alias("table", "code"))
-    key = ["label", "dim", "table", "code"]
-    chunks = spread.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (2 * CHUNK)).cast("long").alias("chunks"))
-    spread = spread.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node", "table"), F.col("chunks")))
-    packed = spread.groupBy(*key, "chunk").agg(F.collect_list(F.struct("node", "nav")).alias("members")).where(F.size("members") > 1)
-    while True:
-        first = packed.select("members").mapInArrow(_first_lists(size), "node long, other long, sim double")
-        first = first.where("node <> other").groupBy("node", "other").agg(F.max("sim").alias("sim"))
-        lists = staged(_best(first, size).drop("nth").withColumn("fresh", F.lit(True)), "vector-lists")
-        lists = _descend(lists, vectors, size, threshold, rounds)
-        linked = _linked(lists, vectors, threshold, size)
-        n, held = audited(linked, vectors, threshold).agg(F.sum("n"), F.sum(F.least("got", "near"))).first()
-        if size >= 4 * SIZE or held is None or held >= recall * n:
+    counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    # A label that fits into one chunk has a single bucket.
+    bits = F.when(F.col("n") <= 2 * CHUNK, 0).otherwise(F.ceil(F.log2(F.col("n") / CHUNK + 1))).cast("int")
+    sized = nodes.join(counts.select("label", "dim", bits.alias("bits")), ["label", "dim"])
+    kind = "node long, label string, dim int, bits int, copies long, unit array<double>, nav binary"
+    vectors = staged(sized.select("node", "label", "dim", "bits", "copies", "vector").mapInArrow(_prepare, kind), "vectors")
+
+    lists = staged(_best(_start(vectors, size, tables, 0), size).drop("nth").withColumn("fresh", F.lit(True)), "vector-lists")
+    lists = _descend(lists, vectors, size, threshold, rounds)
+    linked = _linked(lists, vectors, threshold, size)
+    for draw in range(1, DRAWS + 1):
+        missed = _missed(audited(linked, vectors, threshold, AUDIT * 4 ** (draw - 1)), vectors, recall)
+        if missed.isEmpty():
             break
-        size *= 2
+        if draw < DRAWS:
+            again = staged(vectors.join(missed, ["label", "dim"], "left_semi"), "vectors-again")
+            own = again.select("node")
+            old = lists.join(own, "node", "left_semi").select("node", "other", "sim", F.lit(False).alias("fresh"))
+            more = old.union(_start(again, size, tables, draw).withColumn("fresh", F.lit(True))).groupBy("node", "other")
+            more = staged(_best(more.agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), size).drop("nth"), "vector-lists")
+            more = _descend(more, again, size, threshold, rounds)
+            lists = staged(lists.join(own, "node", "left_anti").select(*more.columns).union(more), "vector-lists")
+            linked = _linked(lists, vectors, threshold, size)
+        else:
+            linked = _linked(lists, vectors, threshold, size, missed)
 
     named = nodes.select("node", "label", "vector", "copies").join(linked, "node")
     named = named.select("label", "vector", "component", (F.col("links") + F.col("copies") - 1).alias("n_links"))
