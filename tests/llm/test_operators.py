@@ -14,7 +14,7 @@ from wardline.llm import (
     bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup, vector_dedup,
 )
 from wardline.llm.components import components
-from wardline.llm.queries import PIECES, TRICKY
+from wardline.llm.queries import PIECES, QUERIES, TRICKY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = " ".join(f"w{k}" for k in range(120))
@@ -234,6 +234,14 @@ def test_samples(docs, empty):
     assert rows(piece_sampling.encode_samples(empty, PIECES)) == []
 
 
+def test_samples_read_back(spark, sf_dir):
+    """Every sample that the query emits spells its document."""
+    texts = dict(rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    got = QUERIES["op7_piece_samples"](spark, sf_dir).select("doc_id", "text_sha256").collect()
+    assert {r.doc_id for r in got} == set(texts)
+    assert all(r.text_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in got)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((6, 16))

@@ -407,10 +407,15 @@ def _spell(ids: np.ndarray, voc: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, ids[done:]])
 
 
-def decode_ids(ids: list[int], voc: Vocabulary) -> str:
+def _spellings(voc: Vocabulary) -> dict[int, bytes]:
+    """The bytes that each piece stands for."""
+    texts = {k: text.replace(SPACE, " ").encode() for k, text in voc.texts.items()}
+    return texts | {int(k): bytes([b]) for b, k in enumerate(voc.bytes)}
+
+
+def decode_ids(ids: list[int], spellings: dict[int, bytes]) -> str:
     """The text of a segmentation."""
-    spelled = {int(k): bytes([b]) for b, k in enumerate(voc.bytes)}
-    raw = b"".join(spelled[k] if k in spelled else voc.texts[k].replace(SPACE, " ").encode() for k in ids)
+    raw = b"".join([spellings[k] for k in ids])
     return raw.decode()[1:] if raw else ""
 
 
@@ -457,8 +462,9 @@ def encode_samples(
 
 def _decode(voc: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spellings = _spellings(voc)
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, voc) for ids in batch.column("ids").to_pylist()]
+            texts = [None if ids is None else decode_ids(ids, spellings) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
