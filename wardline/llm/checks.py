@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wardline.llm.chat_format import BUDGET, HEADER, HISTORY, LEAST_STRIDE
-from wardline.llm.queries import SHARDS, TRICKY
+from wardline.llm.queries import BLOCKED_NAMES, SHARDS, TRICKY, URL_RULES
 from wardline.llm.sharding import TABLE_SIZE, lookup_table
 
 CHECKS: dict[str, str] = {}
@@ -125,3 +125,82 @@ WITH hashed AS (
   FROM hashed
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"""
+
+_HOST = r"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+CHECKS["op11_url_cascade"] = rf"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES}
+), parsed AS (
+  SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fits AS (
+  SELECT p.page_id, r.rule_host || r.rule_path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC, r.verdict DESC) AS nth
+  FROM parsed p JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+), named AS (
+  SELECT *, nullif(regexp_extract(host, '(?:^|\.)((?:{"|".join(BLOCKED_NAMES)})\..*)$', 1), '') AS listed FROM parsed
+)
+SELECT n.page_id, n.host, n.path, f.rule, n.listed,
+  coalesce(f.verdict, CASE WHEN n.listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM named n LEFT JOIN fits f ON n.page_id = f.page_id AND f.nth = 1"""
+
+CHECKS["op12_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30
+), counted AS (
+  SELECT d.lang, d.source, d.term, count(*) AS n
+  FROM (SELECT lang, source, unnest(terms) AS term FROM docs) d JOIN kept k ON d.lang = k.lang AND d.term = k.term GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), langs AS (
+  SELECT g.lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang FROM groups) g
+), sizes AS (
+  SELECT g.lang, g.source, l.v, CAST(coalesce((SELECT sum(n) FROM counted c WHERE c.lang = g.lang AND c.source = g.source), 0) AS HUGEINT) AS total
+  FROM groups g JOIN langs l ON g.lang = l.lang
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.total + 5 * s.v) AS p
+  FROM sizes s JOIN kept k ON s.lang = k.lang LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), q AS (
+  SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (coalesce((SELECT sum(n) FROM counted c WHERE c.lang = k.lang AND c.term = k.term), 0) + 5))
+    // ((SELECT sum(total) FROM sizes s WHERE s.lang = k.lang) + 5 * (SELECT v FROM langs l WHERE l.lang = k.lang)) AS q
+  FROM kept k
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM rows
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR place <= 50"""
+
+CHECKS["op13_hard_negatives"] = r"""
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.parts, b.parts) AS BIGINT) AS score
+  FROM clean a JOIN clean b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+  n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) <= 10"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup, vector_dedup
+from wardline.llm import (
+    bag_minhash, chat_format, exact_dedup, hard_negatives, lang_id, line_dedup, mixing, piece_sampling, sharding, source_audit,
+    substring_dedup, url_filter, vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +98,39 @@ def op9_exact_dedup(spark, sf_dir):
 @query
 def op10_bag_minhash(spark, sf_dir):
     return bag_minhash.near_classes(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return hard_negatives.hard_negatives(rows, rows["vec_id"] % 100 == 0, label)
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+# Names under which advertising and spam sites register their domains.
+BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def blocked_domains(pages: DataFrame) -> DataFrame:
+    """The domains of the corpus that are registered under a blocked name."""
+    hosts = pages.select(url_filter.host_of(pages["url"]).alias("host")).distinct()
+    pattern = rf"(?:^|\.)((?:{'|'.join(BLOCKED_NAMES)})\..*)$"
+    return hosts.select(F.regexp_extract("host", pattern, 1).alias("domain")).distinct()
+
+
+@query
+def op11_url_cascade(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.url_verdicts(pages, URL_RULES, blocked_domains(pages))
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return source_audit.source_divergence(read(spark, sf_dir, "documents"))
