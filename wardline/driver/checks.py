@@ -159,6 +159,18 @@ add(
     f"AS h, count(DISTINCT email_hash) AS e FROM v_logins WHERE {MONTH} GROUP BY ip)",
 )
 
+add(
+    "ato_profile_approx",
+    "logins",
+    f"SELECT ip, count(DISTINCT host) AS hosts, count(DISTINCT email_hash) AS emails, TRUE AS near FROM v_logins WHERE {MONTH} GROUP BY ip",
+)
+CHECKS["sketched_clients"] = """SELECT event_type, CAST(epoch_us(ts) // 86400000000 AS INTEGER) AS day, count(*) AS n,
+    count(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY ALL"""
+_HOURS = [AS_OF - 14 * 86400000 - LAG, NOW]
+_HOURS = [bound // 3600000 * 3600000 for bound in _HOURS]
+CHECKS["sketched_window"] = f"""SELECT count(*) AS n, count(DISTINCT user_id) AS users, TRUE AS near FROM events
+    WHERE epoch_us(ts) // 1000 >= {_HOURS[0]} AND epoch_us(ts) // 1000 < {_HOURS[1]}"""
+
 # ---------------------------------------------------------------- client intelligence
 
 add(
@@ -406,6 +418,25 @@ CHECKS["split_files"] = """SELECT o_orderkey, o_orderstatus, rn AS row_no,
     CAST(1 + rn // greatest((n + 1) // 8, 1) AS INTEGER) AS part
     FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders)"""
 
+# ---------------------------------------------------------------- files, archives and tables
+
+NOTED = """replace(replace(replace(coalesce(text, ''), ' the ', ' "the"' || chr(9)), '. ', '.' || chr(10)), 'ab', 'a\\')"""
+CHECKS["quoted_records"] = f"SELECT doc_id, coalesce(lang, '') AS lang, md5({NOTED}) AS text_md5 FROM documents"
+CHECKS["quoted_sink"] = CHECKS["quoted_records"]
+CHECKS["archived_lines"] = f"""SELECT doc_id, CAST(len(string_split({NOTED}, chr(10))) AS BIGINT) AS n_lines, md5({NOTED}) AS text_md5,
+    TRUE AS numbered FROM documents"""
+add("listed_lines", "address_tokens", "SELECT rtrim(token, ' ' || chr(9)) AS value, count(*) AS n FROM v_address_tokens GROUP BY ALL")
+_LEFT = "o_orderkey % 4 IN (0, 2) OR (o_orderkey % 4 = 3 AND o_orderstatus = 'F')"
+_STATES = {
+    "appended": "o_orderkey % 4 < 3", "load repeated with other rows": _LEFT, "replace refused": _LEFT, "append refused": _LEFT,
+    "replaced": "TRUE", "renamed": "o_orderkey % 4 = 0",
+}
+CHECKS["table_lifecycle"] = " UNION ALL ".join(
+    f"""SELECT '{step}' AS step, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE {rows} GROUP BY o_orderstatus"""
+    for step, rows in _STATES.items()
+)
+
 # ---------------------------------------------------------------- logs, rules, JSON
 
 LOG_NAMES = {

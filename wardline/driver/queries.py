@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.driver.views import CUSTOMER_HEADER, ORDER_HEADER, table, view
+from wardline.driver.views import CUSTOMER_HEADER, ORDER_HEADER, SPARK_TIME, table, view
 from wardline.functions import ip as ipf
 from wardline.functions import timetokens as tt
 from wardline.functions.jsonqa import json_report
 from wardline.functions.text import url_unquote
-from wardline.operators import activity, diff, infer, ranges, rows, search
+from wardline.operators import activity, diff, infer, ranges, rows, search, sketches
 from wardline.operators.records import resolve_includes
 from wardline.plans import cloud, config, evidence, fingerprint, intel, load, login, logs, metrics, nat, reputation
-from wardline.session import shared_folder
-from wardline.sources.readers import drop_noise, keep_tabbed
-from wardline.sources.writers import metric_lines, tag_rows, with_row_ids
-from wardline.streaming.metrics import hourly_clients, with_open_hours, write_points
+from wardline.session import shared_folder, stored
+from wardline.sources import tables
+from wardline.sources.archives import read_archives, write_archives
+from wardline.sources.readers import drop_noise, keep_tabbed, read_lines, read_table
+from wardline.sources.records import read_records
+from wardline.sources.writers import metric_lines, save_table, tag_rows, with_row_ids, write_quoted_tsv, write_tsv
+from wardline.streaming.metrics import HourlyCounts
 
 AS_OF_MS = 1_706_659_200_000
 MONTH = tt.relative_window("@month_ago", "@now", as_of_ms=AS_OF_MS)
@@ -242,6 +248,57 @@ def span_window(spark, sf_dir):
     return activity.count_by(requests, "ip", out="requests")
 
 
+# ---------------------------------------------------------------- stored sketches
+
+SKETCH_ERROR = 0.03
+
+
+def _near(about, exact):
+    return F.abs(about - exact) <= F.lit(SKETCH_ERROR) * exact
+
+
+@query
+def sketched_clients(spark, sf_dir):
+    """Distinct clients a day and event type from stored hourly sketches, loaded in two parts and one of them twice.
+
+    The exact counts of the same events stand beside; the approximate ones are
+    told by whether they are within 3 %.
+    """
+    path = shared_folder(spark, "client-sketches")
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "user_id", f"{SPARK_TIME['MS']} AS ts")
+    parts = {f"part-{k}": events.filter(F.col("event_id") % 2 == k) for k in (0, 1)}
+    for load_id in ("part-0", "part-1", "part-0"):
+        sketches.store_sketches(sketches.hourly_sketches(parts[load_id], ["event_type"], "user_id"), path, load_id)
+    kept = sketches.read_sketches(spark, path, "event_type string")
+    about = kept.groupBy("event_type", "day").agg(F.sum("n").alias("n"), sketches.distinct_count(F.col("sketch")).alias("about"))
+    day = F.floor(F.col("ts") / sketches.DAY_MS).cast("int").alias("day")
+    exact = events.groupBy("event_type", day).agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(about, ["event_type", "day"], "left").select("event_type", "day", "n", "users", _near(F.col("about"), F.col("users")).alias("near"))
+
+
+@query
+def sketched_window(spark, sf_dir):
+    """Distinct clients of one window over all event types, from the sketches alone, beside the exact count."""
+    path = shared_folder(spark, "client-sketches")
+    events = table(spark, sf_dir, "events").selectExpr("event_type", "user_id", f"{SPARK_TIME['MS']} AS ts")
+    sketches.store_sketches(sketches.hourly_sketches(events, ["event_type"], "user_id"), path, "all")
+    hours = tuple(bound // sketches.HOUR_MS * sketches.HOUR_MS for bound in MONTH)
+    found = sketches.window_counts(sketches.read_sketches(spark, path, "event_type string"), hours, [])
+    exact = events.filter(tt.in_window("ts", hours)).agg(F.count_distinct("user_id").alias("users"))
+    return found.select("n", exact.scalar().alias("users"), _near(F.col("about"), exact.scalar()).alias("near"))
+
+
+@query
+def ato_profile_approx(spark, sf_dir):
+    """The login profile with approximate counts, told by whether they are within 3 % of the exact ones."""
+    logins = view(spark, sf_dir, "logins", MONTH)
+    about = login.login_counts(logins, MONTH, approximate=True)
+    exact = login.login_counts(logins, MONTH).withColumnsRenamed({"count_hosts": "hosts", "count_emails": "emails"})
+    return exact.join(about, "ip").select(
+        "ip", "hosts", "emails", (_near(F.col("count_hosts"), F.col("hosts")) & _near(F.col("count_emails"), F.col("emails"))).alias("near")
+    )
+
+
 # ---------------------------------------------------------------- addresses and ranges
 
 
@@ -441,6 +498,100 @@ def split_files(spark, sf_dir):
     return rows.split_rows(orders, "o_orderkey")
 
 
+# ---------------------------------------------------------------- files, archives and tables
+
+
+def _noted(spark, sf_dir) -> DataFrame:
+    """Documents whose texts hold quotes, tabs and line breaks."""
+    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" the "), F.lit(' "the"\t')), F.lit(". "), F.lit(".\n")), F.lit("ab"), F.lit("a\\"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("text"))
+
+
+def _read_back(spark, path: str, escape: str) -> DataFrame:
+    records = read_records(spark, path, escape=escape).filter("record_no > 1 AND problem IS NULL")
+    parsed = infer.accepted(infer.parse_lines(records.select("record"), ["doc_id", "lang", "text"], "record", escape=escape))
+    return parsed.select(F.col("_f0").cast("bigint").alias("doc_id"), F.col("_f1").alias("lang"), F.md5("_f2").alias("text_md5"))
+
+
+@query
+def quoted_records(spark, sf_dir):
+    """Documents written as quoted values with line breaks and read back, block by block."""
+    path = shared_folder(spark, "quoted-records")
+    write_tsv(_noted(spark, sf_dir), path)
+    return _read_back(spark, path, '"')
+
+
+@query
+def quoted_sink(spark, sf_dir):
+    """The same with every value quoted and a backslash as escape."""
+    path = shared_folder(spark, "quoted-sink")
+    write_quoted_tsv(_noted(spark, sf_dir), path)
+    return _read_back(spark, path, "\\")
+
+
+@query
+def archived_lines(spark, sf_dir):
+    """Lines of documents written into archives and read back with their numbers."""
+    path = shared_folder(spark, "archives")
+    texts = _noted(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    write_archives(texts.select(F.concat_ws("\t", "doc_id", "place", "text").alias("line")), path)
+    parts = F.split("line", "\t", 3)
+    lines = read_archives(spark, path).select(
+        F.get(parts, 0).cast("bigint").alias("doc_id"), F.get(parts, 1).cast("int").alias("place"), F.get(parts, 2).alias("text"), "path", "line_no"
+    )
+    # A document's lines follow one another; a large one may go on in the next archive.
+    runs = lines.groupBy("doc_id", "path").agg(F.count("*").alias("n"), (F.max("line_no") - F.min("line_no") + 1).alias("span"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    texts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(ordered, "\n")).alias("text_md5"))
+    numbered = runs.groupBy("doc_id").agg(F.bool_and(F.col("n") == F.col("span")).alias("numbered"))
+    return texts.join(numbered, "doc_id")
+
+
+@query
+def listed_lines(spark, sf_dir):
+    """A list of one value a line, white space at the end removed, and how often each value is listed."""
+    path = shared_folder(spark, "line-list")
+    listed = view(spark, sf_dir, "address_tokens").select(F.concat("token", F.when(F.col("event_id") % 3 == 0, " \t").otherwise("")).alias("value"))
+    listed.write.text(path)
+    return read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def table_lifecycle(spark, sf_dir):
+    """A table of orders through its life: created, appended to twice under one load id, replaced, refused, renamed, dropped."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    name = f"orders_{uuid.uuid4().hex[:12]}"
+    states = []
+
+    def told(step: str, name: str) -> None:
+        found = read_table(spark, name).groupBy("o_orderstatus").agg(
+            F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"), F.sum("cents").alias("cents")
+        )
+        states.append(stored(found.select(F.lit(step).alias("step"), "*"), "table-states"))
+
+    parts = {part: orders.filter(F.col("o_orderkey") % 4 == part) for part in range(4)}
+    for part in (0, 1, 1, 2):
+        tables.append(parts[part], name, f"part-{part}")
+    told("appended", name)
+    tables.append(parts[3].filter("o_orderstatus = 'F'"), name, "part-1")
+    told("load repeated with other rows", name)
+    broken = orders.select(F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("broken"))).cast("bigint").alias("o_orderkey"), "o_orderstatus", "cents")
+    for rows_, refused in ((broken, "replace"), (orders.drop("cents"), "append")):
+        try:
+            save_table(rows_, name, "overwrite" if refused == "replace" else "append")
+        except (ValueError, PySparkException):
+            told(f"{refused} refused", name)
+    save_table(orders, name, "overwrite")
+    told("replaced", name)
+    renamed = save_table(parts[0], name, "rename", f"{name}_2")
+    told("renamed", renamed)
+    for gone in (name, renamed):
+        tables.drop(spark, gone)
+        if spark.catalog.tableExists(gone):
+            told("still there", gone)
+    return functools.reduce(DataFrame.unionByName, states)
+
+
 # ---------------------------------------------------------------- logs, rules, JSON
 
 
@@ -573,10 +724,9 @@ def heuristic_stream(spark, sf_dir):
         "CASE event_id % 5 WHEN 4 THEN 'TotalScore' ELSE concat('heur', event_id % 5) END AS heuristic_name",
         "CASE event_id % 3 WHEN 0 THEN 'lab' ELSE 'a,production,b' END AS group_ids",
     ]
-    stored = table(spark, sf_dir, "events")
-    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    scores, bounded = (df.filter("event_type = 'error'").selectExpr(*columns) for df in (events, stored))
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    scores = events.filter("event_type = 'error'").selectExpr(*columns)
     folder = shared_folder(spark, "heuristic-stream")
-    write_points(hourly_clients(scores, "dc1"), f"{folder}/points", f"{folder}/state").awaitTermination()
-    points = spark.read.schema("path string, count_ips bigint, ts bigint").parquet(f"{folder}/points")
-    return with_open_hours(points, bounded, "dc1")
+    counts = HourlyCounts(f"{folder}/points", "dc1")
+    counts.start(scores, f"{folder}/state").awaitTermination()
+    return counts.points(spark)

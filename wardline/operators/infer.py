@@ -11,14 +11,15 @@ from wardline.functions.text import SPARK_TYPE, safe_name, typed_value, value_ty
 REJECT = "_rejected"
 
 
-def parse_lines(lines: DataFrame, header: list[str], line: str = "line", sep: str = "\t") -> DataFrame:
-    """Delimited lines to text columns ``_f0.._fn`` plus ``_rejected``.
+def parse_lines(lines: DataFrame, header: list[str], line: str = "line", sep: str = "\t", escape: str = '"') -> DataFrame:
+    """Delimited lines, or records with line breaks, to text columns ``_f0.._fn`` plus ``_rejected``.
 
     ``_rejected`` holds the raw line when its width differs from the header, and
     is NULL otherwise.  Empty fields are kept as ``''``.
     """
     schema = ", ".join([f"_f{i} string" for i in range(len(header))] + [f"{REJECT} string"])
-    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
+    # Line breaks belong to the values; without ``multiLine`` the parser would change them.
+    options = {"sep": sep, "escape": escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT, "multiLine": "true", "maxCharsPerColumn": "-1"}
     # The explode makes one parsed row that all fields and later filters share.
     parsed = lines.withColumn("_row", F.explode(F.array(F.from_csv(F.col(line), schema, options))))
     fields = [F.coalesce(F.col(f"_row._f{i}"), F.lit("")).alias(f"_f{i}") for i in range(len(header))]

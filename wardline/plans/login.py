@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.timetokens import in_window
 from wardline.operators.search import keep_listed
+from wardline.operators.sketches import LG_K
 from wardline.operators.skew import LIST_ITEMS, chunk_pairs, distinct_pairs, pair_counts
 
 
@@ -17,11 +18,22 @@ def _seen(logins: DataFrame, window: tuple[int, int] | None, ips: list | DataFra
 
 
 def login_counts(
-    logins: DataFrame, window: tuple[int, int] | None = None, ips: list | DataFrame | None = None
+    logins: DataFrame,
+    window: tuple[int, int] | None = None,
+    ips: list | DataFrame | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Distinct hosts and distinct mail hashes per address."""
+    """Distinct hosts and distinct mail hashes per address.
+
+    ``approximate`` counts by sketches of bounded size: one aggregation without
+    an exchange of every host and mail, for a relative error of about 0.8 %.
+    """
+
+    def distinct(column: str) -> Column:
+        return F.hll_sketch_estimate(F.hll_sketch_agg(column, LG_K)) if approximate else F.count_distinct(column)
+
     return _seen(logins, window, ips).groupBy("ip").agg(
-        F.count_distinct("host").alias("count_hosts"), F.count_distinct("email_hash").alias("count_emails")
+        distinct("host").alias("count_hosts"), distinct("email_hash").alias("count_emails")
     )
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import os
-import tarfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.sources.archives import MEMBER, SUFFIXES, read_archives
+
 # Logger messages that a warehouse client mixes into its output.
 NOISE_MESSAGES = (
     "Unable to load native-hadoop library for your platform...",
@@ -19,8 +16,6 @@ NOISE_MESSAGES = (
     "WARN: Please see http://www.slf4j.org/codes.html#release for an explanation.",
 )
 
-ARCHIVE_SUFFIXES = (".tgz", ".gz", ".tar")
-ARCHIVE_BATCH = 10_000
 
 
 def read_tsv(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame:
@@ -93,46 +88,10 @@ def keep_tabbed(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.filter(F.col(line).contains("\t"))
 
 
-def _archive_lines(content: bytes, member_text: str) -> Iterator[str]:
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-            for member in archive:
-                if member.isfile() and member_text in member.name:
-                    yield from _text_lines(archive.extractfile(member))
-                    return
-            return
-    except tarfile.ReadError:
-        pass
-    yield from _text_lines(gzip.GzipFile(fileobj=io.BytesIO(content)))
-
-
-def _text_lines(stream) -> Iterator[str]:
-    for raw in stream:
-        yield raw.decode("utf-8", errors="replace").removesuffix("\n")
-
-
-def read_archive_lines(spark: SparkSession, path: str, member_text: str = ".db") -> DataFrame:
-    """Lines of archives as ``(path, line_no, line)``.
-
-    Of each ``.tar``, ``.tgz`` or ``.gz`` archive the first member whose name
-    holds ``member_text`` is read, in batches, one archive per task (archives
-    cannot be split).  Other files belong to ``read_numbered_lines``.
-    """
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                block: list[tuple[str, int, str]] = []
-                for number, line in enumerate(_archive_lines(content, member_text), start=1):
-                    block.append((name, number, line))
-                    if len(block) == ARCHIVE_BATCH:
-                        yield pd.DataFrame(block, columns=["path", "line_no", "line"])
-                        block = []
-                yield pd.DataFrame(block, columns=["path", "line_no", "line"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(lines, "path string, line_no bigint, line string")
+def read_archive_lines(spark: SparkSession, path: str, member_text: str = MEMBER) -> DataFrame:
+    """Lines of archives as ``(path, line_no, line)``, see ``read_archives``."""
+    return read_archives(spark, path, member_text).drop("member")
 
 
 def is_archive(path: str) -> bool:
-    return os.path.splitext(path)[1] in ARCHIVE_SUFFIXES
+    return os.path.splitext(path)[1] in SUFFIXES

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from wardline.operators.infer import same_layout
 from wardline.operators.rows import number_rows, split_rows
+from wardline.sources import tables
 
 ON_CONFLICT = ("append", "overwrite", "rename", "error")
 
 
+# White space at either end belongs to the value.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_quoted_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab-separated with a header, every value quoted, ``\\`` as escape."""
-    df.write.mode(mode).csv(path, sep="\t", header=True, quoteAll=True, escape="\\")
+    df.write.mode(mode).csv(path, sep="\t", header=True, quoteAll=True, escape="\\", **KEEP_SPACE)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab-separated with a header, quotes only where needed."""
-    df.write.mode(mode).csv(path, sep="\t", header=True, escape='"', emptyValue="")
+    df.write.mode(mode).csv(path, sep="\t", header=True, escape='"', emptyValue="", **KEEP_SPACE)
 
 
 def metric_lines(points: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -57,13 +62,15 @@ def save_table(df: DataFrame, table: str, on_conflict: str = "error", new_name:
     """Create a table, or settle a clash with an existing one; returns its name.
 
     ``append`` needs the same layout (positions, types and names), ``overwrite``
-    replaces the table, ``rename`` writes to ``new_name``.
+    replaces the table and leaves the old one as it is if anything fails,
+    ``rename`` writes to ``new_name``.
     """
     if on_conflict not in ON_CONFLICT:
         raise ValueError(f"on_conflict must be one of {ON_CONFLICT}")
     spark = df.sparkSession
+    tables.recover(spark, table)
     if not spark.catalog.tableExists(table):
-        df.write.saveAsTable(table)
+        tables.create(df, table)
         return table
     if on_conflict == "error":
         raise ValueError(f"table {table} exists")
@@ -71,16 +78,19 @@ def save_table(df: DataFrame, table: str, on_conflict: str = "error", new_name:
         if not new_name or new_name == table:
             raise ValueError("rename needs a different new_name")
         return save_table(df, new_name, "error")
-    if on_conflict == "append" and not same_layout(spark.table(table).schema, df.schema):
+    if on_conflict == "overwrite":
+        tables.replace(df, table)
+        return table
+    if not same_layout(spark.table(table).schema, df.schema):
         raise ValueError(f"table {table} has a different layout; overwrite or rename")
-    if on_conflict == "append" and spark.table(table).columns != df.columns:
+    if spark.table(table).columns != df.columns:
         raise ValueError(f"table {table} has other column names; overwrite or rename")
-    df.write.mode(on_conflict).saveAsTable(table)
+    df.write.mode("append").saveAsTable(table)
     return table
 
 
 def drop_table(df: DataFrame, table: str) -> None:
-    df.sparkSession.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": table})
+    tables.drop(df.sparkSession, table)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict, mode: str = "append") -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,21 +32,59 @@ def hourly_clients(
     return counted.select(path.alias("path"), "count_ips", F.unix_seconds("hour.start").alias("ts"))
 
 
-def with_open_hours(
-    points: DataFrame, scores: DataFrame, datacenter: str, at: str = "at", prefix: str = METRIC_PREFIX
-) -> DataFrame:
-    """The points of a bounded run and those of the hours that were still open at its end.
+FIRST_SEEN = "path string, ts bigint, client_id string, batch bigint, day int"
+
 
-    ``scores`` is the run's input as a table.  An hour is written as a whole, so
-    only hours without any point are counted.
+class HourlyCounts:
+    """A stream's exact hourly client counts, open hours and late rows included.
+
+    Each micro-batch keeps the clients that it meets first in an hour, and sends
+    their numbers on; a point's value is the sum over the batches.  Earlier
+    clients are looked up in the days that the batch touches only: the store is
+    partitioned by batch and day.  A batch writes its own folder and reads only
+    those of earlier batches, so a batch that is run again after a failure writes
+    the same rows once more and counts nothing twice.  There is no watermark:
+    a row counts however late it is.
     """
-    seen = scores.filter(F.col("group_ids").like("%production%"))
-    path = F.concat(F.lit(f"{prefix}."), F.col("heuristic_name"), F.lit(f".{datacenter}"))
-    counted = seen.groupBy(path.alias("path"), F.unix_seconds(F.date_trunc("hour", at)).alias("ts")).agg(
-        F.count_distinct("client_id").alias("count_ips")
-    )
-    left = counted.join(points.select("ts").distinct(), "ts", "left_anti")
-    return points.select("path", "count_ips", "ts").union(left.select("path", "count_ips", "ts"))
+
+    def __init__(self, folder: str, datacenter: str, at: str = "at", prefix: str = METRIC_PREFIX):
+        self.folder, self.datacenter, self.at, self.prefix = folder.rstrip("/"), datacenter, at, prefix
+
+    def seen(self, spark: SparkSession) -> DataFrame:
+        """First sightings: the client of a path and hour, and the batch that met it."""
+        path = f"{self.folder}/clients"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], FIRST_SEEN)
+        return spark.read.schema(FIRST_SEEN).parquet(path)
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """One micro-batch: ``rows`` has the stream's columns."""
+        spark = rows.sparkSession
+        name = F.concat(F.lit(f"{self.prefix}."), F.col("heuristic_name"), F.lit(f".{self.datacenter}"))
+        second = F.unix_seconds(F.col(self.at))
+        hour, day = (F.floor(second / width).cast("bigint") for width in (3600, 86400))
+        met = rows.filter(F.col("group_ids").like("%production%") & F.col(self.at).isNotNull()).select(
+            name.alias("path"), (hour * 3600).alias("ts"), F.col("client_id").cast("string").alias("client_id"), day.cast("int").alias("day")
+        )
+        # The days of a batch are few; they prune the store's partitions.
+        met = met.distinct().persist(StorageLevel.DISK_ONLY)
+        try:
+            days = [r[0] for r in met.select("day").distinct().collect()]
+            earlier = self.seen(spark).filter((F.col("batch") < batch) & F.col("day").isin(days)).drop("batch")
+            same = [F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("path", "ts", "client_id")]
+            fresh = met.alias("m").join(earlier.alias("e"), functools.reduce(Column.__and__, same), "left_anti")
+            fresh.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/clients/batch={batch}")
+        finally:
+            met.unpersist()
+
+    def start(self, scores: DataFrame, state: str, available_now: bool = True) -> StreamingQuery:
+        writer = scores.writeStream.foreachBatch(self.add).option("checkpointLocation", state)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def points(self, spark: SparkSession) -> DataFrame:
+        """(path, count_ips, ts) of all hours so far; clients without a name add nothing to a count."""
+        return self.seen(spark).groupBy("path", "ts").agg(F.count("client_id").alias("count_ips")).select("path", "count_ips", "ts")
 
 
 def write_points(points: DataFrame, folder: str, state: str, available_now: bool = True) -> StreamingQuery:
