@@ -160,18 +160,18 @@ def _negatives(most: int, band: tuple[int, int]) -> Callable[[pd.DataFrame, pd.D
     return run
 
 
-def _blocks(rows: DataFrame, block: int, per: list[str], name: str) -> DataFrame:
-    """How many blocks of about ``block`` rows each key's rows are dealt into."""
-    return rows.groupBy(*per).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-
 def _dealt(anchors: DataFrame, rows: DataFrame, per: list[str], anchor_block: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the blocks of the key they belong to, copied to every block of the other side."""
-    sizes = _blocks(anchors, anchor_block, per, "anchor_blocks").join(_blocks(rows, block, per, "row_blocks"), per)
-    sizes = staged(sizes, "negatives-blocks")
+    blocks = [F.ceil(F.count("*") / most).cast("int").alias(n) for n, most in (("anchor_blocks", anchor_block), ("row_blocks", block))]
+    sizes = [side.groupBy(*per).agg(n) for side, n in zip((anchors, rows), blocks, strict=True)]
+    if per:
+        sizes = staged(sizes[0].join(sizes[1], per), "negatives-blocks")
+    else:
+        whole = [F.lit(max(1, side.first()[0])) for side in sizes]
 
     def spread(side: DataFrame, own: str, other: str) -> DataFrame:
-        side = side.join(sizes, per).withColumn(own, F.pmod(F.xxhash64("row_no"), F.col(f"{own}s")).cast("int"))
+        side = side.join(sizes, per) if per else side.withColumns({"anchor_blocks": whole[0], "row_blocks": whole[1]})
+        side = side.withColumn(own, F.pmod(F.xxhash64("row_no"), F.col(f"{own}s")).cast("int"))
         return side.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("anchor_blocks", "row_blocks")
 
     return spread(anchors, "anchor_block", "row_block"), spread(rows, "row_block", "anchor_block")
@@ -220,10 +220,9 @@ def hard_negatives(
 
     wanted = chosen.groupBy("anchor").agg(F.collect_set("score").alias("wanted"))
     asking = anchors.join(wanted, F.col("row_no") == F.col("anchor")).select("row_no", "label", "vector", "wanted")
-    whole = [side.withColumn("all", F.lit(0)) for side in (asking, rows)]
-    across = _dealt(*whole, ["all"], anchor_block, block)
+    across = _dealt(asking, rows, [], anchor_block, block)
     kind = "anchor long, wanted long, no_id boolean, vec_id long, row_no long, score long"
-    found = _ranked(_met(across, ["all"], _negatives(negatives, band), kind), ["anchor", "wanted"], negatives)
+    found = _ranked(_met(across, [], _negatives(negatives, band), kind), ["anchor", "wanted"], negatives)
 
     names = clean.select(F.col("row_no").alias("anchor"), F.when(~F.col("no_id"), F.col("vec_id")).alias("anchor_id"))
     pairs = chosen.select(
