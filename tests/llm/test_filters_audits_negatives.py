@@ -1,6 +1,7 @@
 """URL cascades, the source audit and hard negatives against brute force, on small tables with odd rows."""
 
 import collections
+import hashlib
 import itertools
 import math
 import re
@@ -10,7 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import hard_negatives, source_audit, url_filter
+from wardline.llm import hard_negatives, lang_id, piece_sampling, source_audit, url_filter, vector_dedup
+from wardline.llm.queries import PIECES
 
 
 def rows(df):
@@ -157,6 +159,37 @@ def test_shares_are_exact():
         assert source_audit.shares(np.array([count]), n, v)[0] == 1 + 10**9 * (count + 5) // (n + 5 * v)
 
 
+# ---------------------------------------------------------------- earlier operators
+
+
+def test_repeated_vector_ids_are_rows_of_their_own(spark):
+    table = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [0.01, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0])]
+    frame = spark.createDataFrame([(k, v, "a") for k, v in table], "vec_id long, embedding array<double>, label string")
+    frame = frame.withColumns({name: F.lit(name) for name in ("node", "least", "copies", "component", "links", "dim")})
+    got = sorted(rows(vector_dedup.near_vectors(frame)))
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_a_quoted_passage_does_not_decide_the_language(spark):
+    rng = np.random.default_rng(2)
+    syllables = {"en": ["th", "er", "ing", "ow"], "de": ["sch", "en", "ung", "ei"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang], 3))
+    learnt = spark.createDataFrame([(" ".join(word(x) for _ in range(200)), x) for x in ("en", "de") for _ in range(20)], "text string, lang string")
+    made = []
+    for lang, other in (("en", "de"), ("de", "en")) * 6:
+        few = [word(lang) for _ in range(12)]
+        made.append((lang, " ".join([*few * 120, *(word(other) for _ in range(90))])))
+    found = lang_id.predict(spark.createDataFrame(made, "lang string, text string"), lang_id.learn(learnt)).select("row.lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 9
+
+
+def test_digests_of_decoded_samples(spark):
+    texts = [(1, "some text, über 'quotes'"), (2, ""), (3, None), (4, "日本 \U0001f600 x" * 50)]
+    found = piece_sampling.encode_samples(spark.createDataFrame(texts, "doc_id long, text string"), PIECES, digest=True)
+    for r in found.select("row.text", "text_sha256").collect():
+        assert r.text_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
 # ---------------------------------------------------------------- negatives
 
 

@@ -28,6 +28,7 @@ take memory in proportion to their length.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -407,22 +408,36 @@ def _spell(ids: np.ndarray, voc: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, ids[done:]])
 
 
-def _spellings(voc: Vocabulary) -> dict[int, bytes]:
-    """The bytes that each piece stands for."""
-    texts = {k: text.replace(SPACE, " ").encode() for k, text in voc.texts.items()}
-    return texts | {int(k): bytes([b]) for b, k in enumerate(voc.bytes)}
+class Spellings:
+    """The bytes that each piece stands for, one after another, and where each begins."""
 
+    def __init__(self, voc: Vocabulary):
+        known = {k: text.replace(SPACE, " ").encode() for k, text in voc.texts.items()}
+        known |= {int(k): bytes([b]) for b, k in enumerate(voc.bytes)}
+        texts = [known.get(k, b"") for k in range(max(known) + 1)]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
 
-def decode_ids(ids: list[int], spellings: dict[int, bytes]) -> str:
+    def text(self, ids: np.ndarray) -> bytes:
+        """The bytes of a segmentation, without the space that every text starts with."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        return self.data[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()[1:]
+
+
+def decode_ids(ids: list[int], spellings: Spellings) -> str:
     """The text of a segmentation."""
-    raw = b"".join([spellings[k] for k in ids])
-    return raw.decode()[1:] if raw else ""
+    return spellings.text(np.asarray(ids, np.int64)).decode()
 
 
-def _sample(voc: Vocabulary, samples: int):
-    names = ["row", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]
+def _sample(voc: Vocabulary, samples: int, digest: bool):
+    names = ["row", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["text_sha256"] if digest else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spellings = Spellings(voc) if digest else None
         for batch in wh.small_batches(batches, "text_", SLICE):
             texts = batch.column("text_").fill_null("").to_pylist()
             keys = batch.column("key_").fill_null(0).to_numpy(zero_copy_only=False)
@@ -433,19 +448,23 @@ def _sample(voc: Vocabulary, samples: int):
             ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32)))
             rows = batch.column("row").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
             nth = pa.array([k for c in counts for k in range(c)], pa.int32())
+            read = [pa.array([hashlib.sha256(spellings.text(s[0])).hexdigest() for s in flat], pa.string())] if digest else []
             yield pa.RecordBatch.from_arrays(
-                [rows, nth, ids, *(pa.array([s[k] for s in flat], pa.float64()) for k in (1, 2, 3))], names=names
+                [rows, nth, ids, *(pa.array([s[k] for s in flat], pa.float64()) for k in (1, 2, 3)), *read], names=names
             )
 
     return run
 
 
 def encode_samples(
-    df: DataFrame, model: str, key: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, keep: Column | None = None
-) -> DataFrame:
+    df: DataFrame, model: str, key: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, keep: Column | None = None,
+    digest: bool = False,
+) -> DataFrame:
     """(row, sample, ids, log_prob, perturbed, log_inclusion): up to ``samples`` rows per row of ``df``.
 
-    ``row`` is ``keep``, by default a struct of all columns.  The vocabulary
+    ``row`` is ``keep``, by default a struct of all columns.  With ``digest``
+    every sample is decoded again where it was made, and ``text_sha256`` is the
+    digest of what comes out.  The vocabulary
     (``model``, a file of the driver) goes along with the tasks.
     """
     rows = df.select(
@@ -455,16 +474,16 @@ def encode_samples(
     )
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(
-        _sample(Vocabulary(model), samples),
-        f"row {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double",
+        _sample(Vocabulary(model), samples, digest),
+        f"row {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + (", text_sha256 string" if digest else ""),
     )
 
 
 def _decode(voc: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spellings = _spellings(voc)
+        spellings = Spellings(voc)
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, spellings) for ids in batch.column("ids").to_pylist()]
+            texts = [decode_ids(ids.values.to_numpy(), spellings) if ids.is_valid else None for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run

@@ -80,9 +80,10 @@ def op6_shard_lookup(spark, sf_dir):
 @query
 def op7_piece_samples(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    found = piece_sampling.encode_samples(docs, PIECES, keep=F.struct("doc_id"))
-    found = found.select("row.doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "log_inclusion")
-    return piece_sampling.decode(found, PIECES).select("row.*", F.sha2("text", 256).alias("text_sha256"))
+    found = piece_sampling.encode_samples(docs, PIECES, keep=F.struct("doc_id"), digest=True)
+    return found.select(
+        "row.doc_id", "sample", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "log_inclusion", "text_sha256"
+    )
 
 
 @query
