@@ -70,8 +70,8 @@ _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> str:
-    """The distinct words of a text in lower case, in order, letters only."""
-    return " ".join(dict.fromkeys(_OTHER.sub(" ", text).lower().split()))
+    """All words of a text in lower case, in order, letters only."""
+    return " ".join(_OTHER.sub(" ", text).lower().split())
 
 
 def compressed_sizes(text: bytes, packers: list, piece: int = PIECE) -> np.ndarray:
