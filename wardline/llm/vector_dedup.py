@@ -395,8 +395,10 @@ def near_vectors(
     """One row per row of ``df``: vec_id, n_links, component_id (smallest id reachable), kept (vec_id = component_id)."""
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[label_col].cast("string").alias("label"), df[vector_col].cast("array<double>").alias("vector"))
     linkable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
-    nodes = linkable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = staged(nodes.withColumn("dim", F.size("vector")), "vector-nodes")
+    nodes = linkable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # Ids may repeat, so equal vectors of a label get a number of their own.
+    nodes = nodes.withColumns({"dim": F.size("vector"), "node": F.monotonically_increasing_id()})
+    nodes = staged(nodes, "vector-nodes")
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     # A label that fits into one chunk has a single bucket.
     bits = F.when(F.col("n") <= 2 * CHUNK, 0).otherwise(F.ceil(F.log2(F.col("n") / CHUNK + 1))).cast("int")
@@ -423,8 +425,11 @@ def near_vectors(
         else:
             linked = _linked(lists, vectors, threshold, size, missed)
 
-    named = nodes.select("node", "label", "vector", "copies").join(linked, "node")
-    named = named.select("label", "vector", "component", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = staged(nodes.select("node", "label", "vector", "copies", "least").join(linked, "node"), "vector-named")
+    firsts = staged(named.groupBy("component").agg(F.min("least").alias("first")), "vector-firsts")
+    named = named.join(firsts, "component").select(
+        "label", "vector", F.col("first").alias("component"), (F.col("links") + F.col("copies") - 1).alias("n_links")
+    )
     out = rows.withColumn("ok", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     linked = out.where("ok").join(named, ["label", "vector"]).select("vec_id", "n_links", "component")
     alone = out.where("not ok").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
