@@ -31,3 +31,11 @@ def test_python_literals_in_evidence(spark):
     packed = "[{'category': None, u'heuristic': 'None, really'}]"
     got = spark.createDataFrame([(packed,)], "c string").select(F.size(text.parse_evidences("c"))).first()[0]
     assert got == 1
+
+
+def test_quoted_literals_stay(spark):
+    packed = "[{u'heuristic_name': u'x, None, \\'u', 'category': None, 'hosts': ['True', u\"it's False\", None]}]"
+    got = spark.createDataFrame([(packed,), ("[{'category': 'u'}]",), (None,), ("[None, 'open",)], "c string").select(text.parse_evidences("c"))
+    first, second, none, broken = [r[0] for r in got.collect()]
+    assert first[0].heuristic_name == "x, None, 'u" and first[0].category is None and first[0].hosts == ["True", "it's False", None]
+    assert second[0].category == "u" and none is None and not broken

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wardline.driver.views import CUSTOMER_HEADER, ORDER_HEADER, check_view
+from wardline.operators.rules import MAJOR_VERSIONS, PRODUCTS
 
 AS_OF = 1706659200000
 LAG = 14400000
@@ -418,6 +419,23 @@ CHECKS["split_files"] = """SELECT o_orderkey, o_orderstatus, rn AS row_no,
     CAST(1 + rn // greatest((n + 1) // 8, 1) AS INTEGER) AS part
     FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders)"""
 
+CHECKS["evidence_by_hour"] = CHECKS["evidence"]
+add("counted_files", "requests", "SELECT ip AS key, count(*) AS n FROM v_requests GROUP BY ip")
+_NAMES = ", ".join(f"'{name}'" for name in PRODUCTS)
+_PER = len(MAJOR_VERSIONS) + 1
+# All products stand as Name/digits here: the rule is that of the first product and its number of digits.
+CHECKS["agent_rules"] = f"""WITH names AS (SELECT [{_NAMES}] AS n), agents AS (
+    SELECT DISTINCT concat('Mozilla/5.0 ', list_extract(n, CAST(event_id % {len(PRODUCTS)} AS INTEGER) + 1), '/', user_id % 1200, '.1 ',
+      list_extract(n, CAST((event_id * 7 + 3) % {len(PRODUCTS)} AS INTEGER) + 1), '/', event_id % 40) AS agent FROM events, names),
+    found AS (SELECT agent, regexp_extract_all(agent, '[A-Za-z0-9]+/[0-9]+') AS pairs FROM agents),
+    pairs AS (SELECT agent, unnest(pairs) AS pair, generate_subscripts(pairs, 1) AS place FROM found),
+    parts AS (SELECT agent, place, split_part(pair, '/', 1) AS product, split_part(pair, '/', 2) AS digits FROM pairs),
+    ranked AS (SELECT agent, place, product, digits, (list_position(n, product) - 1) * {_PER} + least(length(digits), {_PER}) AS rule_no FROM parts, names)
+    SELECT agent, CAST(rule_no AS INTEGER) AS rule_no,
+      product || CASE WHEN length(digits) < {_PER} THEN ' ' || repeat('x', length(digits)) ELSE '' END AS label,
+      CASE WHEN length(digits) < {_PER} THEN digits ELSE product END AS part
+    FROM ranked QUALIFY row_number() OVER (PARTITION BY agent ORDER BY rule_no, place) = 1"""
+
 # ---------------------------------------------------------------- files, archives and tables
 
 NOTED = """replace(replace(replace(coalesce(text, ''), ' the ', ' "the"' || chr(9)), '. ', '.' || chr(10)), 'ab', 'a\\')"""

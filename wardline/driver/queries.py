@@ -15,10 +15,12 @@ from wardline.functions import ip as ipf
 from wardline.functions import timetokens as tt
 from wardline.functions.jsonqa import json_report
 from wardline.functions.text import url_unquote
-from wardline.operators import activity, diff, infer, ranges, rows, search, sketches
+from wardline.operators import activity, diff, infer, partials, ranges, rows, search, sketches
 from wardline.operators.records import resolve_includes
+from wardline.operators.rules import PRODUCTS, first_rules, product_rules, rule_table
 from wardline.plans import cloud, config, evidence, fingerprint, intel, load, login, logs, metrics, nat, reputation
 from wardline.session import shared_folder, stored
+from wardline.sources import partitioned as by_hour
 from wardline.sources import tables
 from wardline.sources.archives import read_archives, write_archives
 from wardline.sources.readers import drop_noise, keep_tabbed, read_lines, read_table
@@ -29,6 +31,8 @@ from wardline.streaming.metrics import HourlyCounts
 AS_OF_MS = 1_706_659_200_000
 MONTH = tt.relative_window("@month_ago", "@now", as_of_ms=AS_OF_MS)
 EXCLUDED = "iran|iraq|kenya"
+# Hours in one folder of the tables laid out by time.
+SLOT_HOURS = 6
 TOKENS = ("@hour_ago", "@5_hours_ago", "@day_ago", "@3_days_ago", "@week_ago", "@2_weeks_ago", "@month_ago", "@30_mins_ago")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +78,7 @@ def nat_detection_listed(spark, sf_dir):
         view(spark, sf_dir, "industries"),
         view(spark, sf_dir, "networks"),
         window=MONTH,
-        ips=intel.detections(view(spark, sf_dir, "intel")).select("ip"),
+        ips=intel.detected(view(spark, sf_dir, "intel")).select("ip"),
     )
 
 
@@ -160,7 +164,7 @@ def client_intel_rollup(spark, sf_dir):
 
 @query
 def attack_hours(spark, sf_dir):
-    return intel.attack_hours(_found(spark, sf_dir))
+    return intel.attack_hours(intel.detected(view(spark, sf_dir, "intel")))
 
 
 @query
@@ -181,7 +185,7 @@ def attacked_accounts(spark, sf_dir):
 
 @query
 def evidence_query(spark, sf_dir):
-    hours = intel.attack_hours(_found(spark, sf_dir))
+    hours = intel.attack_hours(intel.detected(view(spark, sf_dir, "intel")))
     gathered = evidence.gather_evidence(
         view(spark, sf_dir, "scores"),
         view(spark, sf_dir, "properties"),
@@ -498,6 +502,48 @@ def split_files(spark, sf_dir):
     return rows.split_rows(orders, "o_orderkey")
 
 
+@query
+def evidence_by_hour(spark, sf_dir):
+    """The evidence of the attack hours from tables laid out by time, of which only those slots are read."""
+    hours = intel.attack_hours(intel.detected(view(spark, sf_dir, "intel")))
+    pruned = []
+    for name in ("scores", "properties", "host_stats"):
+        rows_ = view(spark, sf_dir, name)
+        path = shared_folder(spark, f"by-hour-{name}")
+        by_hour.write_by_hour(rows_, path, width=SLOT_HOURS)
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows_.schema)
+        pruned.append(by_hour.in_hours(by_hour.read_by_hour(spark, path, kind), hours, width=SLOT_HOURS))
+    gathered = evidence.gather_evidence(*pruned, view(spark, sf_dir, "networks"))
+    return _listed(gathered, "hosts")
+
+
+@query
+def counted_files(spark, sf_dir):
+    """Requests per address, counted file by file in two runs, of which the second reads the later files only."""
+    folder, store = shared_folder(spark, "request-files"), shared_folder(spark, "request-counts")
+    requests = view(spark, sf_dir, "requests")
+    for part in (0, 1):
+        requests.filter(F.col("event_id") % 2 == part).select("ip").write.parquet(f"{folder}/part-{part}")
+        partials.update_counts(spark, folder, store, "ip", lambda names: spark.read.schema("ip string").parquet(*names), "*.parquet")
+    return partials.total_counts(spark, store)
+
+
+def _product_agents(spark, sf_dir) -> DataFrame:
+    """Agents of two products each; their number grows with the events."""
+    names = F.array(*map(F.lit, PRODUCTS))
+    product = lambda n: F.get(names, (n % len(PRODUCTS)).cast("int"))
+    event, user = F.col("event_id"), F.col("user_id")
+    parts = [F.lit("Mozilla/5.0 "), product(event), F.lit("/"), user % 1200, F.lit(".1 "), product(event * 7 + 3), F.lit("/"), event % 40]
+    return table(spark, sf_dir, "events").select(F.concat(*[p.cast("string") for p in parts]).alias("agent"))
+
+
+@query
+def agent_rules(spark, sf_dir):
+    """The first of some hundred product rules for each distinct agent."""
+    found = first_rules(_product_agents(spark, sf_dir), rule_table(spark, product_rules()), "agent")
+    return found.select(F.col("text").alias("agent"), "rule_no", "label", "part")
+
+
 # ---------------------------------------------------------------- files, archives and tables
 
 

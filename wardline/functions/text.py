@@ -70,12 +70,23 @@ def heuristic_base_name(c: Column | str, strict: bool = False) -> Column:
 def parse_evidences(c: Column | str) -> Column:
     """A packed list of dictionaries (single or double quotes) to an array of structs.
 
-    The literals ``None``, ``True`` and ``False`` count where a value can stand.
+    ``None``, ``True`` and ``False``, and a ``u`` before a quote, are read as
+    such outside quoted text only.
     """
-    plain = F.regexp_replace(_col(c), r"(?<=[\[{,: ])u(?=['\"])", "")
+    c = _col(c)
+    plain = F.when(c.rlike("None|True|False|u['\"]"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_QUOTED), F.lit(0)), _plain), ""))
+    return F.from_json(plain.otherwise(c), EVIDENCE_SCHEMA, {"allowSingleQuotes": "true"})
+
+
+# Quoted texts with their quotes, what stands between them, and quotes without an end.
+_QUOTED = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|."""
+
+
+def _plain(piece: Column) -> Column:
+    read = F.regexp_replace(piece, r"(?<![0-9A-Za-z_])u$", "")
     for literal, value in (("None", "null"), ("True", "true"), ("False", "false")):
-        plain = F.regexp_replace(plain, rf"(?<=[\[:,]\s{{0,4}}){literal}(?=\s*[,\]}}])", value)
-    return F.from_json(plain, EVIDENCE_SCHEMA, {"allowSingleQuotes": "true"})
+        read = F.regexp_replace(read, rf"\b{literal}\b", value)
+    return F.when(piece.rlike(r"^['\"]"), piece).otherwise(read)
 
 
 def bracket_list(c: Column | str) -> Column:

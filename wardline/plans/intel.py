@@ -13,6 +13,18 @@ from wardline.operators.skew import LIST_ITEMS, chunked_lists
 DETAILS_MISSING = "(ACCOUNT DETAILS MISSING)"
 
 
+def detected(
+    records: DataFrame, window: tuple[int, int] | None = None, ips: list | DataFrame | None = None
+) -> DataFrame:
+    """Records with a detected heuristic, as they are."""
+    seen = records.filter(F.col("heuristic_detected").isNotNull())
+    if window:
+        seen = seen.filter(in_window("ts", window))
+    if ips is not None:
+        seen = keep_listed(seen, "ip", ips)
+    return seen.filter(F.lower("heuristic_detected") != "false").withColumn("hour", hour_of("ts"))
+
+
 def detections(
     records: DataFrame,
     window: tuple[int, int] | None = None,
@@ -24,16 +36,11 @@ def detections(
     Gives ip, hour, heuristic, category, attacked_hosts, hosts and accounts; only
     the first evidence of a record counts.
     """
-    seen = records.filter(F.col("heuristic_detected").isNotNull())
-    if window:
-        seen = seen.filter(in_window("ts", window))
-    if ips is not None:
-        seen = keep_listed(seen, "ip", ips)
-    flagged = seen.filter(F.lower("heuristic_detected") != "false")
+    flagged = detected(records, window, ips)
     first = flagged.withColumn("evidence", F.explode(F.array(F.get(parse_evidences("evidences"), F.lit(0)))))
     return first.select(
         "ip",
-        hour_of("ts").alias("hour"),
+        "hour",
         heuristic_base_name(F.col("evidence.heuristic_name"), strict_names).alias("heuristic"),
         F.col("evidence.category").alias("category"),
         F.col("evidence.hosts").alias("attacked_hosts"),
@@ -43,6 +50,7 @@ def detections(
 
 
 def attack_hours(found: DataFrame) -> DataFrame:
+    """Distinct hours of ``detections``, or of ``detected``, which spares opening the packed columns."""
     return found.select("hour").distinct()
 
 

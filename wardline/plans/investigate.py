@@ -48,7 +48,7 @@ def investigate(
             "hosts_per_heuristic": intel.hosts_per_heuristic(found),
             "attacked_accounts": intel.sorted_accounts(intel.attacked_accounts(found, t["accounts"])),
             "evidence": evidence.gather_evidence(
-                t["scores"], t["properties"], t["host_stats"], t["networks"], intel.attack_hours(found), addresses
+                t["scores"], t["properties"], t["host_stats"], t["networks"], intel.attack_hours(intel.detected(t["intel"], intel_window, addresses)), addresses
             ),
         }
     return parts
