@@ -202,16 +202,27 @@ def test_lines(spark, docs, empty):
     for line in list(pool):
         at = int(rng.integers(0, len(line)))
         pool += [line[:at] + "q" + line[at:], line[:at] + line[at + 1 :]]
+    pool += ["Page 1 of 12", "Page 2 of 12", "Page 12 of 12", "2024-01-02, Reuters", "2024-01-03, Reuters", "2024-01-13, Reuters", "abcd", "abcdefg", "abcdefh"]
+    pool += ["a common line of 22 " + c for c in "uvw"] + ["a common line of 23 c" + c for c in "uvw"] + ["a common line of 24 ch" + c * 2 for c in "uvw"]
     pool = sorted({line for line in pool if line.strip()})
     frame = spark.createDataFrame([(k % 9, "\n".join([line, "", line])) for k, line in enumerate(pool)] + [(99, None)], "doc_id long, text string")
     digest = {hashlib.sha256(line.encode()).hexdigest(): line for line in pool}
     got = {digest[r.line_sha256]: r for r in line_dedup.edit_classes(frame).collect()}
     assert set(got) == set(pool) and all(r.n_copies == 2 for r in got.values())
     links = collections.Counter()
+    class_of = {line: {line} for line in pool}
     for a, b in itertools.combinations(pool, 2):
-        if min(len(a), len(b)) >= line_dedup.LEAST and edits(a, b) <= 2:
+        shorter = min(len(a), len(b))
+        if edits(a, b) <= (0 if shorter < 8 else 1 if shorter < 24 else 2):
             links.update([a, b])
+            joined = class_of[a] | class_of[b]
+            class_of.update({line: joined for line in joined})
     assert {line: r.n_links for line, r in got.items() if r.n_links} == dict(links)
+    assert links["Page 1 of 12"] == 2 and links["2024-01-02, Reuters"] == 1 and "abcdefg" not in links
+    sha = {line: digest for digest, line in digest.items()}
+    for line, r in got.items():
+        first = min(class_of[line], key=lambda x: (got[x].doc_id, sha[x]))
+        assert (r.class_doc_id, r.class_sha256, r.kept) == (got[first].doc_id, sha[first], first == line)
     assert line_dedup.drop_similar_lines(docs).columns == docs.columns
     assert rows(line_dedup.edit_classes(empty)) == []
 

@@ -1,26 +1,27 @@
 """Lines that are equal but for a few characters, by a segment-partition edit join.
 
 Equal lines are counted together first; two different lines are linked when
-their edit distance is at most ``threshold`` characters.  A line of length l
-is cut into threshold + 1 segments of nearly equal length, of which a line
-within the threshold must hold one unchanged: the index has one key per
-segment (length, number, characters), and every line probes it with its
-substrings for the lengths l - threshold ... l, at the places where a segment
-can have moved (a segment with i before it moves at most i to either side, and
-the segments after it bound the move likewise).  Segments shared where they
-are come from the index itself, one pair each.  Pairs that meet are verified
-with a banded, bit-parallel edit distance: one small bit vector per number of
-errors holds the diagonals of the band that are reached, and one step per
-character updates all of them.
-
-Lines shorter than ``least`` characters are only joined when equal, as a few
-characters are too much of them.  All of it is DataFrame functions.  Probes
-that cannot be in the index are dropped by a bounded Bloom filter before the
-exchange.  A segment that many lines share would bring all their pairs
+their edit distance is at most the number of edits that ``limits`` allows for
+the shorter of them (none below 8 characters, one below 24, two from there).
+A line of length l that allows t edits is cut into t + 1 segments of nearly
+equal length, of which a line within t edits must hold one unchanged: the index
+has one key per segment (length, number, characters), and every line probes it
+with its substrings for its own and shorter lengths, at the places where a
+segment can have moved (a segment with i before it moves at most i to either
+side, and the segments after it bound the move likewise).  Pairs that meet are
+verified with a banded, bit-parallel edit distance: one small bit vector per
+number of errors holds the diagonals of the band that are reached, and one step
+per character updates all of them.
+
+All of it is DataFrame functions.  An entry that is exchanged holds a key, a
+line's number and a sketch of its letter counts, which rejects most pairs where
+they meet; its size does not depend on the line, and the number of entries only
+on the limits.  A segment that many lines share would bring all their pairs
 together: where a key has more than ``CROWD`` lines, a pair must in addition
-share one of threshold + 1 segments of the rest of the line, as it must if it
-is within the threshold, so such keys are joined on both; this is repeated up
-to ``ROUNDS`` times, after which nearly all of a line is shared.
+share a segment of the rest of the line, as it must if it is within the limit,
+so such keys are joined on both; this is repeated up to ``ROUNDS`` times, after
+which nearly all of a line is shared.  Only the entries of crowded keys are
+looked up in a Bloom filter; all others pass it by.
 
 Cases: null texts have no lines; lines without a character other than white
 space are left out; other lines are compared as they are.  A line that occurs
@@ -36,63 +37,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.bloom import filter_words, rows_in, with_suspicion
-from wardline.llm.common import staged, text_of
+from wardline.llm.common import discard, staged, text_of
 from wardline.llm.components import components
 
-THRESHOLD = 2
-LEAST = 24
+LIMITS = ((8, 1), (24, 2))  # (characters of the shorter line at least, edits); shorter lines must be equal
+MOST_EDITS = 7  # what an entry has room for
 CROWD = 16
 ROUNDS = 5
 LEAP = 1 << 22  # longest step along what two lines share
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """(start, length) of a segment; the longer ones come last."""
-    base = F.call_function("div", length, F.lit(parts)).cast("int")
-    longer = F.lit(parts) - length % parts  # number of the first longer segment
-    start = base * number + F.greatest(F.lit(number) - longer, F.lit(0))
-    return start.cast("int"), (base + (F.lit(number) >= longer).cast("int")).cast("int")
+def _limit(chars: Column, limits) -> Column:
+    """The edits that a line of so many characters allows."""
+    allowed = F.lit(0)
+    for least, edits in sorted(limits):
+        allowed = F.when(chars >= least, F.lit(edits)).otherwise(allowed)
+    return allowed
 
 
-def _moves(number: int, shorter: int, threshold: int) -> range:
+def _moves(number: int, shorter: int, edits: int) -> range:
     """How far a segment may have moved in a line ``shorter`` characters longer."""
-    right = threshold - number
+    right = edits - number
     return range(max(-number, shorter - right), min(number, shorter + right) + 1)
 
 
-def _key(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+def _steps(limits) -> list[tuple[int, int, int, int]]:
+    """(edits, number of the segment, characters that its line is shorter, move) of all substrings to look at."""
+    return [
+        (edits, number, shorter, move)
+        for edits in sorted({edits for _, edits in limits if edits})
+        for shorter in range(edits + 1)
+        for number in range(edits + 1)
+        for move in _moves(number, shorter, edits)
+    ]
 
 
-def _index_keys(line: Column, chars: Column, threshold: int) -> Column:
-    """(key, at, size, before) of every segment; ``before`` holds the keys of the segments ahead of it."""
-    keys, out = [], []
-    for number in range(threshold + 1):
-        start, size = _segment(chars, number, threshold + 1)
-        before = F.array(*keys) if keys else F.array().cast("array<bigint>")
-        keys.append(_key(chars, F.lit(number), F.substring(line, start + 1, size)))
-        out.append(F.struct(keys[-1].alias("key"), start.alias("at"), size.alias("size"), before.alias("before")))
-    return F.array(*out)
+def _entries(rows: DataFrame, steps: list[tuple[int, int, int, int]], fits: Column) -> DataFrame:
+    """A row per substring that is, or may be, a segment: key, tag and sketch, and what a further round needs.
 
+    ``rows`` holds (id, sketch, outer, text, chars); ``fits`` tells from the
+    step's fields which steps a row takes.  The tag packs the line's number,
+    the edits, the step's ``shorter`` and whether the entry is of the index.
+    """
+    names = ("edits", "number", "less", "move", "own")
+    listed = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*step, int(step[2] == step[3] == 0)))]) for step in steps]
+    # One short expression for all steps, so that the generated code stays small enough to be compiled.
+    rows = rows.withColumn("step", F.explode(F.array(*listed))).select("*", "step.*").drop("step").where(fits)
+    length, parts = F.col("chars") - F.col("less"), F.col("edits") + 1
+    base = F.call_function("div", length, parts).cast("int")
+    longer = parts - length % parts  # number of the first longer segment
+    number = F.col("number")
+    start = base * number + F.greatest(number - longer, F.lit(0))
+    rows = rows.withColumns({"at": (start + F.col("move")).cast("int"), "size": base + (number >= longer).cast("int"), "length": length})
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("chars")))
+    key = F.xxhash64("outer", "length", "number", F.substring(F.col("text"), F.col("at") + 1, F.col("size")))
+    tag = F.col("id") * 128 + F.col("edits") * 16 + F.col("less") * 2 + F.col("own")
+    rest = F.concat(
+        F.substring(F.col("text"), F.lit(1), F.col("at")),
+        F.substring(F.col("text"), F.col("at") + F.col("size") + 1, F.col("chars")),
+    )
+    return rows.select(key.alias("key"), tag.alias("tag"), "sketch", rest.alias("rest"))
 
-def _probe_keys(line: Column, chars: Column, threshold: int, shorter: int, least: int = 0, unmoved: bool = False) -> list[Column]:
-    """(key, at, size, shorter) of the substrings that may be a segment of a line ``shorter`` characters shorter.
 
-    Those that are segments of the line itself come from the index and are
-    left out unless ``unmoved`` is set.
-    """
-    keys = []
-    length = (chars - shorter).cast("int")
-    for number in range(threshold + 1):
-        start, size = _segment(length, number, threshold + 1)
-        for move in _moves(number, shorter, threshold):
-            if shorter or move or unmoved:
-                at = (start + move).cast("int")
-                key = _key(length, F.lit(number), F.substring(line, at + 1, size))
-                fits = (length >= least) & (at >= 0) & (at + size <= chars)
-                entry = F.struct(key.alias("key"), at.alias("at"), size.alias("size"), F.lit(shorter).alias("shorter"))
-                keys.append(F.when(fits, entry))
-    return keys
+def _tag_id(tag: Column) -> Column:
+    return F.shiftright(tag, 7)
+
+
+def _tag_edits(tag: Column) -> Column:
+    return F.shiftright(tag, 4).bitwiseAND(F.lit(7).cast("long")).cast("int")
+
+
+def _tag_less(tag: Column) -> Column:
+    return F.shiftright(tag, 1).bitwiseAND(F.lit(7).cast("long")).cast("int")
 
 
 def _let(value: Column, use) -> Column:
@@ -175,118 +191,117 @@ def _banded(padded: Column, a: Column, b: Column, threshold: int) -> Column:
     return F.getbit(final, F.greatest(place, F.lit(0)).cast("int")) == 1
 
 
-def _suspects(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Probes whose key may be in the index."""
-    words = staged(filter_words(index.select("key")), "line-filter")
-    return with_suspicion(probes, F.col("key"), words).where("suspect").drop("suspect")
+# Letters that are common in many languages; one edit changes two counts by one at most.
+COUNTED = " etaoinsrhldcumf"
+SKETCHED = 8  # of them go into the sketch that every entry carries, four bits each
 
 
-def _pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b) of the lines that meet at a key.
+def _counts(line: Column) -> Column:
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
 
-    Lines of one length are paired from the smaller id, and only at the first
-    segment that they share where they are, not at every one.
-    """
-    left = probes.select(F.col("id").alias("x"), "key", "shorter", F.col("before").alias("before_x"))
-    right = index.select(F.col("id").alias("y"), "key", F.col("before").alias("before_y"))
-    once = (F.col("x") < F.col("y")) | ((F.col("shorter") > 0) & (F.col("x") != F.col("y")))
-    met = left.join(right, "key").where(once & ~F.arrays_overlap("before_x", "before_y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
+def _differ(a: str, b: str) -> Column:
+    """By how much two lines' counts differ."""
+    each = [F.abs(F.col(a)[k] - F.col(b)[k]) for k in range(len(COUNTED))]
+    return reduce(lambda x, y: x + y, each)
 
-def _rest(line: Column) -> Column:
-    """A line without the segment of its key."""
-    after = F.col("at") + F.col("size") + 1
-    return F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, after, F.char_length(line)))
 
+def _sketch(counts: Column, letters: int) -> Column:
+    """The counts of the first letters, modulo 16, in one number."""
+    each = [F.shiftleft((counts[k] % 16).cast("long"), 4 * k) for k in range(letters)]
+    return reduce(lambda x, y: x.bitwiseOR(y), each)
 
-def _opened(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
-    """A row, with its ``columns``, for every key ``k`` that is not null."""
-    # Filtering rows, not the array, keeps the keys inside generated code.
-    return rows.select(*columns, F.explode(F.array(*keys)).alias("k")).where("k is not null")
 
+def _sketches_differ(a: str, b: str) -> Column:
+    """By how much the counts in two sketches differ at least."""
+    nibble = lambda c, k: F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(15).cast("long"))
+    each = [F.abs(nibble(a, k) - nibble(b, k)) for k in range(len(COUNTED))]
+    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in each])
 
-def candidates(lines: DataFrame, threshold: int, least: int, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) with a < b: ids of the lines (id, line, chars) that share a segment."""
-    long_lines = lines.where(F.col("chars") >= least)
-    line, chars, rest = F.col("line"), F.col("chars"), F.col("rest")
-    index = long_lines.select("id", F.explode(_index_keys(line, chars, threshold)).alias("k")).select("id", "k.*")
-    moved = [k for shorter in range(threshold + 1) for k in _probe_keys(line, chars, threshold, shorter, least)]
-    probes = _opened(long_lines, moved, "id").select("id", "k.*", F.array().cast("array<bigint>").alias("before"))
+
+def _pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b) of the lines that meet at a key and whose sketches allow a link; those of one length only once."""
+    sides = [rows.select("key", F.col("tag").alias(f"tag_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n, rows in (("x", probes), ("y", index))]
+    x, y, less = _tag_id(F.col("tag_x")), _tag_id(F.col("tag_y")), _tag_less(F.col("tag_x"))
+    near = _sketches_differ("sketch_x", "sketch_y") <= 2 * _tag_edits(F.col("tag_x"))
+    met = sides[0].join(sides[1], (sides[0].key == sides[1].key) & ((x < y) | ((less > 0) & (x != y))) & near)
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def candidates(lines: DataFrame, limits=LIMITS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b) with a < b: ids of the lines (id, line, chars, sketch) that share a segment and whose sketches are alike."""
+    steps = _steps(limits)
+    own_steps = [s for s in steps if s[2] == s[3] == 0]
+    edits, less, own = F.col("edits"), F.col("less"), F.col("own") == 1
+    rows = lines.select("id", "sketch", F.lit(0).cast("long").alias("outer"), F.col("line").alias("text"), "chars")
+    allowed = _limit(F.col("chars") - less, limits) == edits
+    index = _entries(rows, own_steps, allowed)
+    probes = _entries(rows, [s for s in steps if s not in own_steps], allowed)
     found = None
     for turn in range(rounds + 1):
-        index = staged(index, "line-index")
-        sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        sizes = staged(sizes.select("key", (F.lit(turn < rounds) & (F.col("n") > crowd)).alias("crowd")), "line-crowds")
-        probes = staged(_suspects(probes, index), "line-probes")
-        # Only segments that another line may share are exchanged.
-        met = sizes.select("key").union(probes.select("key"))
-        index = staged(_suspects(index, met).join(sizes, "key", "left"), "line-met")
-        # Lines that share a segment where it is find each other in the index.
-        shared = index.where("crowd is not null")
-        own = shared.where("not crowd").withColumn("shorter", F.lit(0)).select(*probes.columns)
-        pairs = staged(_pairs(probes.union(own), index.where("crowd is null or not crowd")), "line-meets")
+        crowds = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key")
+        crowds = staged(crowds, "line-crowds")
+        last = turn == rounds or crowds.isEmpty()
+        if not last:
+            words = staged(filter_words(crowds), "line-filter")
+            sides = [side.withColumn("indexed", F.lit(side is index)) for side in (index, probes)]
+            marked = [with_suspicion(side, F.col("key"), words) for side in sides]
+            suspects = staged(marked[0].union(marked[1]).where("suspect").drop("suspect"), "line-hot")
+            hot = staged(suspects.join(crowds.withColumn("crowd", F.lit(True)), "key", "left"), "line-crowded")
+            calm = hot.where("crowd is null").drop("crowd")
+            index, probes = [m.where("not suspect").drop("suspect").union(calm.where(which)) for m, which in zip(marked, ("indexed", "not indexed"))]
+        pairs = staged(_pairs(index, index).union(_pairs(probes, index)).distinct(), "line-meets")
         found = pairs if found is None else found.union(pairs)
-        crowded = sizes.where("crowd").select("key")
-        if turn == rounds or crowded.isEmpty():
+        if last:
             return found.distinct()
         # Pairs at a crowded key must share a segment of what is left of their lines, too.
-        sides = []
-        for rows in (shared.where("crowd"), probes.join(crowded, "key")):
-            if turn == 0:
-                rows = rows.join(lines.select("id", line.alias("rest")), "id")
-            kept = [c for c in rows.columns if c in ("id", "shorter", "before")]
-            sides.append(staged(rows.select(*kept, F.col("key").alias("outer"), _rest(rest).alias("rest")), "line-rests"))
-        shared, probes = sides
-        size, key = F.char_length("rest"), F.xxhash64("outer", "k.key").alias("key")
-        index = shared.select("id", "outer", "rest", "before", F.explode(_index_keys(rest, size, threshold)).alias("k"))
-        ahead = F.concat("before", F.transform("k.before", lambda k: F.xxhash64("outer", k))).alias("before")
-        index = index.select("id", key, "k.at", "k.size", ahead, "rest")
-        # What is left differs in length as the lines do.
-        inner = [(shared.withColumn("shorter", F.lit(0)), _probe_keys(rest, size, threshold, 0))]
-        inner += [(probes.where(F.col("shorter") == n), _probe_keys(rest, size, threshold, n, unmoved=True)) for n in range(threshold + 1)]
-        parts = [_opened(rows, keys, "id", "outer", "rest", "before") for rows, keys in inner]
-        probes = reduce(DataFrame.union, parts).select("id", key, "k.at", "k.size", "k.shorter", "before", "rest")
-
-
-# Letters that are common in many languages; one edit changes two counts by one at most.
-COUNTED = " etaoinsrhld"
-
-
-def _counts(line: Column) -> Column:
-    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
-
-
-def _differ(a: str, b: str) -> Column:
-    """By how much two lines' counts differ."""
-    each = [F.abs(F.col(a)[k] - F.col(b)[k]) for k in range(len(COUNTED))]
-    return reduce(lambda x, y: x + y, each)
+        tag = F.col("tag")
+        sketch = _let(_counts(F.col("rest")), lambda counts: _sketch(counts, len(COUNTED)))
+        rows = hot.where("crowd").select(
+            _tag_id(tag).alias("id"), sketch.alias("sketch"), F.col("key").alias("outer"), F.col("rest").alias("text"), F.char_length("rest").alias("chars"),
+            F.struct(_tag_edits(tag).alias("edits"), _tag_less(tag).alias("less")).alias("pair"), "indexed",
+        )
+        rows = staged(rows, "line-rests")
+        for done in (suspects, hot, words, crowds):
+            discard(done)
+        # What is left differs in length as the lines do, and by as many edits.
+        same = (F.col("pair.edits") == edits) & (F.col("pair.less") == less)
+        index = _entries(rows.where("indexed"), own_steps, same)
+        probes = _entries(rows, steps, same & ~(F.col("indexed") & own))
 
 
 def edit_classes(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: tuple[tuple[int, int], ...] = LIMITS
 ) -> DataFrame:
     """One row per distinct line.
 
     doc_id (the smallest with the line), line_sha256, n_copies (its
-    occurrences), n_links (other lines within the threshold), class_doc_id and
-    class_sha256 (of the first line, by document and digest, that can be
-    reached by links), kept (whether it is that line).
+    occurrences), n_links (other lines within the edits that the shorter line
+    allows), class_doc_id and class_sha256 (of the first line, by document and
+    digest, that can be reached by links), kept (whether it is that line).
+    ``limits`` lists (least number of characters, edits), the edits rising.
     """
+    if any(not 0 <= edits <= MOST_EDITS for _, edits in limits) or [e for _, e in sorted(limits)] != sorted(e for _, e in limits):
+        raise ValueError(f"limits must allow longer lines no fewer edits, and {MOST_EDITS} at most: {limits}")
     line = F.explode(F.split(text_of(df, text_col), "\n"))
     found = df.select(df[id_col].cast("long").alias("doc_id"), line.alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     lines = found.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
     lines = lines.select("*", F.char_length("line").alias("chars"), F.sha2(F.col("line").cast("binary"), 256).alias("sha"))
     lines = staged(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
 
-    pairs = staged(candidates(lines, threshold, least), "line-pairs")
+    sketched = lines.withColumn("counts", _counts(F.col("line"))).withColumn("sketch", _sketch(F.col("counts"), SKETCHED))
+    pairs = staged(candidates(sketched, limits), "line-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    texts = rows_in(lines.select("id", "line"), "id", staged(ends.distinct(), "line-ends"))
+    texts = rows_in(lines.select("id", "line", "chars"), "id", staged(ends.distinct(), "line-ends"))
     texts = staged(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
-    both = pairs.join(texts.toDF("a", "line_a", "counts_a"), "a").join(texts.toDF("b", "line_b", "counts_b"), "b")
-    # Letter counts reject most pairs at once.
-    alike = _differ("counts_a", "counts_b") <= 2 * threshold
-    links = staged(both.where(alike & within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"), "line-links")
+    both = pairs.join(texts.toDF("a", "line_a", "chars_a", "counts_a"), "a").join(texts.toDF("b", "line_b", "chars_b", "counts_b"), "b")
+    # Letter counts reject more pairs at once.
+    allowed = _limit(F.least("chars_a", "chars_b"), limits)
+    alike = _differ("counts_a", "counts_b") <= 2 * allowed
+    linked_by = F.lit(False)
+    for edits in sorted({edits for _, edits in limits if edits}):
+        linked_by = F.when(allowed == edits, within(F.col("line_a"), F.col("line_b"), edits)).otherwise(linked_by)
+    links = staged(both.where(alike & linked_by).select("a", "b"), "line-links")
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = components(links).toDF("id", "component")
@@ -309,13 +324,13 @@ def edit_classes(
 
 
 def drop_similar_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: tuple[tuple[int, int], ...] = LIMITS
 ) -> DataFrame:
     """The rows of ``df`` with each class of lines kept only once: the first line of the first document.
 
     Blank lines stay.  A document whose lines all go keeps an empty text.
     """
-    classes = staged(edit_classes(df, id_col, text_col, threshold, least).select("line_sha256", "doc_id", "kept"), "line-classes")
+    classes = staged(edit_classes(df, id_col, text_col, limits).select("line_sha256", "doc_id", "kept"), "line-classes")
     rows = staged(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "line-rows")
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     lines = rows.select("row_id", F.col("row")[id_col].cast("long").alias("here"), F.posexplode(F.split(text, "\n")).alias("nth", "line"))
