@@ -87,6 +87,54 @@ def test_passages(docs, empty):
     assert rows(substring_dedup.remove_duplicates(empty)) == []
 
 
+@pytest.mark.parametrize("block", [7, 64, 256])
+def test_longest_factors(spark, block):
+    """A copy is one span though part of it also lies in a smaller document; spans agree word by word with their sources."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 1 << 40, n)]
+    whole = word(200)
+    texts = {
+        3: word(9) + whole[60:130] + word(11),
+        4: whole[:55] + word(5),
+        5: word(33) + whole + word(2),
+        9: word(300) + whole + word(7),
+        10: whole[:100] + word(3) + whole[100:] + whole[40:95],
+        11: whole[20:70] + ["end"],
+        12: ["rep"] * 400,
+        13: ["rep"] * 130 + whole[150:],
+    }
+    table = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    spans = collections.defaultdict(list)
+    for doc_id, start, length, source in rows(substring_dedup.duplicate_spans(table, block=block)):
+        mine, other = texts[doc_id][start : start + length], texts[source]
+        assert length >= 50 and source < doc_id
+        assert any(other[k : k + length] == mine for k in range(len(other)))
+        spans[doc_id].append((start, length, source))
+    assert spans[9] == [(300, 200, 5)]
+    assert sorted(spans[10]) == [(0, 100, 5), (103, 100, 5), (203, 55, 5)]
+    assert spans[11] == [(0, 50, 5)]
+    assert sorted(spans[13]) == [(0, 130, 12), (130, 50, 5)]
+    first = {}
+    for d in sorted(texts):
+        for k in range(len(texts[d]) - 49):
+            first.setdefault(tuple(texts[d][k : k + 50]), d)
+    for d, w in texts.items():
+        gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < d for j in range(k, k + 50)}
+        assert gone == {j for start, length, _ in spans[d] for j in range(start, start + length)}
+
+
+def test_factors_of_spans():
+    factors = substring_dedup.greedy_factors
+    assert factors([], 5) == []
+    assert factors([(0, 9, 4), (0, 9, 3), (2, 8, 1)], 5) == [(0, 9, 3)]
+    assert factors([(0, 6, 1), (1, 12, 2), (3, 9, 0)], 5) == [(0, 6, 1), (2, 10, 2)]
+    assert factors([(0, 6, 1), (10, 15, 2)], 5) == [(0, 6, 1), (10, 5, 2)]
+    # Equal hashes of different words: a run whose words differ is no candidate.
+    run = substring_dedup.Run(4, 4, 1, 0)
+    assert substring_dedup.extents([run], [(0, substring_dedup.WITHIN, 0, 3, False)], 5) == []
+    assert substring_dedup.extents([run], [(0, substring_dedup.WITHIN, 0, 5, True)], 5) == [(4, 9, 1)]
+
+
 def test_near(docs, empty):
     got = {r.doc_id: r.class_id for r in bag_minhash.near_classes(docs).collect()}
     assert got[2] == 1 and got[3] == 1 and got[7] == 7 and got[4] == 4 and got[8] == 8 and got[None] is None
