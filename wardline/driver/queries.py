@@ -771,7 +771,7 @@ def heuristic_stream(spark, sf_dir):
         "CASE event_id % 3 WHEN 0 THEN 'lab' ELSE 'a,production,b' END AS group_ids",
     ]
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    scores = events.filter("event_type = 'error'").selectExpr(*columns)
+    scores = events.selectExpr(*columns)
     folder = shared_folder(spark, "heuristic-stream")
     counts = HourlyCounts(f"{folder}/points", "dc1")
     counts.start(scores, f"{folder}/state").awaitTermination()

@@ -27,6 +27,9 @@ IP = (
 HOST = "concat('h', cast(event_id % 20 AS string), '.example')"
 LATER_HOST = "concat('h', cast((event_id + 3) % 20 AS string), '.example')"
 
+# Ids, every so many of them one that no score has.
+SOME_UNKNOWN = "CASE WHEN event_id % {} = 0 THEN -1 - event_id ELSE event_id END"
+
 AGENT = """CASE event_id % 6
     WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/96.0.4664.45 Safari/537.36'
     WHEN 1 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/14.1 Safari/605.1.15'
@@ -127,7 +130,6 @@ VIEWS: dict[str, tuple[View, ...]] = {
         View(
             "events",
             (f"{IP} AS ip", f"{HOST} AS host", "md5(cast(event_id % 37 AS string)) AS email_hash", "{MS} AS ts"),
-            "event_type = 'signup'",
         ),
     ),
     "intel": (
@@ -142,7 +144,6 @@ VIEWS: dict[str, tuple[View, ...]] = {
                 f"concat('[', {HOST}, ']') AS hosts",
                 f"{EVIDENCES} AS evidences",
             ),
-            "event_type = 'error'",
         ),
     ),
     "scores": (
@@ -157,21 +158,17 @@ VIEWS: dict[str, tuple[View, ...]] = {
                 "CASE event_id % 3 WHEN 0 THEN 'lab' ELSE 'a,production,b' END AS group_ids",
                 "{HR} AS ts",
             ),
-            "event_type = 'error'",
         ),
     ),
     "properties": (
         View(
             "events",
-            ("event_id AS id", "{HR} AS ts", "concat('k', cast(event_id % 4 AS string)) AS key", "props AS value"),
-            "event_type = 'error' AND event_id % 7 <> 0",
+            (f"{SOME_UNKNOWN.format(7)} AS id", "{HR} AS ts", "concat('k', cast(event_id % 4 AS string)) AS key", "props AS value"),
         ),
     ),
     "host_stats": (
-        View("events", ("event_id AS id", "{HR} AS ts", f"{HOST} AS host"), "event_type = 'error' AND event_id % 2 = 0"),
-        View(
-            "events", ("event_id AS id", "{HR} AS ts", f"{LATER_HOST} AS host"), "event_type = 'error' AND event_id % 2 = 0"
-        ),
+        View("events", (f"{SOME_UNKNOWN.format(2)} AS id", "{HR} AS ts", f"{HOST} AS host")),
+        View("events", (f"{SOME_UNKNOWN.format(2)} AS id", "{HR} AS ts", f"{LATER_HOST} AS host")),
     ),
     "ips": (View("events", (f"{IP} AS ip",), distinct=True),),
     "ranges": (
