@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import (
-    bag_minhash, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup, vector_dedup,
+    bag_minhash, bloom, chat_format, exact_dedup, lang_id, line_dedup, mixing, piece_sampling, sharding, substring_dedup, vector_dedup,
 )
 from wardline.llm.components import components
 from wardline.llm.queries import PIECES, QUERIES, TRICKY
@@ -275,6 +275,54 @@ def test_lines(spark, docs, empty):
     assert rows(line_dedup.edit_classes(empty)) == []
 
 
+def near_links(pool, limits):
+    """How many lines of the pool each is linked with, by comparing all pairs."""
+    links = collections.Counter()
+    for a, b in itertools.combinations(pool, 2):
+        shorter = min(len(a), len(b))
+        allowed = max([e for least, e in limits if shorter >= least], default=0)
+        if abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed:
+            links.update([a, b])
+    return links
+
+
+@pytest.mark.parametrize("limits", [line_dedup.LIMITS, ((5, 1), (13, 3))])
+def test_lines_between_classes_of_lengths(spark, limits):
+    """Links across the lengths where classes and limits begin, with edits at every place, and crowds of like lines."""
+    rng = np.random.default_rng(6)
+    most = max(e for _, e in limits)
+    pool = set()
+    for size in (3, 7, 8, 9, 10, 12, 13, 16, 23, 24, 25, 28, 32, 40, 41, 48):
+        line = "".join(rng.choice(list("abdefgh"), size))
+        for k in range(14):
+            near = line
+            for _ in range(int(rng.integers(1, most + 1))):
+                at, kind = int(rng.integers(0, len(near) + 1)), k % 3
+                near = near[:at] + ("c" if kind else "") + near[at + (kind != 1) :]
+            pool |= {line, near or line}
+    pool |= {"the common start of lines, " + "".join(rng.choice(list("xyz"), 4)) + ", and their common end" for _ in range(30)}
+    pool = sorted(pool)
+    frame = spark.createDataFrame([(k, line) for k, line in enumerate(pool)], "doc_id long, text string")
+    got = {pool[r.doc_id]: r.n_links for r in line_dedup.edit_classes(frame, limits=limits).collect() if r.n_links}
+    assert got == dict(near_links(pool, limits))
+
+
+def test_lines_pass_filters_once(spark, monkeypatch):
+    """With a crowded key, rows looked up in a filter are lines, not their entries."""
+    passed = []
+
+    def counted(rows, *args, was=bloom.with_suspicion):
+        passed.append(rows.count())
+        return was(rows, *args)
+
+    for module in (bloom, line_dedup):
+        monkeypatch.setattr(module, "with_suspicion", counted, raising=False)
+    lines = [f"{k:02d} all of these lines end in the same words of some length" for k in range(40)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = line_dedup.edit_classes(frame).collect()
+    assert [r.n_links for r in got] == [39] * 40 and sum(passed) <= len(lines)
+
+
 def test_samples(docs, empty):
     found = piece_sampling.encode_samples(docs, PIECES, samples=3)
     back = piece_sampling.decode(found.select(F.col("row.text").alias("was"), "ids"), PIECES)

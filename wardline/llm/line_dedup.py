@@ -1,27 +1,29 @@
-"""Lines that are equal but for a few characters, by a segment-partition edit join.
+"""Lines that are equal but for a few characters, by an edit join on windows that must be shared.
 
 Equal lines are counted together first; two different lines are linked when
 their edit distance is at most the number of edits that ``limits`` allows for
 the shorter of them (none below 8 characters, one below 24, two from there).
-A line of length l that allows t edits is cut into t + 1 segments of nearly
-equal length, of which a line within t edits must hold one unchanged: the index
-has one key per segment (length, number, characters), and every line probes it
-with its substrings for its own and shorter lengths, at the places where a
-segment can have moved (a segment with i before it moves at most i to either
-side, and the segments after it bound the move likewise).  Pairs that meet are
-verified with a banded, bit-parallel edit distance: one small bit vector per
-number of errors holds the diagonals of the band that are reached, and one step
-per character updates all of them.
+A line that allows t edits has t + 1 windows, of which a line within t edits
+must hold one unchanged: lengths are put into classes by their leading bits,
+and the windows of a class lie side by side in its shortest line, those of the
+first half counted from the line's start, the others from its end.  A window
+with i before it on its side has moved by at most i, so it is entered at its
+own place and i places further on: whichever of two lines is ahead has the
+other's window there.  A line is entered in the class of its length, and in the
+class below if a line of that class may be within its edits.  Pairs that meet
+are verified with a banded, bit-parallel edit distance: one small bit vector
+per number of errors holds the diagonals of the band that are reached, and one
+step per character updates all of them.
 
 All of it is DataFrame functions.  An entry that is exchanged holds a key, a
-line's number and a sketch of its letter counts, which rejects most pairs where
-they meet; its size does not depend on the line, and the number of entries only
-on the limits.  A segment that many lines share would bring all their pairs
-together: where a key has more than ``CROWD`` lines, a pair must in addition
-share a segment of the rest of the line, as it must if it is within the limit,
-so such keys are joined on both; this is repeated up to ``ROUNDS`` times, after
-which nearly all of a line is shared.  Only the entries of crowded keys are
-looked up in a Bloom filter; all others pass it by.
+line's number and a sketch of its letter counts and length, which rejects most
+pairs where they meet; its size does not depend on the line, and the number of
+entries only on the limits.  Entries are exchanged once; those whose key no
+other has go no further.  A window that many lines share would bring all their
+pairs together: where a key has more than ``CROWD`` entries, a pair must in
+addition share a window of the rest of the line, as it must if it is within the
+limit, so such keys are joined on both, and on the exact length; this is
+repeated up to ``ROUNDS`` times, after which nearly all of a line is shared.
 
 Cases: null texts have no lines; lines without a character other than white
 space are left out; other lines are compared as they are.  A line that occurs
@@ -36,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.bloom import filter_words, rows_in, with_suspicion
+from wardline.llm.bloom import rows_in
 from wardline.llm.common import discard, staged, text_of
 from wardline.llm.components import components
 
@@ -55,60 +57,98 @@ def _limit(chars: Column, limits) -> Column:
     return allowed
 
 
-def _moves(number: int, shorter: int, edits: int) -> range:
-    """How far a segment may have moved in a line ``shorter`` characters longer."""
-    right = edits - number
-    return range(max(-number, shorter - right), min(number, shorter + right) + 1)
+def _grain(chars: Column) -> Column:
+    """What a length's three leading bits count."""
+    bits = F.floor(F.log2(chars + 0.5)).cast("int")
+    return F.call_function("shiftleft", F.lit(1), F.greatest(bits - 2, F.lit(0)))
 
 
-def _steps(limits) -> list[tuple[int, int, int, int]]:
-    """(edits, number of the segment, characters that its line is shorter, move) of all substrings to look at."""
-    return [
-        (edits, number, shorter, move)
-        for edits in sorted({edits for _, edits in limits if edits})
-        for shorter in range(edits + 1)
-        for number in range(edits + 1)
-        for move in _moves(number, shorter, edits)
-    ]
+def _base(chars: Column, limits) -> Column:
+    """The least length of the class of a length: its three leading bits, or the least that has its limit."""
+    least_allowed = F.lit(0)
+    for least, _ in sorted(limits):
+        least_allowed = F.when(chars >= least, F.lit(least)).otherwise(least_allowed)
+    return F.greatest(chars - chars % _grain(chars), least_allowed)
 
 
-def _entries(rows: DataFrame, steps: list[tuple[int, int, int, int]], fits: Column) -> DataFrame:
-    """A row per substring that is, or may be, a segment: key, tag and sketch, and what a further round needs.
+def _begins(chars: Column, limits) -> Column:
+    """Whether a length is the least of its class."""
+    return (chars % _grain(chars) == 0) | chars.isin([least for least, _ in limits])
 
-    ``rows`` holds (id, sketch, outer, text, chars); ``fits`` tells from the
-    step's fields which steps a row takes.  The tag packs the line's number,
-    the edits, the step's ``shorter`` and whether the entry is of the index.
+
+def _windows(edits: int) -> list[tuple[int, int, int, int]]:
+    """(number, windows before it on its side, whether its side is the end, move) of all substrings to look at."""
+    sides = [(number, min(number, edits - number), int(2 * number > edits)) for number in range(edits + 1)]
+    return [(number, before, end, move) for number, before, end in sides for move in range(before + 1)]
+
+
+def _place(chars: Column, base: Column, edits: Column, before: Column, end: Column, move: Column) -> tuple[Column, Column]:
+    """(start, size) of a window in a line of so many characters.
+
+    The windows of a class of lengths fit into its shortest lines side by side,
+    each with room for its moves.
     """
-    names = ("edits", "number", "less", "move", "own")
-    listed = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*step, int(step[2] == step[3] == 0)))]) for step in steps]
-    # One short expression for all steps, so that the generated code stays small enough to be compiled.
-    rows = rows.withColumn("step", F.explode(F.array(*listed))).select("*", "step.*").drop("step").where(fits)
-    length, parts = F.col("chars") - F.col("less"), F.col("edits") + 1
-    base = F.call_function("div", length, parts).cast("int")
-    longer = parts - length % parts  # number of the first longer segment
-    number = F.col("number")
-    start = base * number + F.greatest(number - longer, F.lit(0))
-    rows = rows.withColumns({"at": (start + F.col("move")).cast("int"), "size": base + (number >= longer).cast("int"), "length": length})
-    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("chars")))
-    key = F.xxhash64("outer", "length", "number", F.substring(F.col("text"), F.col("at") + 1, F.col("size")))
-    tag = F.col("id") * 128 + F.col("edits") * 16 + F.col("less") * 2 + F.col("own")
-    rest = F.concat(
-        F.substring(F.col("text"), F.lit(1), F.col("at")),
-        F.substring(F.col("text"), F.col("at") + F.col("size") + 1, F.col("chars")),
-    )
-    return rows.select(key.alias("key"), tag.alias("tag"), "sketch", rest.alias("rest"))
+    room = F.call_function("div", edits * edits, F.lit(4))
+    size = F.call_function("div", F.greatest(base - room, F.lit(0)), edits + 1).cast("int")
+    ahead = before * size + F.call_function("div", before * (before - 1), F.lit(2)) + move
+    return F.when(end == 1, F.greatest(chars - ahead - size, F.lit(0))).otherwise(ahead).cast("int"), size
+
 
+def _entries(rows: DataFrame, limits, exact: bool) -> DataFrame:
+    """A row per window and class of lengths of every line: key, tag, sketch and, if ``exact``, the line's id.
 
-def _tag_id(tag: Column) -> Column:
-    return F.shiftright(tag, 7)
+    ``rows`` holds (row, id, sketch, text, chars); if ``exact``, also ``outer``,
+    which goes into the key, and the ``edits`` of its pairs, and every length
+    is a class.  A line that may be the longer of a pair is entered in the
+    classes of shorter lines, too.  The tag packs the row's number, by how much
+    the class is of shorter lines, the window's number and its move.
+    """
+    rows = rows.withColumn("less", F.explode(F.array(*[F.lit(less) for less in range(_most(limits) + 1)])))
+    rows = rows.withColumn("length", F.col("chars") - F.col("less"))
+    base, edits, fits = _class(F.col("length"), limits, exact)
+    if not exact:  # each class once: a shorter length begins another one if the next length is the least of its own
+        fits = fits & ((F.col("less") == 0) | _begins(F.col("length") + 1, limits))
+    # One short expression for all, so that the generated code stays small enough to be compiled.
+    rows = rows.where(fits & (edits >= F.col("less"))).withColumns({"base": base, "allowed": edits})
+    names = ("number", "before", "end", "move")
+    windows = F.lit(None)
+    for edits in sorted({edits for _, edits in limits if edits}):
+        listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, window)]) for window in _windows(edits)])
+        windows = F.when(F.col("allowed") == edits, listed).otherwise(windows)
+    rows = rows.withColumn("window", F.explode(windows))
+    start, size = _place(F.col("chars"), F.col("base"), F.col("allowed"), *[F.col(f"window.{n}") for n in names[1:]])
+    outer = ["outer"] if exact else []
+    key = F.xxhash64(*outer, "base", "window.number", F.substring(F.col("text"), start + 1, size))
+    tag = F.col("row") * 256 + F.col("less") * 32 + F.col("window.number") * 4 + F.col("window.move")
+    return rows.select(key.alias("key"), tag.alias("tag"), "sketch", *(["id"] if exact else []))
 
 
-def _tag_edits(tag: Column) -> Column:
-    return F.shiftright(tag, 4).bitwiseAND(F.lit(7).cast("long")).cast("int")
+def _most(limits) -> int:
+    return max((edits for _, edits in limits), default=0)
+
+
+def _class(length: Column, limits, exact: bool) -> tuple[Column, Column, Column]:
+    """(base, edits, whether there is one) of the class of a shorter line's length."""
+    if exact:
+        return length, F.col("edits"), length >= 0
+    edits = _limit(length, limits)
+    return _base(length, limits), edits, edits > 0
+
+
+def _tag_row(tag: Column) -> Column:
+    return F.shiftright(tag, 8)
 
 
 def _tag_less(tag: Column) -> Column:
-    return F.shiftright(tag, 1).bitwiseAND(F.lit(7).cast("long")).cast("int")
+    return F.shiftright(tag, 5).bitwiseAND(F.lit(7).cast("long")).cast("int")
+
+
+def _tag_number(tag: Column) -> Column:
+    return F.shiftright(tag, 2).bitwiseAND(F.lit(7).cast("long")).cast("int")
+
+
+def _tag_move(tag: Column) -> Column:
+    return tag.bitwiseAND(F.lit(3).cast("long")).cast("int")
 
 
 def _let(value: Column, use) -> Column:
@@ -194,6 +234,7 @@ def _banded(padded: Column, a: Column, b: Column, threshold: int) -> Column:
 # Letters that are common in many languages; one edit changes two counts by one at most.
 COUNTED = " etaoinsrhldcumf"
 SKETCHED = 8  # of them go into the sketch that every entry carries, four bits each
+LONG_SKETCH = 12  # of them go into the sketches of further rounds
 
 
 def _counts(line: Column) -> Column:
@@ -206,68 +247,90 @@ def _differ(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, each)
 
 
-def _sketch(counts: Column, letters: int) -> Column:
-    """The counts of the first letters, modulo 16, in one number."""
+def _sketch(counts: Column, chars: Column, letters: int) -> Column:
+    """The counts of the first letters, modulo 16, and the length, modulo 65536, in one number."""
     each = [F.shiftleft((counts[k] % 16).cast("long"), 4 * k) for k in range(letters)]
-    return reduce(lambda x, y: x.bitwiseOR(y), each)
-
-
-def _sketches_differ(a: str, b: str) -> Column:
-    """By how much the counts in two sketches differ at least."""
-    nibble = lambda c, k: F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(15).cast("long"))
-    each = [F.abs(nibble(a, k) - nibble(b, k)) for k in range(len(COUNTED))]
-    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in each])
-
-
-def _pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b) of the lines that meet at a key and whose sketches allow a link; those of one length only once."""
-    sides = [rows.select("key", F.col("tag").alias(f"tag_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n, rows in (("x", probes), ("y", index))]
-    x, y, less = _tag_id(F.col("tag_x")), _tag_id(F.col("tag_y")), _tag_less(F.col("tag_x"))
-    near = _sketches_differ("sketch_x", "sketch_y") <= 2 * _tag_edits(F.col("tag_x"))
-    met = sides[0].join(sides[1], (sides[0].key == sides[1].key) & ((x < y) | ((less > 0) & (x != y))) & near)
-    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-
-def candidates(lines: DataFrame, limits=LIMITS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) with a < b: ids of the lines (id, line, chars, sketch) that share a segment and whose sketches are alike."""
-    steps = _steps(limits)
-    own_steps = [s for s in steps if s[2] == s[3] == 0]
-    edits, less, own = F.col("edits"), F.col("less"), F.col("own") == 1
-    rows = lines.select("id", "sketch", F.lit(0).cast("long").alias("outer"), F.col("line").alias("text"), "chars")
-    allowed = _limit(F.col("chars") - less, limits) == edits
-    index = _entries(rows, own_steps, allowed)
-    probes = _entries(rows, [s for s in steps if s not in own_steps], allowed)
-    found = None
+    return reduce(lambda x, y: x.bitwiseOR(y), [*each, F.shiftleft((chars % 65536).cast("long"), 4 * LONG_SKETCH)])
+
+
+def _sketches_allow(a: str, b: str, edits: int) -> Column:
+    """Whether by their sketches two lines may be within so many edits."""
+    part = lambda c, k, full: F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(full).cast("long"))
+    apart = lambda k, full: F.abs(part(a, k, full) - part(b, k, full))
+    length = apart(LONG_SKETCH, 65535)
+    each = [apart(k, 15) for k in range(LONG_SKETCH)]
+    counts = reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in each])
+    return (F.least(length, 65536 - length) <= edits) & (counts <= 2 * edits)
+
+
+def _roles(tag: Column) -> Column:
+    """Of a pair one must be the shorter line (1), and one must hold the window in its own place (2)."""
+    return F.when(_tag_less(tag) == 0, 1).otherwise(0).bitwiseOR(F.when(_tag_move(tag) == 0, 2).otherwise(0))
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries whose key others have that they may pair with, and how many have it."""
+    same_key = Window.partitionBy("key")
+    counted = entries.withColumns({"n": F.count(F.lit(1)).over(same_key), "roles": F.bit_or(_roles(F.col("tag"))).over(same_key)})
+    return counted.where("n > 1 and roles = 3")
+
+
+def _pairs(met: DataFrame, edits: int, exact: bool) -> DataFrame:
+    """(a, b) of the lines that meet at a key and whose sketches allow a link."""
+    sides = [met.select(*[F.col(c).alias(f"{c}_{n}") for c in met.columns]) for n in "xy"]
+    x, y = [F.col(f"id_{n}") if exact else _tag_row(F.col(f"tag_{n}")) for n in "xy"]
+    fits = _roles(F.col("tag_x")).bitwiseOR(_roles(F.col("tag_y"))) == 3
+    near = _sketches_allow("sketch_x", "sketch_y", edits)
+    pairs = sides[0].join(sides[1], (F.col("key_x") == F.col("key_y")) & (x < y) & fits & near)
+    return pairs.select(x.alias("a"), y.alias("b"))
+
+
+def _rests(hot: DataFrame, rows: DataFrame, limits, exact: bool) -> DataFrame:
+    """What is left of the lines of entries without their windows, as rows of a further round."""
+    tag, chars = F.col("tag"), F.col("chars")
+    number = _tag_number(tag)
+    base, edits, _ = _class(chars - _tag_less(tag), limits, exact)
+    start, size = _place(chars, base, edits, F.least(number, edits - number), (2 * number > edits).cast("int"), _tag_move(tag))
+    known = hot.select("key", "tag", _tag_row(tag).alias("row")).join(rows.drop("sketch", "outer"), "row")
+    placed = known.select("id", "key", "text", edits.alias("edits"), start.alias("start"), size.alias("size"))
+    rest = F.concat(
+        F.substring(F.col("text"), F.lit(1), F.col("start")),
+        F.substring(F.col("text"), F.col("start") + F.col("size") + 1, F.char_length("text")),
+    )
+    rests = placed.select("id", F.col("key").alias("outer"), "edits", rest.alias("text"))
+    chars = F.char_length("text")
+    sketch = _let(_counts(F.col("text")), lambda counts: _sketch(counts, chars, LONG_SKETCH))
+    return rests.select(F.monotonically_increasing_id().alias("row"), "*", chars.alias("chars"), sketch.alias("sketch"))
+
+
+def candidates(lines: DataFrame, limits=LIMITS, crowd: int = CROWD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b, ids of the lines (id, line, chars, sketch) that share a window and whose sketches are alike.
+
+    Also (id, line, chars) of all lines that share a window with any other.
+    """
+    rows = lines.select(F.col("id").alias("row"), "id", "sketch", F.col("line").alias("text"), "chars")
+    found = texts = None
     for turn in range(rounds + 1):
-        crowds = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key")
-        crowds = staged(crowds, "line-crowds")
-        last = turn == rounds or crowds.isEmpty()
-        if not last:
-            words = staged(filter_words(crowds), "line-filter")
-            sides = [side.withColumn("indexed", F.lit(side is index)) for side in (index, probes)]
-            marked = [with_suspicion(side, F.col("key"), words) for side in sides]
-            suspects = staged(marked[0].union(marked[1]).where("suspect").drop("suspect"), "line-hot")
-            hot = staged(suspects.join(crowds.withColumn("crowd", F.lit(True)), "key", "left"), "line-crowded")
-            calm = hot.where("crowd is null").drop("crowd")
-            index, probes = [m.where("not suspect").drop("suspect").union(calm.where(which)) for m, which in zip(marked, ("indexed", "not indexed"))]
-        pairs = staged(_pairs(index, index).union(_pairs(probes, index)).distinct(), "line-meets")
+        exact = turn > 0
+        entries = _entries(rows, limits, exact)
+        met = staged(_met(entries), "line-meets")
+        if texts is None:
+            ids = staged(met.select(_tag_row(F.col("tag")).alias("id")).distinct(), "line-ids")
+            texts = staged(rows_in(lines.select("id", "line", "chars"), "id", ids), "line-texts")
+            rows = texts.select(F.col("id").alias("row"), "id", F.col("line").alias("text"), "chars")
+        hot = met.where(F.col("n") > crowd)
+        last = turn == rounds or hot.isEmpty()
+        few = met if last else met.where(F.col("n") <= crowd)
+        pairs = staged(_pairs(few.drop("n", "roles"), _most(limits), exact).distinct(), "line-pairs")
         found = pairs if found is None else found.union(pairs)
         if last:
-            return found.distinct()
-        # Pairs at a crowded key must share a segment of what is left of their lines, too.
-        tag = F.col("tag")
-        sketch = _let(_counts(F.col("rest")), lambda counts: _sketch(counts, len(COUNTED)))
-        rows = hot.where("crowd").select(
-            _tag_id(tag).alias("id"), sketch.alias("sketch"), F.col("key").alias("outer"), F.col("rest").alias("text"), F.char_length("rest").alias("chars"),
-            F.struct(_tag_edits(tag).alias("edits"), _tag_less(tag).alias("less")).alias("pair"), "indexed",
-        )
-        rows = staged(rows, "line-rests")
-        for done in (suspects, hot, words, crowds):
-            discard(done)
-        # What is left differs in length as the lines do, and by as many edits.
-        same = (F.col("pair.edits") == edits) & (F.col("pair.less") == less)
-        index = _entries(rows.where("indexed"), own_steps, same)
-        probes = _entries(rows, steps, same & ~(F.col("indexed") & own))
+            return found.distinct(), texts
+        # Pairs at a crowded key must share a window of what is left of their lines, too.
+        rests = staged(_rests(hot, rows, limits, exact), "line-rests")
+        discard(met)
+        if exact:
+            discard(rows)
+        rows = rests
 
 
 def edit_classes(
@@ -287,13 +350,13 @@ def edit_classes(
     found = df.select(df[id_col].cast("long").alias("doc_id"), line.alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     lines = found.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
     lines = lines.select("*", F.char_length("line").alias("chars"), F.sha2(F.col("line").cast("binary"), 256).alias("sha"))
+    lines = lines.withColumn("sketch", _sketch(_counts(F.col("line")), F.col("chars"), SKETCHED))
     lines = staged(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
 
-    sketched = lines.withColumn("counts", _counts(F.col("line"))).withColumn("sketch", _sketch(F.col("counts"), SKETCHED))
-    pairs = staged(candidates(sketched, limits), "line-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    texts = rows_in(lines.select("id", "line", "chars"), "id", staged(ends.distinct(), "line-ends"))
-    texts = staged(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
+    pairs, texts = candidates(lines, limits)
+    pairs = staged(pairs, "line-pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = staged(texts.join(ends, "id", "left_semi").withColumn("counts", _counts(F.col("line"))), "line-ends")
     both = pairs.join(texts.toDF("a", "line_a", "chars_a", "counts_a"), "a").join(texts.toDF("b", "line_b", "chars_b", "counts_b"), "b")
     # Letter counts reject more pairs at once.
     allowed = _limit(F.least("chars_a", "chars_b"), limits)
@@ -310,7 +373,7 @@ def edit_classes(
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "sha")
     firsts = linked.groupBy("component").agg(F.min(order).alias("first"))
     linked = linked.join(firsts, "component").select("id", "n_links", F.col("first.doc_id").alias("class_doc"), F.col("first.sha").alias("class_sha"))
-    out = lines.drop("line", "chars").join(linked, "id", "left")
+    out = lines.drop("line", "chars", "sketch").join(linked, "id", "left")
     alone = F.col("class_sha").isNull()
     return out.select(
         "doc_id",
