@@ -323,6 +323,22 @@ def test_lines_pass_filters_once(spark, monkeypatch):
     assert [r.n_links for r in got] == [39] * 40 and sum(passed) <= len(lines)
 
 
+def test_lines_of_a_crowd_meet_few_times(spark, monkeypatch):
+    """Pairs that share most of their lines do not meet again at every choice of what they share."""
+    made = []
+
+    def counted(*args, was=line_dedup._pairs):
+        pairs = was(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "_pairs", counted)
+    lines = [f"all of these lines begin and {k:02d} end in the same words of some length" for k in range(30)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.n_links for r in line_dedup.edit_classes(frame).collect()] == [29] * 30
+    assert sum(made) <= 8 * 30 * 29 / 2
+
+
 def test_samples(docs, empty):
     found = piece_sampling.encode_samples(docs, PIECES, samples=3)
     back = piece_sampling.decode(found.select(F.col("row.text").alias("was"), "ids"), PIECES)

@@ -23,7 +23,8 @@ other has go no further.  A window that many lines share would bring all their
 pairs together: where a key has more than ``CROWD`` entries, a pair must in
 addition share a window of the rest of the line, as it must if it is within the
 limit, so such keys are joined on both, and on the exact length; this is
-repeated up to ``ROUNDS`` times, after which nearly all of a line is shared.
+repeated up to ``ROUNDS`` times for keys with ``GROWTH`` times more entries each
+time, after which nearly all of a line is shared.
 
 Cases: null texts have no lines; lines without a character other than white
 space are left out; other lines are compared as they are.  A line that occurs
@@ -45,6 +46,7 @@ from wardline.llm.components import components
 LIMITS = ((8, 1), (24, 2))  # (characters of the shorter line at least, edits); shorter lines must be equal
 MOST_EDITS = 7  # what an entry has room for
 CROWD = 16
+GROWTH = 16  # times as many entries may meet at a key of each further round
 ROUNDS = 5
 LEAP = 1 << 22  # longest step along what two lines share
 
@@ -95,11 +97,11 @@ def _place(chars: Column, base: Column, edits: Column, before: Column, end: Colu
 
 
 def _entries(rows: DataFrame, limits, exact: bool) -> DataFrame:
-    """A row per window and class of lengths of every line: key, tag, sketch and, if ``exact``, the line's id.
+    """A row per window and class of lengths of every line: key, tag, sketch and, if ``exact``, second sketch and line's id.
 
-    ``rows`` holds (row, id, sketch, text, chars); if ``exact``, also ``outer``,
-    which goes into the key, and the ``edits`` of its pairs, and every length
-    is a class.  A line that may be the longer of a pair is entered in the
+    ``rows`` holds (row, id, sketch, text, chars); if ``exact``, also ``more``,
+    ``outer``, which goes into the key, and the ``edits`` of its pairs, and
+    every length is a class.  A line that may be the longer of a pair is entered in the
     classes of shorter lines, too.  The tag packs the row's number, by how much
     the class is of shorter lines, the window's number and its move.
     """
@@ -120,7 +122,7 @@ def _entries(rows: DataFrame, limits, exact: bool) -> DataFrame:
     outer = ["outer"] if exact else []
     key = F.xxhash64(*outer, "base", "window.number", F.substring(F.col("text"), start + 1, size))
     tag = F.col("row") * 256 + F.col("less") * 32 + F.col("window.number") * 4 + F.col("window.move")
-    return rows.select(key.alias("key"), tag.alias("tag"), "sketch", *(["id"] if exact else []))
+    return rows.select(key.alias("key"), tag.alias("tag"), "sketch", *(["more", "id"] if exact else []))
 
 
 def _most(limits) -> int:
@@ -234,11 +236,12 @@ def _banded(padded: Column, a: Column, b: Column, threshold: int) -> Column:
 # Letters that are common in many languages; one edit changes two counts by one at most.
 COUNTED = " etaoinsrhldcumf"
 SKETCHED = 8  # of them go into the sketch that every entry carries, four bits each
-LONG_SKETCH = 12  # of them go into the sketches of further rounds
+LONG_SKETCH = 12  # of them go into the sketches of further rounds, and all of these into a second one
+ALSO_COUNTED = "cumfgpwybv012345"
 
 
-def _counts(line: Column) -> Column:
-    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+def _counts(line: Column, counted: str = COUNTED) -> Column:
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in counted])
 
 
 def _differ(a: str, b: str) -> Column:
@@ -247,19 +250,28 @@ def _differ(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, each)
 
 
+def _nibbles(counts: Column, letters: int) -> Column:
+    each = [F.shiftleft((counts[k] % 16).cast("long"), 4 * k) for k in range(letters)]
+    return reduce(lambda x, y: x.bitwiseOR(y), each)
+
+
 def _sketch(counts: Column, chars: Column, letters: int) -> Column:
     """The counts of the first letters, modulo 16, and the length, modulo 65536, in one number."""
-    each = [F.shiftleft((counts[k] % 16).cast("long"), 4 * k) for k in range(letters)]
-    return reduce(lambda x, y: x.bitwiseOR(y), [*each, F.shiftleft((chars % 65536).cast("long"), 4 * LONG_SKETCH)])
+    return _nibbles(counts, letters).bitwiseOR(F.shiftleft((chars % 65536).cast("long"), 4 * LONG_SKETCH))
 
 
-def _sketches_allow(a: str, b: str, edits: int) -> Column:
+def _sketches_allow(edits: int, exact: bool) -> Column:
     """Whether by their sketches two lines may be within so many edits."""
     part = lambda c, k, full: F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(full).cast("long"))
-    apart = lambda k, full: F.abs(part(a, k, full) - part(b, k, full))
-    length = apart(LONG_SKETCH, 65535)
-    each = [apart(k, 15) for k in range(LONG_SKETCH)]
+    apart = lambda c, k, full: F.abs(part(f"{c}_x", k, full) - part(f"{c}_y", k, full))
+    length = apart("sketch", LONG_SKETCH, 65535)
+    each = [apart("sketch", k, 15) for k in range(LONG_SKETCH if exact else SKETCHED)]
     counts = reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in each])
+    if exact:  # of the second ones only how many counts differ, which takes little code
+        other = F.col("more_x").bitwiseXOR(F.col("more_y"))
+        other = other.bitwiseOR(F.shiftright(other, 2).bitwiseAND(F.lit(0x3333333333333333)))
+        other = other.bitwiseOR(F.shiftright(other, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        counts = counts + F.bit_count(other)
     return (F.least(length, 65536 - length) <= edits) & (counts <= 2 * edits)
 
 
@@ -280,7 +292,7 @@ def _pairs(met: DataFrame, edits: int, exact: bool) -> DataFrame:
     sides = [met.select(*[F.col(c).alias(f"{c}_{n}") for c in met.columns]) for n in "xy"]
     x, y = [F.col(f"id_{n}") if exact else _tag_row(F.col(f"tag_{n}")) for n in "xy"]
     fits = _roles(F.col("tag_x")).bitwiseOR(_roles(F.col("tag_y"))) == 3
-    near = _sketches_allow("sketch_x", "sketch_y", edits)
+    near = _sketches_allow(edits, exact)
     pairs = sides[0].join(sides[1], (F.col("key_x") == F.col("key_y")) & (x < y) & fits & near)
     return pairs.select(x.alias("a"), y.alias("b"))
 
@@ -291,7 +303,7 @@ def _rests(hot: DataFrame, rows: DataFrame, limits, exact: bool) -> DataFrame:
     number = _tag_number(tag)
     base, edits, _ = _class(chars - _tag_less(tag), limits, exact)
     start, size = _place(chars, base, edits, F.least(number, edits - number), (2 * number > edits).cast("int"), _tag_move(tag))
-    known = hot.select("key", "tag", _tag_row(tag).alias("row")).join(rows.drop("sketch", "outer"), "row")
+    known = hot.select("key", "tag", _tag_row(tag).alias("row")).join(rows.drop("sketch", "more", "outer"), "row")
     placed = known.select("id", "key", "text", edits.alias("edits"), start.alias("start"), size.alias("size"))
     rest = F.concat(
         F.substring(F.col("text"), F.lit(1), F.col("start")),
@@ -300,7 +312,8 @@ def _rests(hot: DataFrame, rows: DataFrame, limits, exact: bool) -> DataFrame:
     rests = placed.select("id", F.col("key").alias("outer"), "edits", rest.alias("text"))
     chars = F.char_length("text")
     sketch = _let(_counts(F.col("text")), lambda counts: _sketch(counts, chars, LONG_SKETCH))
-    return rests.select(F.monotonically_increasing_id().alias("row"), "*", chars.alias("chars"), sketch.alias("sketch"))
+    more = _let(_counts(F.col("text"), ALSO_COUNTED), lambda counts: _nibbles(counts, len(ALSO_COUNTED)))
+    return rests.select(F.monotonically_increasing_id().alias("row"), "*", chars.alias("chars"), sketch.alias("sketch"), more.alias("more"))
 
 
 def candidates(lines: DataFrame, limits=LIMITS, crowd: int = CROWD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -318,9 +331,11 @@ def candidates(lines: DataFrame, limits=LIMITS, crowd: int = CROWD, rounds: int
             ids = staged(met.select(_tag_row(F.col("tag")).alias("id")).distinct(), "line-ids")
             texts = staged(rows_in(lines.select("id", "line", "chars"), "id", ids), "line-texts")
             rows = texts.select(F.col("id").alias("row"), "id", F.col("line").alias("text"), "chars")
-        hot = met.where(F.col("n") > crowd)
+        # A pair in a crowd shares more windows with every round, and would meet again at each choice of them.
+        most = crowd * GROWTH**turn
+        hot = met.where(F.col("n") > most)
         last = turn == rounds or hot.isEmpty()
-        few = met if last else met.where(F.col("n") <= crowd)
+        few = met if last else met.where(F.col("n") <= most)
         pairs = staged(_pairs(few.drop("n", "roles"), _most(limits), exact).distinct(), "line-pairs")
         found = pairs if found is None else found.union(pairs)
         if last:
