@@ -7,6 +7,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -442,3 +443,26 @@ def test_pipeline(spark, sf_dir):
             assert out.exceptAll(docs).count() == 0
         docs = out.persist()
     assert docs.count() > 0
+
+
+def test_samples_share_lattices(monkeypatch):
+    """Rows of a megabyte of text share one set of lattices; smaller slices draw the same samples."""
+    texts = [f"some words of text {k} and more of them, {k * 7919} in all" for k in range(300)]
+    texts = [" ".join([text] * 60) for text in texts]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(300)), "key_": list(range(300)), "text_": texts})
+    assert 800_000 < sum(map(len, texts)) < 1 << 20
+    voc, built = piece_sampling.Vocabulary(PIECES), []
+
+    class Counted(piece_sampling.Lattice):
+        def __init__(self, *args):
+            built.append(1)
+            super().__init__(*args)
+
+    def drawn():
+        return [(r["row"], r["sample"], r["ids"]) for b in piece_sampling._sample(voc, 2, False)([batch]) for r in b.to_pylist()]
+
+    monkeypatch.setattr(piece_sampling, "Lattice", Counted)
+    found = drawn()
+    assert len(built) == 1
+    monkeypatch.setattr(piece_sampling, "SLICE", 1 << 17)
+    assert drawn() == found and len(built) > 2

@@ -45,7 +45,7 @@ SPACE = "▁"
 MARK = "\udfff"  # stands for U+2581 inside a text; no valid text has it
 SAMPLES = 2
 ZIPF_SHIFT = 2.7
-SLICE = 1 << 19  # bytes of text that share their words' lattices
+SLICE = 1 << 20  # bytes of text that share their words' lattices
 SCALE = 4.0  # keeps the weights of ways through a word near one
 FIRST = 128  # nodes whose sets are always drawn
 RANGE = 40.0
