@@ -64,6 +64,11 @@ def _spans_sum(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.
     return out
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:stop]; the spans are sorted and do not overlap."""
+    return mix(_spans_sum(values, starts, stops) + (stops - starts).astype(np.uint64))
+
+
 def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all runs of ``length`` words; entry i starts at word i."""
     n = len(words) - length + 1
@@ -85,8 +90,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = mix(_spans_sum(_BYTES[data], starts, stops) + (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds)
+    return span_hashes(_BYTES[data], starts, stops), np.searchsorted(starts, bounds)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
