@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardline.llm import piece_sampling
@@ -14,21 +15,42 @@ def voc():
     return piece_sampling.Vocabulary(PIECES)
 
 
+def _texts(seed, n):
+    """Texts of 250 words each, of which most occur once."""
+    rng = np.random.default_rng(seed)
+    parts = ["th", "he", "an", "er", "on", "re", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    words = ["".join(rng.choice(parts, int(rng.integers(1, 7)))) for _ in range(250 * n)]
+    return [" ".join(words[k : k + 250]) for k in range(0, len(words), 250)]
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
 def test_lattices_hold_only_pieces(voc):
     """Memory goes with the pieces in a slice's words, not with every length at every character."""
-    rng = np.random.default_rng(3)
-    parts = ["th", "he", "an", "er", "on", "re", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
-    words = ["".join(rng.choice(parts, int(rng.integers(1, 7)))) for _ in range(100_000)]
-    texts = [" ".join(words[k : k + 250]) for k in range(0, len(words), 250)]
+    texts = _texts(3, 400)
     assert 700_000 < sum(map(len, texts)) < piece_sampling.SLICE
-    tracemalloc.start()
-    found = piece_sampling.sample_texts(texts, np.arange(len(texts)), voc, 2)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
+    found, peak = _peak(lambda: piece_sampling.sample_texts(texts, np.arange(len(texts)), voc, 2))
     assert all(len(f) == 2 for f in found)
     assert peak < 120e6
 
 
+def test_a_worker_holds_one_slice(voc):
+    """What the pipeline's last stage runs in a worker: the memory of many slices is that of one."""
+    texts = _texts(4, 1500)
+    assert sum(map(len, texts)) > 2 * piece_sampling.SLICE
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "key_": list(range(len(texts))), "text_": texts})
+    run = piece_sampling._sample(voc, 2, False)
+    rows, peak = _peak(lambda: sum(b.num_rows for b in run(iter([batch]))))
+    assert rows == 2 * len(texts)
+    assert peak < 150e6
+
+
 def test_states_are_prefixes(voc):
     """The trie reads every piece, and nothing that no piece begins with."""
     prefixes = {text[:n] for text in voc.texts.values() for n in range(1, len(text) + 1)}

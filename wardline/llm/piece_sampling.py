@@ -222,7 +222,7 @@ class Lattice:
         """
         nodes = int(self.begin[-1])
         ways, logs, scaled = np.ones(nodes), np.zeros(nodes), False
-        self.target, self.cum = self.size, np.empty(len(self.prob), np.float32)
+        self.target, self.cum = self.size, np.empty(len(self.prob), np.float32)  # a size is read before it is written over
         for back in range(1, longest + 1):
             a, b = int(self.begin[back]), int(self.begin[back + 1])
             start = self.start[a : b + 1] - self.start[a]
